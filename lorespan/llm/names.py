@@ -158,7 +158,6 @@ def parse_firm(text: str) -> tuple[str, str, str, str] | None:
             kept.append(_FULL_BUSINESS.get(w, w))
     if not kept:
         return None
-    kept = [_near(w, BUSINESS) or w if k and w not in BUSINESS else w for k, w in enumerate(kept)]
     family, line = kept[0], "".join(kept[1:])
     acronym = "".join(letters) if len(words) > len(kept) else ""
     return ("strong", line, family, acronym) if line else ("weak", "", family, "")

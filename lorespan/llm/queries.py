@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespan.llm.conversations import conversations
+from lorespan.llm.encode import count_tokens, encode_corpus
 from lorespan.llm.names import same_entity_pairs
-from lorespan.session import table
+from lorespan.llm.packing import pack
+from lorespan.llm.survivors import representatives, surviving_claims
+from lorespan.session import stash, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,5 +22,55 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations(table(spark, d, "fetch_corpus"), table(spark, d, "mailboxes"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return representatives(table(spark, d, "claims")).select("group_ord", "confidence_ord", "valid_from_ord", "evidence_ord")
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return surviving_claims(table(spark, d, "claims"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def _kinds(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r.kind, r.capacity_tokens) for r in table(spark, d, "containers").collect()]
+
+
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    """All texts over the tiers of all capacities."""
+    return pack(count_tokens(table(spark, d, "documents")), _kinds(spark, d))
+
+
+def p9_pack_each(spark: SparkSession, d: str) -> DataFrame:
+    """All texts once for each capacity alone."""
+    sizes = stash(count_tokens(table(spark, d, "documents")), "sizes")
+    parts = [pack(sizes, [kind]) for kind in _kinds(spark, d)]
+    return reduce(DataFrame.union, parts)
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_survivors": p6_survivors,
+    "p8_ids": p8_ids,
+    "p9_pack": p9_pack,
+    "p9_pack_each": p9_pack_each,
+}
+ORACLES = {
+    "p6_found": r"""
+WITH c AS (
+ SELECT ord, subject_id AS s, lower(trim(relation, E' \t\n\r')) AS r, object_id AS o,
+  CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS cf,
+  TRY_CAST(CASE WHEN regexp_matches(trim(valid_from), '^\d{4}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?)?$') THEN trim(valid_from) END AS TIMESTAMP) AS vf,
+  coalesce(len(list_distinct(list_filter(evidence, lambda e: trim(e.source_id) != '' AND trim(e.exact_quote) != '').list_transform(lambda e: {'a': e.source_id, 'b': e.exact_quote}))), 0) AS n
+ FROM claims WHERE subject_id IS NOT NULL AND relation IS NOT NULL AND object_id IS NOT NULL)
+SELECT min(ord) AS group_ord,
+ coalesce(first(ord ORDER BY cf DESC, ord) FILTER (cf IS NOT NULL), 0) AS confidence_ord,
+ coalesce(first(ord ORDER BY vf DESC, ord) FILTER (vf IS NOT NULL), 0) AS valid_from_ord,
+ coalesce(first(ord ORDER BY n DESC, ord) FILTER (n > 0), 0) AS evidence_ord
+FROM c GROUP BY s, r, o HAVING count(*) > 1
+""",
+}
