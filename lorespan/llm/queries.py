@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorespan.llm.conversations import conversations
 from lorespan.llm.encode import count_tokens, encode_corpus
 from lorespan.llm.names import same_entity_pairs
 from lorespan.llm.packing import pack
+from lorespan.llm.quoted import newly_written
 from lorespan.llm.survivors import representatives, surviving_claims
 from lorespan.session import stash, table
 
@@ -30,6 +32,11 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     return surviving_claims(table(spark, d, "claims"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = newly_written(table(spark, d, "fetch_corpus"), table(spark, d, "raw_corpus"))
+    return texts.select("src", "ord", "pos", F.md5("new_text").alias("new_md5"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -55,6 +62,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_survivors": p6_survivors,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_pack_each": p9_pack_each,
@@ -64,7 +72,7 @@ ORACLES = {
 WITH c AS (
  SELECT ord, subject_id AS s, lower(trim(relation, E' \t\n\r')) AS r, object_id AS o,
   CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS cf,
-  TRY_CAST(CASE WHEN regexp_matches(trim(valid_from), '^\d{4}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?)?$') THEN trim(valid_from) END AS TIMESTAMP) AS vf,
+  CASE WHEN regexp_matches(trim(valid_from), '^\d{4}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?)?$') THEN epoch_us(TRY_CAST(trim(valid_from) || CASE WHEN regexp_matches(trim(valid_from), '(Z|T.*[+-]\d\d:\d\d)$') THEN '' WHEN contains(valid_from, 'T') THEN 'Z' ELSE ' 00:00:00Z' END AS TIMESTAMPTZ)) END AS vf,
   coalesce(len(list_distinct(list_filter(evidence, lambda e: trim(e.source_id) != '' AND trim(e.exact_quote) != '').list_transform(lambda e: {'a': e.source_id, 'b': e.exact_quote}))), 0) AS n
  FROM claims WHERE subject_id IS NOT NULL AND relation IS NOT NULL AND object_id IS NOT NULL)
 SELECT min(ord) AS group_ord,
