@@ -51,6 +51,8 @@ MIN_JARO_WINKLER, MAX_EDITS = 0.85, 1
 
 def fold(text: str) -> str:
     """Letters without accents."""
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ø", "o").replace("ł", "l"))
     return "".join(c for c in text if not unicodedata.combining(c))
 

@@ -11,6 +11,7 @@ from lorespan.llm.conversations import conversations
 from lorespan.llm.encode import count_tokens, encode_corpus
 from lorespan.llm.names import same_entity_pairs
 from lorespan.llm.packing import pack
+from lorespan.llm.pii import personal_items, redact
 from lorespan.llm.quoted import newly_written
 from lorespan.llm.survivors import representatives, surviving_claims
 from lorespan.session import stash, table
@@ -24,6 +25,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations(table(spark, d, "fetch_corpus"), table(spark, d, "mailboxes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal_items(table(spark, d, "fetch_corpus"), table(spark, d, "claims"))
+    return found.select("src", "ord", "pos", "kind", "found_text").distinct()
+
+
+def p4_redact(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "fetch_corpus"), table(spark, d, "claims"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return representatives(table(spark, d, "claims")).select("group_ord", "confidence_ord", "valid_from_ord", "evidence_ord")
 
@@ -60,6 +70,8 @@ def p9_pack_each(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_redact": p4_redact,
     "p6_found": p6_found,
     "p6_survivors": p6_survivors,
     "p7_found": p7_found,
