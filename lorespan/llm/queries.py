@@ -13,6 +13,7 @@ from lorespan.llm.names import same_entity_pairs
 from lorespan.llm.packing import pack
 from lorespan.llm.pii import personal_items, redact
 from lorespan.llm.quoted import newly_written
+from lorespan.llm.sentences import split_sentences
 from lorespan.llm.survivors import representatives, surviving_claims
 from lorespan.session import stash, table
 
@@ -67,6 +68,10 @@ def p9_pack_each(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -78,6 +83,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_pack_each": p9_pack_each,
+    "p10_found": p10_found,
 }
 ORACLES = {
     "p6_found": r"""

@@ -43,6 +43,7 @@ _GAP = re.compile(rf"(?<=[{_UNMARKED}0-9A-Za-z)%])[  ]+(?:\n[ \t]*)?(?=[{_UNMAR
 _HAS_UNMARKED = re.compile(rf"[{_UNMARKED}]")
 _LAST_WORD = re.compile(r"[^\s\"'“”«»„()\[\]（）「」,;:—–-]{1,24}$")
 _NEXT_WORD = re.compile(r"[\"'“«„(\[（「¿¡‘]*[^\s\"'“”«»„()\[\]（）「」,.;:!?。！？।，、]{1,24}")
+_AFTER_WIDE = re.compile(r"[^\u3000-\u30ff\u3400-\u9fff\uff00-\uffef]+$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 
 
@@ -52,6 +53,8 @@ def before_word(text: str, at: int) -> str:
     if not m:
         return ""
     w = m.group()
+    if not _CJK.match(w[-1]):  # a word of another script stands right before it
+        w = _AFTER_WIDE.search(w).group()
     return "#" if w[0].isdigit() and not w[-1].isalpha() else w[-2:] if _CJK.match(w[-1]) else w
 
 
@@ -140,8 +143,14 @@ def count_block(text: str, start: int, end: int, counts: Counter) -> None:
     last = None
     for m in _END.finditer(text, start, end):
         if text[m.start()] == ".":
-            counts["w", before_word(text, m.start())] += 1
+            word = before_word(text, m.start())
+            counts["w", word] += 1
             last = m
+            behind = m.end()
+            while behind < end and text[behind].isspace():
+                behind += 1
+            if m.end() < behind < end and text[behind].islower():
+                counts["l", word] += 1
         behind = m.end()
         while behind < end and text[behind] in _CLOSERS + '"“':
             behind += 1
@@ -164,6 +173,7 @@ class Model:
             total[kind] += n
         self.end_rate = max(total["e"], 1) / max(total["w"], 1)
         self.start_rate = max(total["s"], 1) / max(total["a"] + total["s"], 1)
+        self.lower_rate = max(total["l"], 1) / max(total["w"], 1)
         self.ends, self.starts, self.any = max(total["L"], 1), max(total["R"], 1), max(total["A"], 1)
 
     def ends_with(self, word: str) -> float:
@@ -179,6 +189,11 @@ class Model:
         all_ = self.n.get(("a", word), 0) + n
         return math.log((n + SMOOTH * self.start_rate) / ((all_ + SMOOTH) * self.start_rate))
 
+    def goes_on(self, word: str) -> float:
+        """How much more often than others a word before a stop is followed by a small letter."""
+        n, all_ = self.n.get(("l", word), 0), self.n.get(("w", word), 0)
+        return math.log((n + SMOOTH * self.lower_rate) / ((max(all_, n) + SMOOTH) * self.lower_rate))
+
     def gap(self, left: str, right: str) -> float:
         """Space in a script without marks: letters before it as at paragraph ends, letters behind as at starts."""
         ratio = lambda kind, letters, total: math.log((self.n.get((kind, letters), 0) + 0.02) / total) - math.log((self.n.get(("A", letters), 0) + 1) / self.any)
@@ -215,9 +230,14 @@ class Model:
             if inside:
                 score = QUOTED + max(-8.0, min(2.0, self.starts_with(word))) + (3 * case if case else 0.0)
             elif mark.strip() == "." or mark.strip() == ".." :
-                score = STOP + self.ends_with(before_word(text, at)) + max(-8.0, min(3.0, self.starts_with(word))) + case
-                if case > 0 and self.ends_with(before_word(text, at)) > -1:
-                    score += 4.0 + (0.0 if before_word(text, at) != "#" else -2.0)
+                left = before_word(text, at)
+                ending = self.ends_with(left)
+                if case == LOWER:
+                    score = STOP + ending - self.goes_on(left) + case
+                else:
+                    score = STOP + ending + max(-8.0, min(3.0, self.starts_with(word))) + case
+                if case > 0 and ending > -1:
+                    score += 2.0 if left == "#" else 4.0
             elif set(mark.strip()) <= {".", "…"}:
                 score = DOTS + max(-8.0, min(2.0, self.starts_with(word))) + 2 * case
             else:
