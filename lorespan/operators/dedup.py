@@ -12,12 +12,12 @@ from lorespan.operators.components import connected_components
 from lorespan.operators.ranking import next_within, text_slice
 from lorespan.schema import ENTITIES, MERGE_LOG, SINGLE_VALUED, Settings
 
-_NONE = F.lit("")
+
 
 
 def dedup_artifacts(messages: DataFrame, text: str, order: list[str], comment_id: str, min_text: int = 20) -> DataFrame:
     """Adds ``fingerprint``, ``is_duplicate`` and ``duplicate_of`` (first holder); short texts stay unmarked."""
-    clean = clean_artifact(F.coalesce(F.col(text), _NONE))
+    clean = clean_artifact(F.coalesce(F.col(text), F.lit("")))
     marked = messages.withColumn("fingerprint", F.when(F.length(clean) >= min_text, F.md5(F.lower(clean))))
     first = marked.where("fingerprint is not null").groupBy("fingerprint").agg(F.min_by(F.struct(F.col(comment_id).alias("c"), *order), F.struct(*order)).alias("f"))
     joined = marked.join(first, "fingerprint", "left")
@@ -104,10 +104,10 @@ def entity_components(entities: DataFrame, vectors: DataFrame | None = None, set
 def canonicalize(entities: DataFrame, components: DataFrame) -> DataFrame:
     """One entity per component: the shortest, earliest, first name; all other names become sorted aliases."""
     rows = entities.join(components, "ord")
-    rank = F.struct(F.length("name").alias("n"), F.coalesce("first_seen", _NONE).alias("s"), F.col("ord").alias("o"))
+    rank = F.struct(F.length("name").alias("n"), F.coalesce("first_seen", F.lit("")).alias("s"), F.col("ord").alias("o"))
     names = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))
     grouped = rows.groupBy("component").agg(
-        F.min_by(F.struct("ord", "id", "name", "entity_type"), rank).alias("c"), F.array_distinct(F.flatten(F.collect_set(names))).alias("names"), F.min(F.nullif(F.col("first_seen"), _NONE)).alias("first_seen"), F.count(F.lit(1)).alias("members"),
+        F.min_by(F.struct("ord", "id", "name", "entity_type"), rank).alias("c"), F.array_distinct(F.flatten(F.collect_set(names))).alias("names"), F.min(F.nullif(F.col("first_seen"), F.lit(""))).alias("first_seen"), F.count(F.lit(1)).alias("members"),
     )
     aliases = F.array_sort(F.filter(F.array_except("names", F.array("c.name")), lambda x: x.isNotNull()))
     return grouped.select("c.ord", "c.id", "c.name", "c.entity_type", aliases.alias("aliases"), "first_seen", "component", "members")
@@ -130,7 +130,7 @@ def dedup_claims(claims: DataFrame) -> DataFrame:
     ``ord`` stays that of the base, ``first_ord`` is the group's first; a triple
     with one claim keeps its evidence as it is.
     """
-    at = F.struct(F.coalesce("valid_from", _NONE).alias("v"), F.col("ord").alias("o"))
+    at = F.struct(F.coalesce("valid_from", F.lit("")).alias("v"), F.col("ord").alias("o"))
     fields = ["ord", "id", "valid_from", "valid_until", "is_current", "extraction_version", "evidence"]
     base = claims.groupBy(*TRIPLE).agg(F.min_by(F.struct(*fields), at).alias("b"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("members"), F.min("ord").alias("first_ord"))
     items = claims.select(*TRIPLE, at.alias("at"), F.posexplode("evidence").alias("pos", "e")).withColumn("eid", evidence_id(F.col("e.source_id"), F.col("e.exact_quote")))
@@ -143,7 +143,7 @@ def dedup_claims(claims: DataFrame) -> DataFrame:
 
 def resolve_conflicts(claims: DataFrame, order: str = "ord") -> DataFrame:
     """Single-valued relations with several objects: each claim ends where the next, different one begins; the last is current."""
-    keys, at = ["subject_id", "relation"], F.coalesce("valid_from", _NONE)
+    keys, at = ["subject_id", "relation"], F.coalesce("valid_from", F.lit(""))
     several = claims.where(F.col("relation").isin(SINGLE_VALUED)).groupBy(*keys).agg(F.min("object_id").alias("_a"), F.max("object_id").alias("_z")).where("_a != _z")
     marked = claims.join(several.select(*keys, F.lit(True).alias("_on")), keys, "left")
     led = next_within(marked, keys, text_slice(F.col("valid_from"), F.col(order)), [at, F.col(order)], F.struct("object_id", "valid_from"), "_next")

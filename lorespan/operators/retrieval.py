@@ -89,7 +89,7 @@ def retrieve(graph: Graph, index: DataFrame, queries: DataFrame, settings: Setti
     best = Window.partitionBy("qid", "id").orderBy("rank", F.desc("direction"))
     rows = rows.withColumn("_b", F.row_number().over(best)).where("_b = 1")
     current = F.coalesce("is_current", F.lit(True))
-    rows = rows.withColumn("relevance", F.col("score") * F.coalesce("confidence", F.lit(0.0)) * F.when(current, 1.2).otherwise(0.8))
+    rows = rows.withColumn("relevance", F.col("score") * F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)) * F.when(current, 1.2).otherwise(0.8))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("relevance"), "rank", F.desc("direction"), "ord"))
     top = rows.withColumn("place", place).where(F.col("place") <= settings.top_claims)
     names = graph.vertices.select("id", "name")
@@ -114,7 +114,7 @@ def format_context(items: DataFrame) -> DataFrame:
     """(qid, context): numbered claim blocks as text for a model."""
     status = F.when(F.col("is_current"), F.lit("CURRENT")).otherwise(F.concat(F.lit("HISTORICAL (until "), "valid_until", F.lit(")")))
     quotes = F.array_join(F.transform(F.coalesce("evidence", F.array().cast(items.schema["evidence"].dataType)), lambda e: F.concat(F.lit("\n  - \""), F.coalesce(e.exact_quote, F.lit("")), F.lit("\" ("), F.coalesce(e.source_id, F.lit("")), F.lit(")"))), "")
-    block = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "subject", F.lit(" "), "relation", F.lit(" "), "object", F.lit(" | "), status, F.lit(" | "), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))), quotes)
+    block = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "subject", F.lit(" "), "relation", F.lit(" "), "object", F.lit(" | "), status, F.lit(" | "), F.format_string("%.2f", F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0))), quotes)
     return items.select("qid", "place", block.alias("block")).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "block"))), lambda x: x.block), "\n").alias("context"))
 
 

@@ -145,14 +145,12 @@ def normalize_timestamps(df: DataFrame, text: str, zone: str, order: str) -> Dat
     time: 1, 2 (ambiguous: the first run is taken), 0 (nonexistent: moved
     forward), null where an offset or epoch was stated.  Null, empty and
     unreadable texts, impossible dates, times and offsets, and times without a
-    zone or home give null.  All other columns are kept; columns whose names
-    begin with ``_ts_`` are reserved and raise ``ValueError``.
+    zone or home give null.  All other columns are kept, whatever their names;
+    columns named like the results are replaced.
     """
-    if clash := [c for c in df.columns if c.startswith("_ts_") or c in ("epoch_us", "n_match")]:
-        raise ValueError(f"reserved column names: {clash}")
-    spark = df.sparkSession
+    spark, columns = df.sparkSession, [c for c in df.columns if c not in ("epoch_us", "n_match")]
     t = F.regexp_replace(strip(F.col(text)), r"(?U)\s+", " ")
-    df = df.withColumns({"_ts_text": t, "_ts_home": F.col(zone), "_ts_order": F.lower(F.col(order))})
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_ts_row"), t.alias("_ts_text"), F.col(zone).alias("_ts_home"), F.lower(F.col(order)).alias("_ts_order"))
     df = df.withColumn("_ts_f", _fields(F.col("_ts_text"), F.col("_ts_order")))
     f = lambda k: F.nullif(F.get("_ts_f", F.lit(k)), F.lit(""))
     number = lambda k: F.expr(f"try_cast(nullif(get(_ts_f, {k}), '') as int)")
@@ -183,8 +181,8 @@ def normalize_timestamps(df: DataFrame, text: str, zone: str, order: str) -> Dat
 
     # Regions in use: at most as many as there are public regions.
     public = available_timezones()
-    stated_regions = df.where(F.col(text).contains("/")).select(F.regexp_extract("_ts_text", r" ([A-Z][A-Za-z]+(?:/[A-Za-z_+\-0-9]+)+)$", 1).alias("z"))
-    homes = df.select(F.col(zone).alias("z"))
+    stated_regions = df.where(F.col("_ts_text").contains("/")).select(F.regexp_extract("_ts_text", r" ([A-Z][A-Za-z]+(?:/[A-Za-z_+\-0-9]+)+)$", 1).alias("z"))
+    homes = df.select(F.col("_ts_home").alias("z"))
     used = stated_regions.union(homes).where(F.col("z").isin(sorted(public))).distinct()
     regions = sorted(r.z for r in used.collect())
     segments = [row for z in regions for row in zone_segments(z)]
@@ -210,8 +208,7 @@ def normalize_timestamps(df: DataFrame, text: str, zone: str, order: str) -> Dat
     value = number_text.cast("decimal(20,0)")
     scaled = F.when(n <= 11, value * US).when(n <= 13, value * 1000).when(n.between(15, 17), value).when(n >= 18, F.floor(value / 1000))
     wall = (F.col("_ts_local") - F.coalesce("_ts_stated", "_ts_offset").cast("bigint")) * US + F.col("_ts_us")
-    df = df.withColumn("epoch_us", F.coalesce(scaled.cast("bigint"), wall))
-    return df.drop(*[c for c in df.columns if c.startswith("_ts_")])
+    return df.select(*[F.col(f"_ts_row.`{c}`").alias(c) for c in columns], F.coalesce(scaled.cast("bigint"), wall).alias("epoch_us"), "n_match")
 
 
 def corpus_timestamps(mail: DataFrame, claims: DataFrame, mailboxes: DataFrame) -> DataFrame:

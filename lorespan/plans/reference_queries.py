@@ -1,4 +1,511 @@
-"""Queries of the operators for knowledge graphs over messages."""
+"""Queries of the operators for knowledge graphs over messages, each with the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespan.functions import text as T
+from lorespan.operators import dedup, extraction, graph, retrieval, threads
+from lorespan.operators.components import connected_components
+from lorespan.schema import Settings, Store
+from lorespan.session import shared_dir, table
+from lorespan.sources import store as stores
+from lorespan.streaming.ingest import current_claims, ingest_claims
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _joined(c) -> F.Column:
+    return F.array_join(c, "|")
+
+
+RUN_TS = "2005-01-01T00:00:00"
+
+# ---------------------------------------------------------------- text
+_NORM = _strip(rf"regexp_replace({_strip('subject')}, '^(?:(?:re|fwd|fw):\s*){{1,3}}', '', 'i')")
+_MID = "CASE WHEN regexp_replace(coalesce(message_id, ''), '^[<> ]+|[<> ]+$', '', 'g') != '' THEN regexp_replace(coalesce(message_id, ''), '^[<> ]+|[<> ]+$', '', 'g') ELSE substr(md5(coalesce(sender, '') || coalesce(\"timestamp\", '') || coalesce(subject, '')), 1, 12) END"
+_COMMENTS = "(SELECT r.issue_id, r.title, u.pos - 1 AS pos, u.c FROM raw_corpus r, unnest(r.comments) WITH ORDINALITY AS u(c, pos))"
+
+
+@query(f"SELECT ord, lower({_NORM}) AS norm FROM fetch_corpus WHERE subject IS NOT NULL")
+def subject_normalize(spark, d):
+    return table(spark, d, "fetch_corpus").where("subject is not null").select("ord", T.normalize_subject(F.col("subject")).alias("norm"))
+
+
+@query(f"""SELECT ord, array_to_string(list_filter(list_transform(string_split(array_to_string("to", ','), ','), lambda x: {_strip('x')}), lambda x: contains(x, '@')), '|') AS addresses FROM fetch_corpus WHERE "to" IS NOT NULL""")
+def address_split(spark, d):
+    return table(spark, d, "fetch_corpus").where("`to` is not null").select("ord", _joined(T.split_addresses(F.array_join("to", ","))).alias("addresses"))
+
+
+@query(f"SELECT ord, {_MID} AS mid FROM fetch_corpus")
+def message_id_default(spark, d):
+    m = table(spark, d, "fetch_corpus")
+    return m.select("ord", T.default_message_id(F.col("message_id"), F.col("sender"), F.col("timestamp"), F.col("subject")).alias("mid"))
+
+
+@query("SELECT c.ord, u.pos - 1 AS pos, substr(sha256(coalesce(u.e.source_id, '') || ':' || substr(coalesce(u.e.exact_quote, ''), 1, 100)), 1, 16) AS evidence_id FROM claims c, unnest(c.evidence) WITH ORDINALITY AS u(e, pos)")
+def evidence_ids(spark, d):
+    c = table(spark, d, "claims").select("ord", F.posexplode("evidence").alias("pos", "e"))
+    return c.select("ord", F.col("pos").cast("bigint").alias("pos"), T.evidence_id(F.col("e.source_id"), F.col("e.exact_quote")).alias("evidence_id"))
+
+
+@query(f"SELECT ord, concat_ws('::', entity_type, lower({_strip('name')})) AS canonical_key FROM entities")
+def canonical_keys(spark, d):
+    return table(spark, d, "entities").select("ord", T.canonical_key(F.col("entity_type"), F.col("name")).alias("canonical_key"))
+
+
+def _comments(spark, d):
+    c = table(spark, d, "raw_corpus").select("issue_id", "title", F.posexplode("comments").alias("pos", "c"))
+    return c.select(F.col("issue_id").cast("bigint").alias("issue_id"), "title", F.col("pos").cast("bigint").alias("pos"), "c.*")
+
+
+@query(f"""SELECT issue_id::BIGINT AS issue_id, pos, md5(concat_ws(chr(10), 'Thread: ' || coalesce(title, ''), 'Source: ' || coalesce(c.comment_id, ''), 'Author: ' || coalesce(c.author, ''), 'Time: ' || coalesce(c."timestamp", ''),
+  CASE WHEN length(c.text) > 3000 THEN substr(c.text, 1, 3000) || '... [truncated]' ELSE c.text END)) AS prompt_md5 FROM {_COMMENTS} WHERE length({_strip('c.text')}) >= 20""")
+def prompt_build(spark, d):
+    c = _comments(spark, d).where(F.length(T.strip(F.col("text"))) >= Settings().min_text)
+    p = T.extraction_prompt(F.col("title"), F.col("comment_id"), F.col("author"), F.col("timestamp"), F.col("text"), Settings().prompt_chars)
+    return c.select("issue_id", "pos", F.md5(p).alias("prompt_md5"))
+
+
+# ---------------------------------------------------------------- threads
+_FIRST = rf"(SELECT * FROM (SELECT *, {_MID} AS mid, row_number() OVER (PARTITION BY {_MID} ORDER BY filepath, ord) AS rn FROM fetch_corpus WHERE length({_strip('body')}) > 0) WHERE rn = 1)"
+_THREADED = f"(SELECT *, lower({_strip(_NORM.replace('subject', 'coalesce(subject, ' + chr(39) + '(no subject)' + chr(39) + ')'))}) AS norm FROM {_FIRST})"
+
+
+@query(f"SELECT ord, mid FROM {_FIRST}")
+def mail_first(spark, d):
+    return threads.first_by_id(table(spark, d, "fetch_corpus")).select("ord", "mid")
+
+
+@query(f"""SELECT ord, norm, row_number() OVER (PARTITION BY norm ORDER BY coalesce("timestamp", ''), ord) AS pos, row_number() OVER (PARTITION BY norm ORDER BY coalesce("timestamp", ''), ord) = 1 AS is_issue_body FROM {_THREADED} WHERE norm != ''""")
+def thread_build(spark, d):
+    t = threads.group_threads(threads.first_by_id(table(spark, d, "fetch_corpus")))
+    return t.select("ord", "norm", F.col("pos").cast("bigint").alias("pos"), "is_issue_body")
+
+
+@query(f"""WITH t AS (SELECT * FROM {_THREADED} WHERE norm != ''), s AS (SELECT norm, count(*) AS n, min(ord) AS f FROM t GROUP BY norm HAVING count(*) BETWEEN 5 AND 15),
+ b AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS issue_id FROM s)
+ SELECT issue_id, first(subject ORDER BY coalesce("timestamp", ''), ord) AS title, first(sender ORDER BY coalesce("timestamp", ''), ord) AS author, min(nullif("timestamp", '')) AS created_at, max(nullif("timestamp", '')) AS closed_at,
+ count(*) AS n, string_agg(substr(mid, 1, 32), '|' ORDER BY coalesce("timestamp", ''), ord) AS comment_ids FROM t JOIN b USING (norm) WHERE issue_id <= 12 GROUP BY issue_id""")
+def thread_select(spark, d):
+    t = threads.select_threads(threads.first_by_id(table(spark, d, "fetch_corpus")))
+    return t.select(F.col("issue_id").cast("bigint").alias("issue_id"), "title", "author", "created_at", "closed_at", F.size("comments").cast("bigint").alias("n"), _joined(F.transform("comments", lambda c: c.comment_id)).alias("comment_ids"))
+
+
+@query("SELECT count(*) AS threads, sum(coalesce(len(comments), 0))::BIGINT AS messages FROM raw_corpus")
+def thread_totals(spark, d):
+    n = F.when(F.size("comments") > 0, F.size("comments")).otherwise(0)
+    return table(spark, d, "raw_corpus").agg(F.count(F.lit(1)).alias("threads"), F.sum(n).alias("messages"))
+
+
+@query(f"SELECT r.issue_id::BIGINT AS issue_id FROM raw_corpus r WHERE r.issue_id NOT IN (SELECT issue_id FROM raw_corpus WHERE state = 'closed' AND closed_at IS NOT NULL AND closed_at != '')")
+def completed_skip(spark, d):
+    t = table(spark, d, "raw_corpus")
+    return extraction.pending(t, t.where("state = 'closed' and closed_at != ''")).select(F.col("issue_id").cast("bigint").alias("issue_id"))
+
+
+# ---------------------------------------------------------------- extraction
+def _answers(spark, d, wrap):
+    c = table(spark, d, "claims")
+    claim = F.struct("id", "subject_id", "relation", "object_id", "confidence", "evidence")
+    body = F.to_json(F.struct(F.array(claim).alias("claims")))
+    a = c.withColumn("json", body)
+    return a.select(F.col("ord").cast("int").alias("thread"), F.lit(0).alias("pos"), F.lit("s").alias("source_id"), F.lit("2001-01-01").alias("timestamp"), F.lit("a").alias("author"), wrap(F.col("json"), F.col("ord")).alias("answer"))
+
+
+_RELATIONS = ", ".join(f"'{r}'" for r in extraction.RELATIONS)
+
+
+@query(f"""SELECT ord, 'clm_' || ord || '_' || id AS claim_id, CASE WHEN relation IN ({_RELATIONS}) THEN relation ELSE 'related_to' END AS relation, coalesce(confidence, 0.7::DOUBLE) AS confidence, len(evidence) AS n_evidence
+ FROM claims WHERE len(evidence) > 0 AND coalesce(confidence, 0.7::DOUBLE) BETWEEN 0.5 AND 1""")
+def extract_validate(spark, d):
+    built = extraction.build_records(_answers(spark, d, lambda j, _: F.concat(F.lit("```json\n"), j, F.lit("\n```"))))
+    c = built.select("thread", F.explode("claims").alias("c"))
+    return c.select(F.col("thread").cast("bigint").alias("ord"), F.col("c.id").alias("claim_id"), "c.relation", "c.confidence", F.size("c.evidence").cast("bigint").alias("n_evidence"))
+
+
+@query("SELECT ord, CASE WHEN ord % 4 < 2 AND len(evidence) > 0 AND coalesce(confidence, 0.7::DOUBLE) BETWEEN 0.5 AND 1 THEN 1 ELSE 0 END AS n_claims FROM claims")
+def json_repair(spark, d):
+    wrap = lambda j, o: F.when(o % 4 == 0, F.concat(F.lit("Sure! "), j, F.lit(" done"))).when(o % 4 == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```\n"))).when(o % 4 == 2, F.concat(j, F.lit(" and "), j)).otherwise(F.concat(F.lit("{'claims': "), j, F.lit("}")))
+    built = extraction.build_records(_answers(spark, d, wrap))
+    return built.select(F.col("thread").cast("bigint").alias("ord"), F.size("claims").alias("n_claims"))
+
+
+@query("SELECT id, min(ord) AS first_ord, arg_max(subject_id, ord) AS subject_id, arg_max(coalesce(confidence, -9), ord) AS confidence FROM claims GROUP BY id")
+def upsert_last_wins(spark, d):
+    c = table(spark, d, "claims").select("id", "ord", "subject_id", F.coalesce("confidence", F.lit(-9.0)).alias("confidence"))
+    return extraction.upsert(c.withColumnRenamed("ord", "seq"), "id", "seq").select("id", F.col("ord").alias("first_ord"), "subject_id", "confidence")
+
+
+@query(f"SELECT count(*) AS n, count_if(len(evidence) > 0)::BIGINT AS with_evidence, count_if(coalesce(confidence >= 0.5, false))::BIGINT AS confident, count_if(len(evidence) > 0 AND coalesce(confidence >= 0.5 AND confidence <= 1, false))::BIGINT AS kept FROM claims")
+def quality_gates(spark, d):
+    has, sure = F.coalesce(F.size("evidence") > 0, F.lit(False)), F.coalesce(F.col("confidence") >= 0.5, F.lit(False))
+    return table(spark, d, "claims").agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("with_evidence"), F.count_if(sure).alias("confident"), F.count_if(has & sure & (F.col("confidence") <= 1)).alias("kept"))
+
+
+# ---------------------------------------------------------------- deduplication
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(c.text, ''), '(?m)^>+.*$', '', 'g'), '(?is)-{2,}[\s\p{Z}]*Original Message[\s\p{Z}]*-{2,}.*', '', 'g'), '(?is)-{2,}[\s\p{Z}]*Forwarded by.*', '', 'g'), '(?s)\n--[\s\p{Z}]*\n.*', '', 'g'), '[\s\p{Z}]+', ' ', 'g'))"""
+
+
+@query(f"""WITH t AS (SELECT issue_id::BIGINT AS issue_id, pos, c.comment_id AS comment_id, {_CLEAN} AS clean FROM {_COMMENTS}), f AS (SELECT *, CASE WHEN length(clean) >= 20 THEN md5(lower(clean)) END AS fingerprint FROM t),
+ r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY issue_id, pos) AS rn, first_value(comment_id) OVER (PARTITION BY fingerprint ORDER BY issue_id, pos) AS fc FROM f)
+ SELECT issue_id, pos, fingerprint, fingerprint IS NOT NULL AND rn > 1 AS is_duplicate, CASE WHEN fingerprint IS NOT NULL AND rn > 1 THEN fc END AS duplicate_of FROM r""")
+def artifact_dedup(spark, d):
+    out = dedup.dedup_artifacts(_comments(spark, d), "text", ["issue_id", "pos"], "comment_id")
+    return out.select("issue_id", "pos", "fingerprint", "is_duplicate", "duplicate_of")
+
+
+_GROUPS = f"(SELECT *, min(ord) OVER (PARTITION BY entity_type, lower({_strip('name')})) AS component FROM entities)"
+_CANON = f"(SELECT component, first(ord ORDER BY length(name), coalesce(first_seen, ''), ord) AS ord, first(id ORDER BY length(name), coalesce(first_seen, ''), ord) AS id, first(name ORDER BY length(name), coalesce(first_seen, ''), ord) AS name, any_value(entity_type) AS entity_type, flatten(list(list_append(coalesce(aliases, []), name))) AS names, min(nullif(first_seen, '')) AS first_seen, count(*) AS members FROM {_GROUPS} GROUP BY component)"
+
+
+@query(f"SELECT ord, component FROM {_GROUPS}")
+def entity_exact(spark, d):
+    return dedup.exact_groups(table(spark, d, "entities"))
+
+
+@query(f"SELECT ord, id, name, entity_type, array_to_string(list_sort(list_filter(list_distinct(names), lambda x: x != name)), '|') AS aliases, first_seen, members FROM {_CANON}")
+def entity_canonical(spark, d):
+    e = table(spark, d, "entities")
+    return dedup.canonicalize(e, dedup.exact_groups(e)).select("ord", "id", "name", "entity_type", _joined("aliases").alias("aliases"), "first_seen", "members")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT entity_type || '::' || lower(" + _strip("name") + ")) AS keys, count(*) - count(DISTINCT entity_type || '::' || lower(" + _strip("name") + ")) AS exact_merges FROM entities")
+def merge_counters(spark, d):
+    g = dedup.exact_groups(table(spark, d, "entities"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("component").alias("keys")).withColumn("exact_merges", F.col("n") - F.col("keys"))
+
+
+@query(f"SELECT component, count(*) AS n, string_agg(id, '|' ORDER BY ord) AS source_ids, first(id ORDER BY length(name), coalesce(first_seen, ''), ord) AS target_id FROM {_GROUPS} GROUP BY component HAVING count(*) > 1")
+def merge_log(spark, d):
+    e = table(spark, d, "entities")
+    parts = dedup.exact_groups(e)
+    rows = e.join(parts, "ord").join(dedup.canonicalize(e, parts).select("component", F.col("id").alias("target")), "component")
+    log = dedup.merge_records(rows, ["component"], "entity", F.col("target"), F.col("ord"), F.concat(F.lit("Dedup: "), F.col("n").cast("string"), F.lit(" entities merged")), RUN_TS)
+    firsts = parts.join(e.select("ord", "id"), "ord").where("ord = component").select("component", F.col("id").alias("first_id"))
+    return log.withColumn("first_id", F.get("source_ids", F.lit(0))).join(firsts, "first_id").select("component", F.size("source_ids").cast("bigint").alias("n"), _joined("source_ids").alias("source_ids"), "target_id")
+
+
+@query(f"SELECT ord, id, name, entity_type, array_to_string(aliases, '|') AS aliases, CASE WHEN count(*) OVER (PARTITION BY component) = 1 THEN nullif(first_seen, '') ELSE first_seen END AS first_seen FROM {_GROUPS}")
+def merge_undo(spark, d):
+    e = table(spark, d, "entities").select("ord", "id", "name", "entity_type", "aliases", "first_seen")
+    parts = dedup.exact_groups(e)
+    canon = dedup.canonicalize(e, parts)
+    rows = e.join(parts, "ord").join(canon.select("component", F.col("id").alias("target")), "component")
+    log = dedup.merge_records(rows, ["component"], "entity", F.col("target"), F.col("ord"), F.lit("all"), RUN_TS)
+    one = log.agg(F.lit("all").alias("merge_id"), F.first("target_id").alias("target_id"), F.map_from_entries(F.flatten(F.collect_list(F.map_entries("original_snapshots")))).alias("original_snapshots"))
+    restored, _ = dedup.undo_merge(canon.select(*e.columns), one, "all")
+    kept = restored.join(e.select("id", F.col("aliases").alias("own")), "id")
+    return kept.select("ord", "id", "name", "entity_type", _joined("own").alias("aliases"), "first_seen")
+
+
+_PAIRS = "(SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35)"
+
+
+def _pairs(spark, d):
+    return dedup.similar_pairs(table(spark, d, "embeddings"), 0.35, "vec_id", "label", "embedding")
+
+
+@query(f"SELECT a, b, round(sim, 4) AS sim FROM {_PAIRS}")
+def entity_pairs(spark, d):
+    return _pairs(spark, d).select("a", "b", F.round("sim", 4).alias("sim"))
+
+
+@query(f"WITH RECURSIVE p AS (SELECT a, b FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), r(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.v) SELECT v AS vec_id, min(c) AS component FROM r GROUP BY v")
+def entity_components(spark, d):
+    parts = connected_components(_pairs(spark, d)).withColumnRenamed("node", "vec_id")
+    return table(spark, d, "embeddings").select("vec_id").join(parts, "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
+
+
+@query(f"WITH m AS (SELECT g.id, c.id AS to_id FROM {_GROUPS} g JOIN {_CANON} c USING (component)) SELECT c.ord, coalesce(s.to_id, c.subject_id) AS subject_id, coalesce(o.to_id, c.object_id) AS object_id FROM claims c LEFT JOIN m s ON s.id = c.subject_id LEFT JOIN m o ON o.id = c.object_id")
+def claim_remap(spark, d):
+    e = table(spark, d, "entities")
+    parts = dedup.exact_groups(e)
+    return dedup.remap_claims(table(spark, d, "claims"), e, parts, dedup.canonicalize(e, parts)).select("ord", "subject_id", "object_id")
+
+
+_DEDUP = """(SELECT first(ord ORDER BY coalesce(valid_from, ''), ord) AS ord, first(id ORDER BY coalesce(valid_from, ''), ord) AS id, subject_id, relation, object_id, max(confidence) AS confidence, first(valid_from ORDER BY coalesce(valid_from, ''), ord) AS valid_from,
+ first(valid_until ORDER BY coalesce(valid_from, ''), ord) AS valid_until, first(is_current ORDER BY coalesce(valid_from, ''), ord) AS is_current, count(*) AS members, min(ord) AS first_ord, first(evidence ORDER BY coalesce(valid_from, ''), ord) AS own FROM claims GROUP BY subject_id, relation, object_id)"""
+
+
+@query(f"""WITH e AS (SELECT c.subject_id, c.relation, c.object_id, coalesce(c.valid_from, '') AS vf, c.ord, u.pos, u.e.exact_quote AS quote, substr(sha256(coalesce(u.e.source_id, '') || ':' || substr(coalesce(u.e.exact_quote, ''), 1, 100)), 1, 16) AS eid FROM claims c, unnest(c.evidence) WITH ORDINALITY AS u(e, pos)),
+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, relation, object_id, eid ORDER BY vf, ord, pos) AS rn FROM e) WHERE rn = 1),
+ g AS (SELECT subject_id, relation, object_id, string_agg(eid, '|' ORDER BY vf, ord, pos) AS ids FROM o GROUP BY subject_id, relation, object_id),
+ s AS (SELECT ord, string_agg(eid, '|' ORDER BY pos) AS ids FROM e GROUP BY ord)
+ SELECT d.ord, d.id, d.subject_id, d.relation, d.object_id, d.confidence, d.valid_from, d.members, d.first_ord, coalesce(CASE WHEN members > 1 THEN g.ids ELSE s.ids END, '') AS evidence_ids
+ FROM {_DEDUP} d LEFT JOIN g USING (subject_id, relation, object_id) LEFT JOIN s ON s.ord = d.ord""")
+def claim_dedup(spark, d):
+    c = dedup.dedup_claims(table(spark, d, "claims"))
+    ids = F.coalesce(_joined(F.transform("evidence", lambda e: T.evidence_id(e.source_id, e.exact_quote))), F.lit(""))
+    return c.select("ord", "id", *dedup.TRIPLE, "confidence", "valid_from", "members", "first_ord", ids.alias("evidence_ids"))
+
+
+@query("SELECT count(*) AS n, string_agg(id, '|' ORDER BY coalesce(valid_from, ''), ord) AS source_ids, first(id ORDER BY coalesce(valid_from, ''), ord) AS target_id FROM claims GROUP BY subject_id, relation, object_id HAVING count(*) > 1")
+def claim_merge_log(spark, d):
+    c = table(spark, d, "claims")
+    base = dedup.dedup_claims(c).select(*dedup.TRIPLE, F.col("id").alias("target"))
+    rows = c.join(base, dedup.TRIPLE)
+    log = dedup.merge_records(rows, dedup.TRIPLE, "claim", F.col("target"), F.struct(F.coalesce("valid_from", F.lit("")).alias("v"), "ord"), F.concat(F.lit("Same triple: "), F.concat_ws("::", *dedup.TRIPLE)), RUN_TS)
+    return log.select(F.size("source_ids").cast("bigint").alias("n"), _joined("source_ids").alias("source_ids"), "target_id")
+
+
+@query(f"""WITH w AS (SELECT *, relation IN ('status_changed', 'assigned_to', 'labeled', 'approved') AND min(object_id) OVER p != max(object_id) OVER p AS applies, lead(object_id) OVER o AS nxt, lead(valid_from) OVER o AS nvf, row_number() OVER o = count(*) OVER p AS last_one
+ FROM {_DEDUP} WINDOW p AS (PARTITION BY subject_id, relation), o AS (PARTITION BY subject_id, relation ORDER BY coalesce(valid_from, ''), first_ord))
+ SELECT ord, subject_id, relation, object_id, CASE WHEN applies AND nxt != object_id THEN nvf ELSE valid_until END AS valid_until, CASE WHEN applies AND nxt != object_id THEN false WHEN applies AND last_one THEN true ELSE is_current END AS is_current FROM w""")
+def conflict_resolve(spark, d):
+    c = dedup.resolve_conflicts(dedup.dedup_claims(table(spark, d, "claims")), "first_ord")
+    return c.select("ord", *dedup.TRIPLE, "valid_until", "is_current")
+
+
+@query("SELECT ord FROM claims WHERE subject_id IN (SELECT id FROM entities) AND object_id IN (SELECT id FROM entities)")
+def orphan_semi(spark, d):
+    return dedup.without_orphans(table(spark, d, "claims"), table(spark, d, "entities")).select("ord")
+
+
+# ---------------------------------------------------------------- graph
+_EDGES = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM claims WHERE subject_id IN (SELECT id FROM entities) AND object_id IN (SELECT id FROM entities)) WHERE rn = 1)"
+_ENDS = f"(SELECT subject_id AS id FROM {_EDGES} UNION ALL SELECT object_id FROM {_EDGES})"
+_DEGREE = f"(SELECT e.id, count(x.id) AS degree FROM entities e LEFT JOIN {_ENDS} x ON x.id = e.id GROUP BY e.id)"
+HUB = "ent_1_e1"
+
+
+def _graph(spark, d) -> graph.Graph:
+    return graph.ingest(table(spark, d, "entities"), table(spark, d, "claims"))[0]
+
+
+@query(f"SELECT (SELECT count(*) FROM entities) AS total_entities_ingested, (SELECT count(*) FROM {_EDGES}) AS total_claims_ingested, 0::BIGINT AS duplicate_entities_skipped, (SELECT count(*) FROM claims WHERE subject_id IN (SELECT id FROM entities) AND object_id IN (SELECT id FROM entities)) - (SELECT count(*) FROM {_EDGES}) AS duplicate_claims_skipped, (SELECT count(*) FROM claims WHERE subject_id NOT IN (SELECT id FROM entities) OR object_id NOT IN (SELECT id FROM entities)) AS orphan_claims_skipped")
+def ingest_counts(spark, d):
+    return graph.ingest(table(spark, d, "entities"), table(spark, d, "claims"))[1]
+
+
+@query(f"SELECT (SELECT count(*) FROM {_EDGES}) AS edges, 0::BIGINT AS again")
+def ingest_again(spark, d):
+    e, c = table(spark, d, "entities"), table(spark, d, "claims")
+    g = graph.ingest(e, c)[0]
+    twice, counters = graph.ingest(e, c, g)
+    return twice.edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(counters.select(F.col("total_claims_ingested").alias("again")))
+
+
+@query(f"SELECT id, name, entity_type FROM entities WHERE id = '{HUB}'")
+def node_lookup(spark, d):
+    return graph.node(_graph(spark, d), HUB).select("id", "name", "entity_type")
+
+
+@query(f"SELECT ord, id FROM claims WHERE subject_id = '{HUB}' OR object_id = '{HUB}'")
+def claims_for_entity(spark, d):
+    return graph.claims_for_entity(table(spark, d, "claims"), HUB).select("ord", "id")
+
+
+_AROUND = f"(SELECT object_id AS neighbor_id, 'outgoing' AS direction, id, is_current FROM {_EDGES} WHERE subject_id = '{HUB}' UNION ALL SELECT subject_id, 'incoming', id, is_current FROM {_EDGES} WHERE object_id = '{HUB}')"
+
+
+@query(f"SELECT neighbor_id, direction, id FROM {_AROUND} WHERE is_current")
+def neighbors(spark, d):
+    g = _graph(spark, d)
+    return graph.neighbors(g.edges, g.vertices.where(F.col("id") == HUB)).select("neighbor_id", "direction", "id")
+
+
+@query("SELECT id FROM entities WHERE contains(lower(name), 'gas') OR len(list_filter(coalesce(aliases, []), lambda a: contains(lower(a), 'gas'))) > 0")
+def entity_search(spark, d):
+    return graph.find_by_name(table(spark, d, "entities"), "gas").select("id")
+
+
+@query(f"WITH l AS (SELECT subject_id AS a, object_id AS b FROM {_EDGES} UNION SELECT object_id, subject_id FROM {_EDGES}), k1 AS (SELECT '{HUB}' AS id UNION SELECT b FROM l WHERE a = '{HUB}'), k2 AS (SELECT id FROM k1 UNION SELECT b FROM l JOIN k1 ON l.a = k1.id) SELECT id FROM {_EDGES} WHERE subject_id IN (SELECT id FROM k2) AND object_id IN (SELECT id FROM k2)")
+def subgraph_2hop(spark, d):
+    g = _graph(spark, d)
+    return graph.subgraph(g, g.vertices.where(F.col("id") == HUB), 2).edges.select("id")
+
+
+@query(f"SELECT id, degree FROM {_DEGREE}")
+def node_degree(spark, d):
+    return graph.degrees(_graph(spark, d))
+
+
+@query(f"WITH t AS (SELECT id FROM {_DEGREE} ORDER BY degree DESC, id LIMIT 200) SELECT id FROM {_EDGES} WHERE subject_id IN (SELECT id FROM t) AND object_id IN (SELECT id FROM t)")
+def top_nodes(spark, d):
+    return graph.top_nodes(_graph(spark, d), 200).edges.select("id")
+
+
+_TYPES, _RELS = ["User", "Organization", "Project"], ["mentions", "discussed", "approved", "decided", "sent_to"]
+
+
+@query(f"""WITH v AS (SELECT id FROM entities WHERE entity_type IN ('User', 'Organization', 'Project')), e AS (SELECT * FROM {_EDGES} WHERE coalesce(confidence, 0) >= 0.5 AND is_current AND relation IN ('mentions', 'discussed', 'approved', 'decided', 'sent_to') AND subject_id IN (SELECT id FROM v) AND object_id IN (SELECT id FROM v)),
+ g AS (SELECT id, count(*) AS degree FROM (SELECT subject_id AS id FROM e UNION ALL SELECT object_id FROM e) GROUP BY id), t AS (SELECT id FROM g ORDER BY degree DESC, id LIMIT 200)
+ SELECT id FROM e WHERE subject_id IN (SELECT id FROM t) AND object_id IN (SELECT id FROM t)""")
+def graph_view(spark, d):
+    return graph.view(_graph(spark, d), _TYPES, _RELS).edges.select("id")
+
+
+@query(f"WITH RECURSIVE p AS (SELECT subject_id AS a, object_id AS b FROM {_EDGES} UNION SELECT object_id, subject_id FROM {_EDGES}), r(v, c) AS (SELECT id, id FROM entities UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.v) SELECT v AS id, min(c) AS component FROM r GROUP BY v")
+def weak_components(spark, d):
+    return graph.weak_components(_graph(spark, d))
+
+
+@query(f"""SELECT 'entity_types' AS section, entity_type AS k, count(*)::DOUBLE AS v FROM entities GROUP BY entity_type UNION ALL SELECT 'relations', relation, count(*)::DOUBLE FROM {_EDGES} GROUP BY relation
+ UNION ALL SELECT 'totals', 'nodes', count(*)::DOUBLE FROM entities UNION ALL SELECT 'totals', 'edges', count(*)::DOUBLE FROM {_EDGES}
+ UNION ALL SELECT 'evidence', 'total', sum(coalesce(len(evidence), 0))::DOUBLE FROM {_EDGES} UNION ALL SELECT 'evidence', 'average', round(avg(coalesce(len(evidence), 0)), 6) FROM {_EDGES} UNION ALL SELECT 'evidence', 'without', count_if(coalesce(len(evidence), 0) = 0)::DOUBLE FROM {_EDGES}
+ UNION ALL SELECT 'confidence', 'mean', round(avg(confidence), 6) FROM {_EDGES} UNION ALL SELECT 'confidence', 'min', min(confidence) FROM {_EDGES} UNION ALL SELECT 'confidence', 'max', max(confidence) FROM {_EDGES}
+ UNION ALL SELECT 'validity', 'current', count_if(is_current)::DOUBLE FROM {_EDGES} UNION ALL SELECT 'validity', 'historical', count_if(NOT is_current)::DOUBLE FROM {_EDGES}""")
+def graph_metrics(spark, d):
+    return graph.metrics(_graph(spark, d)).where("k != 'components'").select("section", "k", F.round("v", 6).alias("v"))
+
+
+def _case(c: str, colours: dict[str, str], other: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in colours.items()) + f" ELSE '{other}' END"
+
+
+@query(f"SELECT e.id, substr(e.name, 1, 30) AS label, (15 + least(3 * g.degree, 30))::BIGINT AS size, {_case('entity_type', graph.NODE_COLOURS, graph.NODE_OTHER)} AS colour, entity_type || ': ' || name || ' | ' || coalesce(array_to_string(aliases[1:5], ', '), '') AS tooltip FROM entities e JOIN {_DEGREE} g USING (id)")
+def node_style(spark, d):
+    return graph.node_style(_graph(spark, d))
+
+
+@query(f"SELECT id, CASE WHEN NOT is_current THEN '{graph.EDGE_PAST}' ELSE {_case('relation', graph.EDGE_COLOURS, graph.EDGE_OTHER)} END AS colour, greatest(1.0::DOUBLE, 3 * coalesce(confidence, 0)) AS width, NOT is_current AS dashed, coalesce(array_to_string(list_transform(evidence[1:3], lambda e: substr(coalesce(e.exact_quote, ''), 1, 100)), ' / '), '') AS tooltip FROM {_EDGES}")
+def edge_style(spark, d):
+    return graph.edge_style(_graph(spark, d))
+
+
+@query(f"SELECT 'entity_type' AS kind, entity_type AS value FROM entities UNION SELECT 'relation', relation FROM {_EDGES}")
+def selector_lists(spark, d):
+    return graph.selector_lists(_graph(spark, d))
+
+
+@query("SELECT id, len(aliases) AS n_aliases FROM entities WHERE len(aliases) > 0 ORDER BY ord LIMIT 50")
+def merged_entities(spark, d):
+    e = table(spark, d, "entities").where(F.size("aliases") > 0)
+    return e.orderBy("ord").limit(50).select("id", F.size("aliases").cast("bigint").alias("n_aliases"))
+
+
+# ---------------------------------------------------------------- retrieval
+QUESTIONS = ["Which topics did Richard discuss about gas", "Who are the most active correspondents", "Which decisions were made about energy trading", "Which projects or deals were discussed", "Who communicated with Katherine"]
+_Q = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS)) + ") q(qid, question))"
+_INDEX = "(SELECT e.id AS entity_id, e.ord, u.spos - 1 AS spos, u.surface FROM entities e, unnest(list_prepend(e.name, coalesce(e.aliases, []))) WITH ORDINALITY AS u(surface, spos) WHERE u.surface != '')"
+_VECS = f"(SELECT i.entity_id, i.spos, v.embedding::DOUBLE[] AS vec FROM {_INDEX} i JOIN embeddings v ON v.vec_id = (i.ord * 31 + i.spos * 97) % (SELECT count(*) FROM embeddings))"
+_SIMS = f"(SELECT q.qid, i.entity_id, i.spos, list_dot_product(i.vec, w.embedding::DOUBLE[]) AS sim FROM {_VECS} i, {_Q} q JOIN embeddings w ON w.vec_id = q.qid)"
+_TOPK = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, entity_id, spos) AS rn FROM {_SIMS}) WHERE rn <= 15)"
+_HITS = f"(SELECT DISTINCT q.qid, i.entity_id FROM (SELECT id AS entity_id, list_transform(list_prepend(name, coalesce(aliases, [])), lambda s: lower(s)) AS names FROM entities) i, (SELECT qid, unnest(regexp_split_to_array(lower(question), '\\s+')) AS w FROM {_Q}) q WHERE length(q.w) >= 3 AND len(list_filter(i.names, lambda s: contains(s, q.w))) > 0)"
+_MATCH = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_id) AS rank FROM (SELECT coalesce(s.qid, h.qid) AS qid, coalesce(s.entity_id, h.entity_id) AS entity_id, coalesce(s.sim, 0.3::DOUBLE) + CASE WHEN h.qid IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END AS score FROM (SELECT qid, entity_id, max(sim) AS sim FROM {_TOPK} GROUP BY qid, entity_id) s FULL JOIN {_HITS} h ON h.qid = s.qid AND h.entity_id = s.entity_id)) WHERE rank <= 5)"
+_ITEMS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, rank, direction DESC, ord) AS place FROM (SELECT *, score * CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0 ELSE confidence END * CASE WHEN is_current THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END AS relevance FROM (
+ SELECT m.qid, m.score, m.rank, x.*, row_number() OVER (PARTITION BY m.qid, x.id ORDER BY m.rank, x.direction DESC) AS b FROM {_MATCH} m JOIN (SELECT subject_id AS entity_id, 'outgoing' AS direction, * FROM {_EDGES} UNION ALL SELECT object_id, 'incoming', * FROM {_EDGES}) x ON x.entity_id = m.entity_id) WHERE b = 1)) WHERE place <= 10)"""
+
+
+def _questions(spark, d) -> DataFrame:
+    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, question string")
+    return q.join(table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").alias("qvec")), "qid")
+
+
+def _index(spark, d, g: graph.Graph) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    n = v.count()
+    i = retrieval.name_index(g.vertices).withColumn("vec_id", (F.col("ord") * 31 + F.col("spos") * 97) % n)
+    return i.join(v.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("entity_id", "spos", "vec")
+
+
+@query(f"SELECT entity_id, spos, surface FROM {_INDEX}")
+def name_index(spark, d):
+    return retrieval.name_index(table(spark, d, "entities")).select("entity_id", F.col("spos").cast("bigint").alias("spos"), "surface")
+
+
+@query(f"SELECT qid, entity_id FROM {_HITS}")
+def keyword_match(spark, d):
+    return retrieval.keyword_match(table(spark, d, "entities"), _questions(spark, d))
+
+
+@query(f"SELECT qid, entity_id, spos, round(sim, 6) AS sim FROM {_TOPK}")
+def vector_topk(spark, d):
+    t = retrieval.vector_topk(_index(spark, d, _graph(spark, d)), _questions(spark, d), 15)
+    return t.select("qid", "entity_id", F.col("spos").cast("bigint").alias("spos"), F.round("sim", 6).alias("sim"))
+
+
+@query(f"SELECT qid, entity_id, round(score, 6) AS score, rank FROM {_MATCH}")
+def blend_scores(spark, d):
+    g = _graph(spark, d)
+    m = retrieval.match_entities(g, _index(spark, d, g), _questions(spark, d))
+    return m.select("qid", "entity_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _retrieved(spark, d, **options) -> DataFrame:
+    g = _graph(spark, d)
+    return retrieval.retrieve(g, _index(spark, d, g), _questions(spark, d), **options)
+
+
+@query(f"SELECT i.qid, i.place, i.id AS claim_id, coalesce(s.name, i.subject_id) AS subject, i.relation, coalesce(o.name, i.object_id) AS object, round(i.relevance, 6) AS relevance FROM {_ITEMS} i LEFT JOIN entities s ON s.id = i.subject_id LEFT JOIN entities o ON o.id = i.object_id")
+def retrieve_items(spark, d):
+    r = _retrieved(spark, d)
+    return r.select("qid", F.col("place").cast("bigint").alias("place"), "claim_id", "subject", "relation", "object", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"SELECT qid, place, id AS claim_id, is_current, round(relevance, 6) AS relevance FROM {_ITEMS.replace(_EDGES, f'(SELECT * FROM {_EDGES} WHERE is_current)')}")
+def retrieve_current(spark, d):
+    r = _retrieved(spark, d, include_historical=False)
+    return r.select("qid", F.col("place").cast("bigint").alias("place"), "claim_id", "is_current", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"""SELECT i.qid, string_agg('[' || i.place || '] ' || coalesce(s.name, i.subject_id) || ' ' || i.relation || ' ' || coalesce(o.name, i.object_id) || ' | ' || CASE WHEN i.is_current THEN 'CURRENT' ELSE 'HISTORICAL (until ' || coalesce(i.valid_until, '') || ')' END || ' | ' || printf('%.2f', CASE WHEN i.confidence IS NULL OR isnan(i.confidence) THEN 0 ELSE i.confidence END) ||
+ coalesce(array_to_string(list_transform(i.evidence, lambda e: chr(10) || '  - "' || coalesce(e.exact_quote, '') || '" (' || coalesce(e.source_id, '') || ')'), ''), ''), chr(10) ORDER BY i.place) AS context FROM {_ITEMS} i LEFT JOIN entities s ON s.id = i.subject_id LEFT JOIN entities o ON o.id = i.object_id GROUP BY i.qid""")
+def format_context(spark, d):
+    return retrieval.format_context(_retrieved(spark, d))
+
+
+@query()
+def context_dict(spark, d):
+    g, q = _graph(spark, d), _questions(spark, d)
+    index = _index(spark, d, g)
+    return retrieval.context_packs(retrieval.retrieve(g, index, q), retrieval.match_entities(g, index, q), g.vertices, q)
+
+
+@query()
+def answer_question(spark, d):
+    return retrieval.answer(_retrieved(spark, d), _questions(spark, d))
+
+
+# ---------------------------------------------------------------- stores and streams
+def _scratch(spark, name: str) -> str:
+    base = shared_dir(spark)
+    if base.startswith("file:///"):
+        return "file://" + tempfile.mkdtemp(prefix=f"{name}-", dir=base[7:])
+    return f"{base}/{name}"
+
+
+@query("SELECT ord, id, relation, confidence FROM claims")
+def store_roundtrip(spark, d):
+    path = _scratch(spark, "store")
+    stores.save_store(Store(table(spark, d, "entities"), table(spark, d, "claims")), path)
+    return stores.load_store(spark, path, validate=False).claims.select("ord", "id", "relation", "confidence")
+
+
+@query(f"SELECT id, subject_id, object_id FROM {_EDGES}")
+def graph_roundtrip(spark, d):
+    path = _scratch(spark, "graph")
+    stores.save_graph(_graph(spark, d), path)
+    return stores.load_graph(spark, path).edges.select("id", "subject_id", "object_id")
+
+
+@query("SELECT id, ord FROM (SELECT id, ord, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM claims) WHERE rn = 1")
+def incremental_ingest(spark, d):
+    path = _scratch(spark, "stream")
+    c = table(spark, d, "claims")
+    for part in range(2):  # two deliveries, the second repeats the first
+        c.write.mode("append").json(f"{path}/in")
+        ingest_claims(spark, f"{path}/in", f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return current_claims(spark, f"{path}/store").select("id", "ord")
