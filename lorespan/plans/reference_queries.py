@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from lorespan.functions import text as T
 from lorespan.operators import dedup, extraction, graph, retrieval, threads
 from lorespan.operators.components import connected_components
 from lorespan.schema import Settings, Store
-from lorespan.session import shared_dir, table
+from lorespan.session import scratch_path, table
 from lorespan.sources import store as stores
 from lorespan.streaming.ingest import current_claims, ingest_claims
 
@@ -480,30 +479,23 @@ def answer_question(spark, d):
 
 
 # ---------------------------------------------------------------- stores and streams
-def _scratch(spark, name: str) -> str:
-    base = shared_dir(spark)
-    if base.startswith("file:///"):
-        return "file://" + tempfile.mkdtemp(prefix=f"{name}-", dir=base[7:])
-    return f"{base}/{name}"
-
-
 @query("SELECT ord, id, relation, confidence FROM claims")
 def store_roundtrip(spark, d):
-    path = _scratch(spark, "store")
+    path = scratch_path(spark, "store")
     stores.save_store(Store(table(spark, d, "entities"), table(spark, d, "claims")), path)
     return stores.load_store(spark, path, validate=False).claims.select("ord", "id", "relation", "confidence")
 
 
 @query(f"SELECT id, subject_id, object_id FROM {_EDGES}")
 def graph_roundtrip(spark, d):
-    path = _scratch(spark, "graph")
+    path = scratch_path(spark, "graph")
     stores.save_graph(_graph(spark, d), path)
     return stores.load_graph(spark, path).edges.select("id", "subject_id", "object_id")
 
 
 @query("SELECT id, ord FROM (SELECT id, ord, row_number() OVER (PARTITION BY id ORDER BY ord) AS rn FROM claims) WHERE rn = 1")
 def incremental_ingest(spark, d):
-    path = _scratch(spark, "stream")
+    path = scratch_path(spark, "stream")
     c = table(spark, d, "claims")
     for part in range(2):  # two deliveries, the second repeats the first
         c.write.mode("append").json(f"{path}/in")
