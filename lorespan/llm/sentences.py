@@ -236,8 +236,8 @@ class Model:
                     score = STOP + ending - self.goes_on(left) + case
                 else:
                     score = STOP + ending + max(-8.0, min(3.0, self.starts_with(word))) + case
-                if case > 0 and ending > -1:
-                    score += 2.0 if left == "#" else 4.0
+                if case > 0 and ending > -1 and left != "#":  # names begin sentences, but hardly ever paragraphs
+                    score += 4.0
             elif set(mark.strip()) <= {".", "…"}:
                 score = DOTS + max(-8.0, min(2.0, self.starts_with(word))) + 2 * case
             else:
