@@ -23,7 +23,7 @@ MAX_KINDS, MAX_CAPACITY_SUM = 64, 1 << 21
 #: Containers of one kind in a step group.
 STEP_SIZE = 8
 #: Hash slices in which the documents of one size are numbered.
-SLICES = 256
+SLICES = 1024
 
 
 @dataclass

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorespan.llm.conversations import conversations
 from lorespan.llm.encode import count_tokens, encode_corpus
 from lorespan.llm.names import same_entity_pairs
-from lorespan.llm.packing import pack
+from lorespan.llm.packing import MAX_KINDS, pack
 from lorespan.llm.pii import personal_items, redact
 from lorespan.llm.quoted import newly_written
 from lorespan.llm.sentences import split_sentences
@@ -53,7 +53,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kinds(spark: SparkSession, d: str) -> list[tuple[str, int]]:
-    return [(r.kind, r.capacity_tokens) for r in table(spark, d, "containers").collect()]
+    return [(r.kind, r.capacity_tokens) for r in table(spark, d, "containers").limit(MAX_KINDS + 1).collect()]
 
 
 def p9_pack(spark: SparkSession, d: str) -> DataFrame:

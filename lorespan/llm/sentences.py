@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A count is kept if it is at least this share of its table; a table has at most the inverse of it entries.
-MIN_SHARE = 2e-6
+MIN_SHARE = 5e-6
 #: Smoothing of the ratios, and letters of context in scripts without marks.
 SMOOTH, LETTERS = 1.0, 4
 #: Prior scores: full stop, strong mark, mark behind a closing quote, ellipsis, space; changes for the next letter's case; cost of a boundary right behind another.
@@ -48,13 +48,15 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 
 
 def before_word(text: str, at: int) -> str:
-    """The word before a mark at ``at``: with inner stops, figures as #."""
+    """The word before a mark at ``at``: with inner stops, figures as #, initials as @."""
     m = _LAST_WORD.search(text, max(0, at - 25), at)
     if not m:
         return ""
     w = m.group()
     if not _CJK.match(w[-1]):  # a word of another script stands right before it
         w = _AFTER_WIDE.search(w).group()
+    if len(w) == 1 and w.isupper():
+        return "@"
     return "#" if w[0].isdigit() and not w[-1].isalpha() else w[-2:] if _CJK.match(w[-1]) else w
 
 
@@ -80,19 +82,24 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def _follows(a: str, b: str) -> bool:
+    """True if item mark ``b`` comes right after ``a``."""
+    return int(b) == int(a) + 1 if a.isdigit() and b.isdigit() else len(a) == len(b) == 1 and ord(b) == ord(a) + 1
+
+
 def _items(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
     first = _ITEM.match(text, start, end)
     if not first:
         return [(start, end, False)] if text[start:end].strip() else []
-    marks, number, line = [start], int(first[2]) if first[2] and first[2].isdigit() else None, text.find("\n", start, end)
+    marks, last, line = [start], first[2], text.find("\n", start, end)
     while line >= 0:
         m = _ITEM.match(text, line + 1, end)
-        if m and (m[1] == first[1] if first[1] else m[2] and (not m[2].isdigit() if number is None else m[2].isdigit() and int(m[2]) == number + 1)):
+        if m and (m[1] == first[1] if first[1] else m[2] and _follows(last, m[2])):
             marks.append(line + 1)
-            number = int(m[2]) if m[2] and m[2].isdigit() else number
+            last = m[2]
         line = text.find("\n", line + 1, end)
-    if len(marks) == 1 and first[2] and number != 1:  # a figure that a line break brought to the front
-        return [(start, end, False)]
+    if first[2] and (not first[2].isdigit() and (len(marks) == 1 or first[2] not in "aA") or first[2].isdigit() and len(marks) == 1 and first[2] != "1"):
+        return [(start, end, False)]  # an initial, or a figure that a line break brought to the front
     return [(a, b, True) for a, b in zip(marks, [*marks[1:], end])]
 
 
@@ -179,7 +186,7 @@ class Model:
     def ends_with(self, word: str) -> float:
         """How much more often than others the word before a stop ends a paragraph."""
         n, all_ = self.n.get(("e", word), 0), self.n.get(("w", word), 0)
-        if not all_ and len(word) == 1 and word.isalpha():
+        if word == "@" and not all_:
             return -4.0
         return math.log((n + SMOOTH * self.end_rate) / ((max(all_, n) + SMOOTH) * self.end_rate))
 
