@@ -68,11 +68,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block:
     sizes = sizes.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
     sliced = placed.join(sizes.select("block", "cell", "slices"), ["block", "cell"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    apart = F.udf(lambda i, j: float(between[i, j]), "double")
+    matrix = F.array(*[F.lit(float(x)) for x in between.ravel()])
     one = sizes.select("block", F.col("cell").alias("c1"), F.col("radius").alias("r1"), F.col("slices").alias("s1"))
     two = sizes.select("block", F.col("cell").alias("c2"), F.col("radius").alias("r2"), F.col("slices").alias("s2"))
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
-    tasks = one.join(two, "block").where("c1 <= c2").where(apart("c1", "c2") <= F.col("r1") + F.col("r2") + F.lit(reach))
+    tasks = one.join(two, "block").where("c1 <= c2").where(F.get(matrix, F.col("c1") * len(pivots) + F.col("c2")) <= F.col("r1") + F.col("r2") + F.lit(reach))
     tasks = tasks.withColumn("k1", F.explode(F.sequence(F.lit(0), F.col("s1") - 1))).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("s2") - 1)))
     tasks = tasks.where("c1 < c2 or k1 <= k2").select("block", "c1", "k1", "c2", "k2", F.concat_ws(":", "c1", "k1", "c2", "k2").alias("task"))
     sides = tasks.select("block", "task", F.col("c1").alias("cell"), F.col("k1").alias("slice")).union(tasks.select("block", "task", "c2", "k2"))

@@ -12,8 +12,11 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from lorespan.operators.graph import Graph, neighbors
 from lorespan.schema import Settings
+from lorespan.session import bounded_broadcast
 
 DIMENSIONS = 64
+#: Most questions of one call that are broadcast to all rows; more of them are joined without a hint.
+MAX_QUERIES = 10_000
 
 
 def embed_texts(texts: list[str | None]) -> np.ndarray:
@@ -46,20 +49,18 @@ def dot(a: Column, b: Column) -> Column:
 def vector_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, entity_id, spos, sim): the ``k`` most similar index rows of each query (qid, qvec); ties by id.
 
-    The queries are the small side; each partition keeps only its best ``k``
-    rows per query before anything is shuffled.
+    A stated set of queries meets all rows.  The bound on the row number lets
+    the planner keep the best ``k`` of each partition before the shuffle.
     """
-    scored = index.crossJoin(F.broadcast(queries.select("qid", "qvec"))).select("qid", "entity_id", "spos", dot(F.col("vec"), F.col("qvec")).alias("sim"))
+    scored = index.crossJoin(bounded_broadcast(queries.select("qid", "qvec"), MAX_QUERIES)).select("qid", "entity_id", "spos", dot(F.col("vec"), F.col("qvec")).alias("sim"))
     order = [F.desc("sim"), F.col("entity_id"), F.col("spos")]
-    local = scored.withColumn("_p", F.spark_partition_id())
-    best = local.withColumn("_r", F.row_number().over(Window.partitionBy("qid", "_p").orderBy(*order))).where(F.col("_r") <= k)
-    return best.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_p")
+    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
 def keyword_match(vertices: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, entity_id): entities with a query word of three letters or more in their name or an alias."""
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) >= 3)
-    q = F.broadcast(queries.select("qid", words.alias("words")))
+    q = bounded_broadcast(queries.select("qid", words.alias("words")), MAX_QUERIES)
     surfaces = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower)
     hit = F.exists("words", lambda w: F.exists("surfaces", lambda s: F.contains(s, w)))
     return vertices.select(F.col("id").alias("entity_id"), surfaces.alias("surfaces")).crossJoin(q).where(hit).select("qid", "entity_id")
@@ -84,8 +85,8 @@ def retrieve(graph: Graph, index: DataFrame, queries: DataFrame, settings: Setti
     """
     matched = match_entities(graph, index, queries, settings)
     edges = graph.edges if include_historical else graph.edges.where(F.coalesce("is_current", F.lit(True)))
-    around = neighbors(edges, F.broadcast(matched.select(F.col("entity_id").alias("id")).distinct()), current_only=False)
-    rows = around.join(F.broadcast(matched), "entity_id")
+    around = neighbors(edges, matched.select(F.col("entity_id").alias("id")).distinct(), current_only=False)
+    rows = around.join(matched, "entity_id")
     best = Window.partitionBy("qid", "id").orderBy("rank", F.desc("direction"))
     rows = rows.withColumn("_b", F.row_number().over(best)).where("_b = 1")
     current = F.coalesce("is_current", F.lit(True))

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -41,6 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
