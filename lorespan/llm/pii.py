@@ -280,7 +280,9 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[
         begin = work.rfind("\n", 0, s) + 1
         end = work.find("\n", e)
         end = len(work) if end < 0 else end
-        before, behind = work[begin:s], work[e:end]
+        # Only short rests of a line can make it a greeting or a sign-off.
+        before = work[begin:s] if s - begin < 50 else "." * 50
+        behind = work[e:end] if end - e < 50 else work[e : e + 50].lstrip()[:1] + "."
         near = _flat(work[max(0, s - 90) : s])
         close = near[-24:]
         if known and not known.isdisjoint(_LETTER_RUNS.findall(fold(work[s:e]).lower())):
