@@ -142,8 +142,13 @@ def metrics(graph: Graph) -> DataFrame:
 
 
 # Colours by entity type and by relation, with those of all others.
-NODE_COLOURS = {"User": "#4CAF50", "Component": "#2196F3", "Bug": "#F44336", "Feature": "#FF9800", "Issue": "#9C27B0", "Decision": "#FFC107", "Organization": "#795548", "Topic": "#607D8B", "Project": "#3F51B5"}
-EDGE_COLOURS = {"created": "#4CAF50", "fixed": "#2196F3", "broke": "#F44336", "depends_on": "#FF9800", "approved": "#8BC34A", "blocked_by": "#E91E63"}
+NODE_COLOURS = {
+    "User": "#4CAF50", "Component": "#2196F3", "Bug": "#f44336", "Feature": "#FF9800", "Issue": "#9C27B0", "Label": "#607D8B", "Decision": "#E91E63", "Concept": "#00BCD4", "Organization": "#FF5722", "Topic": "#3F51B5", "Project": "#8BC34A",
+}
+EDGE_COLOURS = {
+    "created": "#4CAF50", "reported": "#FF9800", "fixed": "#2196F3", "broke": "#f44336", "mentions": "#9E9E9E", "decided": "#E91E63", "status_changed": "#9C27B0", "assigned_to": "#795548", "related_to": "#607D8B", "caused_by": "#f44336",
+    "duplicate_of": "#FF5722", "sent_to": "#4CAF50", "forwarded_to": "#FF9800", "discussed": "#3F51B5", "approved": "#8BC34A", "escalated_to": "#E91E63",
+}
 NODE_OTHER, EDGE_OTHER, EDGE_PAST = "#00BCD4", "#9E9E9E", "#555555"
 
 

@@ -111,20 +111,38 @@ def context_packs(items: DataFrame, matched: DataFrame, vertices: DataFrame, que
     return out.select("qid", F.to_json(F.struct("query", "matched_entities", "items")).alias("pack"))
 
 
-def format_context(items: DataFrame) -> DataFrame:
-    """(qid, context): numbered claim blocks as text for a model."""
+def format_context(items: DataFrame, matched: DataFrame, vertices: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, context): the question, the matched entities and numbered claim blocks as text for a model."""
+    e = matched.join(vertices.select(F.col("id").alias("entity_id"), "name", "entity_type", "aliases"), "entity_id")
+    also = F.when(F.size("aliases") > 0, F.concat(F.lit(" (aliases: "), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("  - "), "name", F.lit(" ["), "entity_type", F.lit("]"), also)
+    entities = e.select("qid", "rank", line.alias("line")).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x.line), "\n").alias("names"))
+    heads = queries.select("qid", "question").join(entities, "qid", "left").join(claim_blocks(items), "qid", "left")
+    parts = [F.concat(F.lit("CONTEXT FOR QUERY: "), "question", F.lit("\n")), F.concat(F.lit("MATCHED ENTITIES:\n"), "names", F.lit("\n")), F.lit("RELEVANT CLAIMS (ranked by relevance):"), F.col("blocks")]
+    return heads.select("qid", F.concat_ws("\n", *parts).alias("context"))
+
+
+def claim_blocks(items: DataFrame) -> DataFrame:
+    """(qid, blocks): numbered claims with status and evidence, best first."""
     status = F.when(F.col("is_current"), F.lit("CURRENT")).otherwise(F.concat(F.lit("HISTORICAL (until "), "valid_until", F.lit(")")))
-    quotes = F.array_join(F.transform(F.coalesce("evidence", F.array().cast(items.schema["evidence"].dataType)), lambda e: F.concat(F.lit("\n  - \""), F.coalesce(e.exact_quote, F.lit("")), F.lit("\" ("), F.coalesce(e.source_id, F.lit("")), F.lit(")"))), "")
-    block = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "subject", F.lit(" "), "relation", F.lit(" "), "object", F.lit(" | "), status, F.lit(" | "), F.format_string("%.2f", F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0))), quotes)
-    return items.select("qid", "place", block.alias("block")).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "block"))), lambda x: x.block), "\n").alias("context"))
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    quote = lambda e: F.concat(F.lit("\n      EVIDENCE [source: "), known(e.source_id), F.lit("]:\n        \""), F.coalesce(e.exact_quote, F.lit("")), F.lit("\"\n        -- "), known(e.author), F.lit(" at "), known(e.timestamp))
+    quotes = F.array_join(F.transform(F.coalesce("evidence", F.array().cast(items.schema["evidence"].dataType)), quote), "")
+    confidence = F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)).cast("string")
+    block = F.concat(
+        F.lit("\n  ["), F.col("place").cast("string"), F.lit("] "), "subject", F.lit(" --"), "relation", F.lit("--> "), "object",
+        F.lit("\n      Status: "), status, F.lit(" | Confidence: "), confidence, F.lit("\n      Valid from: "), F.coalesce("valid_from", F.lit("None")), quotes,
+    )
+    return items.select("qid", "place", block.alias("block")).groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "block"))), lambda x: x.block), "\n").alias("blocks"))
 
 
-NO_ANSWER = "No relevant information was found in the memory."
+# Fixed value: the answer where nothing was found.
+NO_ANSWER = "I couldn't find any relevant information in the memory graph for that query."
 
 
 def answer(items: DataFrame, queries: DataFrame, generator: Callable[[str, str], str] | None = None) -> DataFrame:
-    """(qid, answer): by a pluggable generator; without one the context itself, and a fixed text where nothing was found."""
-    joined = queries.select("qid", "question").join(format_context(items), "qid", "left")
+    """(qid, answer): by a pluggable generator; without one the claims themselves, and a fixed text where nothing was found."""
+    joined = queries.select("qid", "question").join(claim_blocks(items).withColumnRenamed("blocks", "context"), "qid", "left")
     if generator is None:
         return joined.select("qid", F.coalesce("context", F.lit(NO_ANSWER)).alias("answer"))
 

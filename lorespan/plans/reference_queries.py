@@ -460,10 +460,14 @@ def retrieve_current(spark, d):
     return r.select("qid", F.col("place").cast("bigint").alias("place"), "claim_id", "is_current", F.round("relevance", 6).alias("relevance"))
 
 
-@query(f"""SELECT i.qid, string_agg('[' || i.place || '] ' || coalesce(s.name, i.subject_id) || ' ' || i.relation || ' ' || coalesce(o.name, i.object_id) || ' | ' || CASE WHEN i.is_current THEN 'CURRENT' ELSE 'HISTORICAL (until ' || coalesce(i.valid_until, '') || ')' END || ' | ' || printf('%.2f', CASE WHEN i.confidence IS NULL OR isnan(i.confidence) THEN 0 ELSE i.confidence END) ||
- coalesce(array_to_string(list_transform(i.evidence, lambda e: chr(10) || '  - "' || coalesce(e.exact_quote, '') || '" (' || coalesce(e.source_id, '') || ')'), ''), ''), chr(10) ORDER BY i.place) AS context FROM {_ITEMS} i LEFT JOIN entities s ON s.id = i.subject_id LEFT JOIN entities o ON o.id = i.object_id GROUP BY i.qid""")
+@query(f"""WITH b AS (SELECT i.qid, string_agg(chr(10) || '  [' || i.place || '] ' || coalesce(s.name, i.subject_id) || ' --' || i.relation || '--> ' || coalesce(o.name, i.object_id) || chr(10) || '      Status: ' || CASE WHEN i.is_current THEN 'CURRENT' ELSE 'HISTORICAL (until ' || coalesce(i.valid_until, '') || ')' END || ' | Confidence: ' || CASE WHEN i.confidence IS NULL OR isnan(i.confidence) THEN 0::DOUBLE ELSE i.confidence END || chr(10) || '      Valid from: ' || coalesce(i.valid_from, 'None') ||
+ coalesce(array_to_string(list_transform(i.evidence, lambda e: chr(10) || '      EVIDENCE [source: ' || coalesce(e.source_id, 'unknown') || ']:' || chr(10) || '        "' || coalesce(e.exact_quote, '') || '"' || chr(10) || '        -- ' || coalesce(e.author, 'unknown') || ' at ' || coalesce(e."timestamp", 'unknown')), ''), ''), chr(10) ORDER BY i.place) AS blocks FROM {_ITEMS} i LEFT JOIN entities s ON s.id = i.subject_id LEFT JOIN entities o ON o.id = i.object_id GROUP BY i.qid),
+ n AS (SELECT m.qid, string_agg('  - ' || e.name || ' [' || e.entity_type || ']' || CASE WHEN len(e.aliases) > 0 THEN ' (aliases: ' || array_to_string(e.aliases, ', ') || ')' ELSE '' END, chr(10) ORDER BY m.rank) AS names FROM {_MATCH} m JOIN entities e ON e.id = m.entity_id GROUP BY m.qid)
+ SELECT q.qid, concat_ws(chr(10), 'CONTEXT FOR QUERY: ' || q.question || chr(10), 'MATCHED ENTITIES:' || chr(10) || n.names || chr(10), 'RELEVANT CLAIMS (ranked by relevance):', b.blocks) AS context FROM {_Q} q LEFT JOIN n USING (qid) LEFT JOIN b USING (qid)""")
 def format_context(spark, d):
-    return retrieval.format_context(_retrieved(spark, d))
+    g, q = _graph(spark, d), _questions(spark, d)
+    index = _index(spark, d, g)
+    return retrieval.format_context(retrieval.retrieve(g, index, q), retrieval.match_entities(g, index, q), g.vertices, q)
 
 
 @query()
