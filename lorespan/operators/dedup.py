@@ -36,16 +36,17 @@ def exact_groups(entities: DataFrame) -> DataFrame:
 SLICE = 2048
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block: str = "block", vec: str = "vec", cells: int = 32) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block: str = "block", vec: str = "vec", cells: int = 32, slice_rows: int = SLICE) -> DataFrame:
     """(a, b, sim) of all pairs a < b of one block with a cosine of at least ``threshold``.
 
-    Vectors of a block are put into cells around ``cells`` pivots.  Two cells
+    Vectors of a block are put into cells around pivots, at most ``cells`` and
+    one for every ``slice_rows`` vectors.  Two cells
     whose angular radii rule out any pair are never compared; the others are
     compared slice by slice as matrix products, so no task holds more than two
     slices however large a block is.  Nothing is lost: the bound is exact.
     """
     v = vectors.select(F.col(key).alias("id"), F.col(block).alias("block"), F.col(vec).cast("array<double>").alias("vec")).where("vec is not null")
-    pivots = np.array([r.vec for r in v.orderBy(F.xxhash64("id")).limit(cells).collect()])
+    pivots = np.array([r.vec for r in v.orderBy(F.xxhash64("id")).limit(max(1, min(cells, v.count() // slice_rows))).collect()])
     if not len(pivots):
         return v.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim")).limit(0)
     pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12)
@@ -65,7 +66,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block:
 
     placed = v.mapInPandas(place, f"id {kind}, block {block_kind}, vec array<double>, cell int, angle double")
     sizes = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
-    sizes = sizes.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    sizes = sizes.withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int"))
     sliced = placed.join(sizes.select("block", "cell", "slices"), ["block", "cell"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
     matrix = F.array(*[F.lit(float(x)) for x in between.ravel()])
