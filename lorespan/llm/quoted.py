@@ -1,23 +1,24 @@
 """Newly written text of e-mails and thread comments.
 
 Marks of quoting, separators and headers, sign-offs and footers cut a message
-into what its sender wrote and the rest.  All remaining texts are winnowed into
-fingerprints; an inverted index over the corpus recovers ancestors whose text
-stands in a message without any mark or thread identifier, the spans are
-verified word by word, and closings that recur below sign-offs are removed
-where a message has no sign-off.
+into what its sender wrote and the rest.  All bodies are winnowed into fingerprints
+and looked up in an inverted index of all bodies and all new texts; the spans of
+ancestors are verified word by word.  They cut what stands in a message without
+any mark or thread identifier, and tell where a forwarded text without marks
+ends; where no ancestor is in the corpus the marks decide.  Closings that recur
+below sign-offs are removed where a message has no sign-off.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lorespan.functions.text import is_blank
 from lorespan.llm.names import GIVEN_NAMES, fold
@@ -88,6 +89,11 @@ def _introduces(line: str) -> bool:
 
 def quoted_lines(lines: list[str]) -> list[bool]:
     """Which lines are quoted, forwarded, or introduce such text."""
+    return _quoted(lines)[0]
+
+
+def _quoted(lines: list[str]) -> tuple[list[bool], int | None]:
+    """Quoted lines, and where a text without marks begins that is taken as quoted to the end of the message."""
     n = len(lines)
     gone = [bool(_QUOTE.match(x)) for x in lines]
     k = 0
@@ -122,7 +128,7 @@ def quoted_lines(lines: list[str]) -> list[bool]:
                 j += 1
             if j < n and not gone[j] and re.search(r"\d|@", lines[k]):
                 gone[k:] = [True] * (n - k)
-                return gone
+                return gone, j
         if start is None:
             k += 1
             continue
@@ -144,8 +150,8 @@ def quoted_lines(lines: list[str]) -> list[bool]:
             k = j
         else:
             gone[first:] = [True] * (n - first)
-            return gone
-    return gone
+            return gone, j if j < n else None
+    return gone, None
 
 
 def _header_end(lines: list[str], k: int) -> int | None:
@@ -240,12 +246,23 @@ SHINGLE, WINDOW, MIN_SHARE, MIN_WORDS = 5, 8, 0.8, 25
 MIN_SENDERS, MIN_CLOSED = 5, 0.9
 
 
+#: Fingerprints of a core of which the rarest is posted; their number decides the speed, not the result.
+POSTED = 5
+#: What an ancestor's text is: its whole body, its new text, or both.
+BODY, NEW = 1, 2
+
+
 def winnow(texts: list[str]) -> list[np.ndarray]:
     """Fingerprints of each text: the least shingle hash of every window, computed for all texts at once."""
+    return [np.unique(values) for values, _ in _windows(texts)]
+
+
+def _windows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The least shingle hash of every window of each text, and the word at which the window begins."""
     words = [t.lower().split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     if not n.sum():
-        return [np.zeros(0, np.int64) for _ in texts]
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in texts]
     flat = np.array([x for w in words for x in w], dtype=object)
     codes = pd.util.hash_array(flat)
     owner = np.repeat(np.arange(len(texts)), n)
@@ -262,9 +279,23 @@ def winnow(texts: list[str]) -> list[np.ndarray]:
         shifted[:-k] = hashes[k:]
         least = np.minimum(least, np.where(at + k < ends, shifted, np.uint64(2**64 - 1)))
     keep = valid & ((at + SHINGLE + WINDOW - 1 <= ends) | (at == ends - np.repeat(n, n)))
-    values, owners = least[keep].view(np.int64), owner[keep]
+    values, owners, starts = least[keep].view(np.int64), owner[keep], (at - ends + np.repeat(n, n))[keep]
     bounds = np.searchsorted(owners, np.arange(len(texts) + 1))
-    return [np.unique(values[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return [(values[a:b], starts[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _core(n: int) -> tuple[int, int]:
+    """Words of an ancestor of ``n`` words that every run long enough for a quotation holds: at least a window."""
+    run = max(MIN_WORDS, math.ceil(MIN_SHARE * n))
+    return n - run, run
+
+
+def _core_prints(windows: tuple[np.ndarray, np.ndarray], n: int, part: int) -> np.ndarray:
+    """A few of the fingerprints that a message must hold if it quotes the text, from all of its core."""
+    values, starts = windows
+    lo, hi = _core(n) if part & NEW else (0, n)
+    core = values[(starts >= lo) & (starts + SHINGLE + WINDOW - 1 <= hi)]
+    return np.unique(core[np.linspace(0, len(core) - 1, POSTED).astype(int)])
 
 
 def _paragraph_key(paragraph: list[str]) -> str:
@@ -283,28 +314,69 @@ def messages_of(mail: DataFrame, threads: DataFrame) -> DataFrame:
     return m.union(t).where(~is_blank(F.col("body")))
 
 
+_MARKS = re.compile(r"(?:[ \t]{0,3}[>»|])+")
+
+
+def _plain(line: str) -> str:
+    """The line without its marks of quoting."""
+    return _MARKS.sub("", line, count=1) if _QUOTE.match(line) else line
+
+
+def _kept_words(lines: list[str], words: set[str], first: int) -> tuple[list[str], list[str], list[int], list[str], int | None]:
+    """Lines that are not quoted, kept lines, [begin, end, ...] of their words if ``first`` is the first word, all lines without marks, and the line at which an unmarked tail begins."""
+    gone, tail = _quoted(lines)
+    rest = ["" if g else x for g, x in zip(gone, lines)]
+    text = strip_closing(rest, words)
+    ranges: list[int] = []
+    k, at = 0, first
+    plain = [_plain(x) for x in lines]
+    for x, y in zip(rest, plain):
+        n = len(y.split())
+        if k < len(text) and x is text[k]:
+            k += 1
+            if ranges and ranges[-1] == at:
+                ranges[-1] = at + n
+            else:
+                ranges += [at, at + n]
+        at += n
+    return rest, text, ranges, plain, tail
+
+
 def segment(messages: DataFrame) -> DataFrame:
-    """(src, ord, pos, sender_id, paragraphs, closings, fingerprints): what marks and sign-offs leave, and what they cut."""
+    """What marks and sign-offs leave and cut of each message, and its fingerprints.
+
+    ``flat``: the whole body without marks; ``ranges``: begin and end of the kept words in it; ``tail`` and ``tail_at``:
+    lines of a forwarded text without marks and its first word; ``fingerprints``: of the whole body; ``posts``: new text
+    and whole body as possible ancestors, with the fingerprints that no quotation of them can lack.
+    """
 
     def run(batches):
         for b in batches:
-            kept, closed, senders = [], [], []
+            out = {c: [] for c in ("sender_id", "paragraphs", "closings", "flat", "ranges", "tail", "tail_at")}
             for sender, body in zip(b["sender"], b["body"]):
                 lines = body.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                gone = quoted_lines(lines)
-                rest = ["" if g else x for g, x in zip(gone, lines)]
-                words = sender_words(sender)
-                text = strip_closing(rest, words)
+                rest, text, ranges, plain, tail = _kept_words(lines, sender_words(sender), 0)
                 inside = {id(x) for x in text}
                 cut = [q for q in ([x for x in p if id(x) not in inside] for p in _paragraphs(rest)) if q]
-                blocks = _paragraphs_like(rest, text)
-                kept.append(blocks)
-                closed.append([k for q in cut if len(k := _paragraph_key(q)) >= 40])
-                senders.append(_ADDRESS.sub(r"\1", sender or "").strip().lower())
-            prints = winnow([" ".join(p) for p in kept])
-            yield pd.DataFrame({"src": b["src"], "ord": b["ord"], "pos": b["pos"], "sender_id": senders, "paragraphs": kept, "closings": closed, "fingerprints": prints, "n_words": [sum(map(len, map(str.split, p))) for p in kept]})
-
-    return messages.mapInPandas(run, "src string, ord bigint, pos bigint, sender_id string, paragraphs array<string>, closings array<string>, fingerprints array<bigint>, n_words int")
+                out["paragraphs"].append(_paragraphs_like(rest, text))
+                out["closings"].append([k for q in cut if len(k := _paragraph_key(q)) >= 40])
+                out["sender_id"].append(_ADDRESS.sub(r"\1", sender or "").strip().lower())
+                out["flat"].append(" ".join(" ".join(plain).split()))
+                out["ranges"].append(ranges)
+                out["tail"].append(None if tail is None else "\n".join(lines[tail:]))
+                out["tail_at"].append(0 if tail is None else sum(len(x.split()) for x in plain[:tail]))
+            own = [" ".join(p) for p in out["paragraphs"]]
+            whole = _windows(out["flat"])
+            new = _windows([t if t != f else "" for t, f in zip(own, out["flat"])])
+            posts = []
+            for texts in zip(zip(out["flat"], whole), zip(own, new)):
+                (flat, w), (text, v) = texts
+                sizes = [(BODY, w, len(flat.split())), (NEW, v, len(text.split()))] if flat != text else [(BODY | NEW, w, len(flat.split()))]
+                posts.append([{"part": part, "n": n, "core": _core_prints(w, n, part)} for part, w, n in sizes if n >= MIN_WORDS])
+            yield pd.DataFrame({"src": b["src"], "ord": b["ord"], "pos": b["pos"], "sender": b["sender"], **out, "n_words": [len(t.split()) for t in out["flat"]], "fingerprints": [np.unique(v) for v, _ in whole], "posts": posts})
+
+    kind = "src string, ord bigint, pos bigint, sender string, sender_id string, paragraphs array<string>, closings array<string>, flat string, ranges array<int>, tail string, tail_at int, n_words int, fingerprints array<bigint>, posts array<struct<part: int, n: int, core: array<bigint>>>"
+    return messages.mapInPandas(run, kind)
 
 
 def _paragraphs_like(rest: list[str], text: list[str]) -> list[str]:
@@ -336,34 +408,116 @@ def _key_of(c: Column) -> Column:
 
 
 def ancestors(parts: DataFrame) -> DataFrame:
-    """(src, ord, pos, a_ord, a_pos): earlier messages whose new text a message holds for the most part.
-
-    The inverted index keeps of each fingerprint its first holder; it covers all
-    messages and is aggregated before anything is joined, so a fingerprint
-    that a third of the messages share costs one row.
+    """(src, ord, pos, spans): of each message the runs of words that it shares with other messages' bodies or new texts.
+
+    A run that is long enough to be a quotation holds the core of the ancestor, so any one fingerprint of the core
+    finds every message that quotes it.  All messages are posted, whatever their order, equal texts of one table once,
+    under the rarest of a few fingerprints of their cores; a text whose rarest one nobody else holds is left out.  So a
+    paragraph that many messages share is posted only by texts that consist of it. ``spans`` holds
+    begin, end, and what they are, three by three: BODY if a whole body ends there, NEW if it is a quotation of a new text
+    or of a body.  Bodies count with all their words only: those of two answers to one message have most words in common.
     """
-    prints = parts.select("src", "ord", "pos", "n_words", F.size("fingerprints").alias("n"), F.explode("fingerprints").alias("fp")).repartition("src", "fp")
-    index = prints.groupBy("src", "fp").agg(F.min(F.struct("ord", "pos", "n", "n_words")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    shared = prints.join(index, ["src", "fp"]).where((F.col("first.ord") < F.col("ord")) | ((F.col("first.ord") == F.col("ord")) & (F.col("first.pos") < F.col("pos"))))
-    shared = shared.where((F.col("first.n_words") >= MIN_WORDS) & (F.col("first.n_words") < F.col("n_words")))  # a copy as long as the message is no quotation
-    counts = shared.groupBy("src", "ord", "pos", F.col("first.ord").alias("a_ord"), F.col("first.pos").alias("a_pos"), F.col("first.n").alias("a_n")).agg(F.count(F.lit(1)).alias("both"))
-    return counts.where((F.col("both") >= 3) & (F.col("both") >= MIN_SHARE * 0.5 * F.col("a_n"))).select("src", "ord", "pos", "a_ord", "a_pos")
+    body = F.when(F.col("p.part") == NEW, F.array_join("paragraphs", " ")).otherwise(F.col("flat"))
+    prints = parts.select("src", "ord", "pos", "n_words", F.explode("fingerprints").alias("fp"))
+    held = parts.select(F.explode("fingerprints").alias("fp")).groupBy("fp").count().where("count > 1")
+    posts = parts.select("src", "ord", "pos", F.explode("posts").alias("p"), "flat", "paragraphs").select("src", "ord", "pos", "p.part", "p.n", F.md5(body).alias("text_id"), F.col("p.core").alias("core"))
+    first = posts.groupBy("src", "part", "text_id").agg(F.min(F.struct("ord", "pos", "n", "core")).alias("f"))
+    cores = first.select(F.col("src").alias("a_src"), F.col("f.ord").alias("a_ord"), F.col("f.pos").alias("a_pos"), "part", F.col("f.n").alias("a_n"), F.explode("f.core").alias("fp"))
+    counted = cores.join(held, "fp", "left").groupBy("a_src", "a_ord", "a_pos", "part", "a_n").agg(F.min(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "fp")).alias("rarest"))
+    index = counted.where("rarest.count > 1").select("a_src", "a_ord", "a_pos", "part", "a_n", F.col("rarest.fp").alias("fp"))
+    same = (F.col("src") == F.col("a_src")) & (F.col("ord") == F.col("a_ord")) & (F.col("pos") == F.col("a_pos"))
+    later = (F.col("src") != F.col("a_src")) | (F.col("a_ord") > F.col("ord")) | ((F.col("a_ord") == F.col("ord")) & (F.col("a_pos") > F.col("pos")))
+    pairs = prints.join(index, "fp").where(~same & (F.col("a_n") * MIN_SHARE < F.col("n_words"))).select("src", "ord", "pos", "a_src", "a_ord", "a_pos", "part", later.alias("later"))
+    earlier = parts.where("size(posts) > 0").select(F.col("src").alias("a_src"), F.col("ord").alias("a_ord"), F.col("pos").alias("a_pos"), F.col("flat").alias("a_flat"), F.array_join("paragraphs", " ").alias("a_new"))
+    texts = pairs.join(earlier, ["a_src", "a_ord", "a_pos"]).select("src", "ord", "pos", "later", "part", F.when(F.col("part") == NEW, F.col("a_new")).otherwise(F.col("a_flat")).alias("earlier"))
+    new = F.array_join("paragraphs", " ").alias("new")
+    other = texts.join(parts.select("src", "ord", "pos", "flat", new), ["src", "ord", "pos"]).where("earlier != new")  # the same new text is a copy, not a quotation
+    found = other.select("src", "ord", "pos", _spans("flat", "earlier", "later", "part").alias("spans"))
+    return found.where("size(spans) > 0").groupBy("src", "ord", "pos").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def spans_of(text: str, earlier: str, whole: bool = False, part: int = BODY | NEW) -> list[int]:
+    """Runs of words of ``text`` that quote ``earlier``, as in ancestors(); ``whole``: only with all of its words; ``part``: what it is."""
+    b = earlier.split()
+    n = len(b)
+    if n < MIN_WORDS:
+        return []
+    lo, hi = _core(n) if part & NEW and not whole else (0, n)
+    a, inside, core = text.split(), f" {text} ", f" {' '.join(b[lo:hi])} "
+    out: list[int] = []
+    at = inside.find(core)
+    counted, k = 0, 0
+    while at >= 0:
+        k += inside.count(" ", counted, at)
+        counted = at
+        i, j = lo, hi
+        while i and k - lo + i and a[k - lo + i - 1] == b[i - 1]:
+            i -= 1
+        while j < n and k - lo + j < len(a) and a[k - lo + j] == b[j]:
+            j += 1
+        if j - i >= hi:
+            out += [k - lo + i, k - lo + j, (part & BODY if j == n else 0) | (NEW if part & NEW or j - i == n else 0)]
+        at = inside.find(core, at + 1)
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _spans(text: pd.Series, earlier: pd.Series, whole: pd.Series, part: pd.Series) -> pd.Series:
+    return pd.Series([spans_of(*x) for x in zip(text, earlier, whole, part)], dtype=object)
 
 
 def without_span(text: str, earlier: str) -> str | None:
-    """``text`` without the run of words it shares with ``earlier``; None if the run is too short or nothing else is left."""
-    a, b = text.split(), earlier.split()
-    if len(b) < MIN_WORDS or len(a) <= len(b) * MIN_SHARE:
-        return None
-    run = SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b))
-    if run.size < max(MIN_WORDS, MIN_SHARE * len(b)) or run.size == len(a):
-        return None
-    return " ".join(a[: run.a] + a[run.a + run.size :])
+    """``text`` without the runs of words it shares with ``earlier``; None if they are too short or nothing else is left."""
+    a = text.split()
+    spans = spans_of(" ".join(a), earlier)
+    rest = without_spans(" ".join(a), [0, len(a)], None, 0, set(), spans)
+    return rest if spans and len(rest.split()) < len(a) else None
+
+
+def without_spans(flat: str, ranges: list[int], tail: str | None, tail_at: int, words: set[str], spans: list[int]) -> str:
+    """New text of a message: the kept words and what stands below a whole ancestor at the head of the unmarked tail, both without the spans of ancestors."""
+    runs = list(zip(spans[::3], spans[1::3], spans[2::3]))
+    quoted = [(b, e) for b, e, what in runs if what & NEW and not (ranges and b <= ranges[0] and ranges[-1] <= e)]  # what covers all new words is a copy
+    ranges = list(ranges)
+    while tail is not None:
+        end = max((e for b, e, what in runs if b == tail_at and what & BODY), default=None)
+        if end is None:
+            break
+        lines = tail.split("\n")
+        k, at = 0, tail_at
+        while k < len(lines) and at + (n := len(_plain(lines[k]).split())) <= end:
+            k, at = k + 1, at + n
+        lines = lines[k:]
+        if lines and at < end:
+            lines[0] = " ".join(_plain(lines[0]).split()[end - at :])
+        _, _, more, plain, tail_line = _kept_words(lines, words, end)
+        ranges += more
+        tail_at = end + sum(len(x.split()) for x in plain[:tail_line])
+        tail = None if tail_line is None else "\n".join(lines[tail_line:])
+    a = flat.split()
+    kept = np.zeros(len(a), bool)
+    for b, e in zip(ranges[::2], ranges[1::2]):
+        kept[b:e] = True
+    cut = np.zeros(len(a), bool)
+    for b, e in quoted:
+        for x, y in zip(ranges[::2], ranges[1::2]):
+            if min(e, y) - max(b, x) >= min(SHINGLE, e - b):  # fewer words may agree by chance beside a marked quotation
+                cut[max(b, x) : min(e, y)] = True
+    kept &= ~cut
+    return " ".join(a[k] for k in np.flatnonzero(kept))
 
 
 @F.pandas_udf(StringType())
-def _without_span(text: pd.Series, earlier: pd.Series) -> pd.Series:
-    return pd.Series([without_span(t, e) for t, e in zip(text, earlier)], dtype=object)
+def _without_spans(flat: pd.Series, ranges: pd.Series, last: pd.Series, tail: pd.Series, tail_at: pd.Series, sender: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for f, r, n, t, at, s, found in zip(flat, ranges, last, tail, tail_at, sender, spans):
+        r = [int(x) for x in r]
+        while n and r:  # without the last n words
+            size = min(n, r[-1] - r[-2])
+            n, r[-1] = n - size, r[-1] - size
+            r = r[:-2] if r[-1] == r[-2] else r
+        out.append(without_spans(f, r, t, at, sender_words(s), [int(x) for x in found]))
+    return pd.Series(out, dtype=object)
 
 
 def newly_written(mail: DataFrame, threads: DataFrame) -> DataFrame:
@@ -371,20 +525,20 @@ def newly_written(mail: DataFrame, threads: DataFrame) -> DataFrame:
 
     Marked quotations, forwarded parts and the lines that introduce them are
     cut by their marks, sign-offs and what stands below them by the sender's
-    name; the corpus index then recovers ancestors whose text stands unmarked
-    in a message, and the recurring closings of the corpus end texts that have
-    no sign-off.  Null senders, subjects and lists are allowed; whole texts of
-    any length are read; an empty table gives an empty result.
+    name; the recurring closings of the corpus end texts that have no sign-off.
+    Every whole body is then looked up in the index of the corpus: ancestors
+    that stand unmarked are cut, and where an ancestor stands as a whole at the
+    head of a forwarded text without marks, what is written below it stays.
+    Null senders, subjects and lists are allowed; whole texts of any length are
+    read; an empty table gives an empty result.
     """
     parts = stash(segment(messages_of(mail, threads)), "segments")
     closings = recurring_closings(parts).select(F.col("key").alias("last_key"), F.lit(True).alias("closing"))
-    keyed = parts.withColumn("last_key", F.when(F.size("paragraphs") > 1, _key_of(F.element_at("paragraphs", -1))))
+    found = stash(ancestors(parts), "ancestors")
+    keyed = parts.select("src", "ord", "pos", "sender", "flat", "ranges", "tail", "tail_at", "paragraphs", F.when(F.size("paragraphs") > 1, _key_of(F.element_at("paragraphs", -1))).alias("last_key"))
     open_ended = keyed.join(closings, "last_key", "left")
     body = F.when(F.col("closing"), F.slice("paragraphs", 1, F.greatest(F.size("paragraphs") - 1, F.lit(0)))).otherwise(F.col("paragraphs"))
-    texts = open_ended.select("src", "ord", "pos", F.array_join(body, " ").alias("text"))
-    found = stash(ancestors(parts), "ancestors")
-    plain = parts.select("src", "ord", "pos", F.array_join("paragraphs", " ").alias("text"))
-    pairs = found.join(plain.select("src", F.col("ord").alias("a_ord"), F.col("pos").alias("a_pos"), F.col("text").alias("earlier")), ["src", "a_ord", "a_pos"]).join(plain, ["src", "ord", "pos"])
-    verified = pairs.select("src", "ord", "pos", _without_span("text", "earlier").alias("rest")).where("rest is not null")
-    shortest = verified.groupBy("src", "ord", "pos").agg(F.min_by("rest", F.length("rest")).alias("rest"))
-    return texts.join(shortest, ["src", "ord", "pos"], "left").select("src", "ord", "pos", F.coalesce("rest", "text").alias("new_text"))
+    last = F.when(F.col("closing"), F.size(F.split(F.element_at("paragraphs", -1), " "))).otherwise(0)
+    texts = open_ended.select("src", "ord", "pos", "sender", "flat", "ranges", "tail", "tail_at", F.array_join(body, " ").alias("text"), last.alias("last")).join(found, ["src", "ord", "pos"], "left")
+    plain = texts.where("spans is null").select("src", "ord", "pos", F.col("text").alias("new_text"))
+    return plain.union(texts.where("spans is not null").select("src", "ord", "pos", _without_spans("flat", "ranges", "last", "tail", "tail_at", "sender", "spans").alias("new_text")))

@@ -42,3 +42,19 @@ def test_recurring_closings(spark):
     mail.append((99, "al@x.example", f"No name here.\n\n{closing}", 0, "z"))
     out = {r.ord: r.new_text for r in newly_written(spark.createDataFrame(mail, MAIL), spark.createDataFrame([], THREADS)).collect()}
     assert out[99] == "No name here." and out[3] == "Words number 3 are new."
+
+
+def _words(name, n):
+    return " ".join(f"{name}{k}" for k in range(n)) + "."
+
+
+def _run(spark, mail, threads=()):
+    rows = newly_written(spark.createDataFrame([(k, s, b, 0, "z") for k, s, b in mail], MAIL), spark.createDataFrame(list(threads), THREADS)).collect()
+    return {(r.src, r.ord): r.new_text for r in rows}
+
+
+def test_text_below_a_forwarded_body_that_is_in_the_corpus(spark):
+    body = f"Hello,\n\n{_words('old', 40)}\n\nCheers,\nAl"
+    head = "-----Original Message-----\nFrom: Al [mailto:al@b.example]\nSubject: x\n\n"
+    out = _run(spark, [(1, "Al <al@b.example>", body), (2, SENDER, f"Above.\n\n{head}{body}\n\nBelow it is new.\n\nBest,\nUlf"), (3, SENDER, f"Above.\n\n{head}{_words('unknown', 40)}\n\nNot known."), (4, SENDER, f"On 9 Sep 2003 Al wrote:\n\n{body}\n\nAnswer below.")])
+    assert out[("mail", 2)] == "Above. Below it is new." and out[("mail", 3)] == "Above." and out[("mail", 4)] == "Answer below."
