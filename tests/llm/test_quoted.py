@@ -58,3 +58,21 @@ def test_text_below_a_forwarded_body_that_is_in_the_corpus(spark):
     head = "-----Original Message-----\nFrom: Al [mailto:al@b.example]\nSubject: x\n\n"
     out = _run(spark, [(1, "Al <al@b.example>", body), (2, SENDER, f"Above.\n\n{head}{body}\n\nBelow it is new.\n\nBest,\nUlf"), (3, SENDER, f"Above.\n\n{head}{_words('unknown', 40)}\n\nNot known."), (4, SENDER, f"On 9 Sep 2003 Al wrote:\n\n{body}\n\nAnswer below.")])
     assert out[("mail", 2)] == "Above. Below it is new." and out[("mail", 3)] == "Above." and out[("mail", 4)] == "Answer below."
+
+
+def test_all_holders_of_a_fingerprint_are_ancestors(spark):
+    shared, a, b = _words("shared", 30), _words("a", 30), _words("b", 30)
+    mail = [
+        (1, "x@x.example", f"{_words('long', 60)} {shared} {_words('end', 60)}"),  # the first holder of the shared words is no ancestor
+        (2, "y@x.example", f"{shared} Small rest."),
+        (3, "z@x.example", f"New three.\n\n{shared} Small rest."),
+        (4, "z@x.example", f"Early answer.\n\n{a}"),  # its ancestor arrives later
+        (5, "y@x.example", a),
+        (6, "x@x.example", f"Later answer now.\n\n{a}"),
+        (7, "y@x.example", f"Both of them.\n\n{a}\n\nand\n\n{b}"),
+        (8, "x@x.example", b),
+    ]
+    out = _run(spark, mail, [(1, [("q", f"In a thread.\n\n{b}")])])
+    assert out[("mail", 3)] == "New three." and out[("mail", 4)] == "Early answer." and out[("mail", 6)] == "Later answer now."
+    assert out[("mail", 7)] == "Both of them. and" and out[("thread", 1)] == "In a thread."
+    assert out[("mail", 1)].startswith("long0") and out[("mail", 5)] == a and out[("mail", 8)] == b
