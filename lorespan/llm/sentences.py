@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A count is kept if it is at least this share of its table; a table has at most the inverse of it entries.
+from lorespan.session import stash
+
+#: A count goes to all tasks if it is at least this share of its table, so at most the inverse of it entries; the others are joined to the texts that need them.
 MIN_SHARE = 5e-6
 #: Smoothing of the ratios, and letters of context in scripts without marks.
 SMOOTH, LETTERS = 1.0, 4
@@ -170,14 +172,25 @@ def count_block(text: str, start: int, end: int, counts: Counter) -> None:
         counts["e", before_word(text, last.start())] += 1
 
 
+class Counts:
+    """The frequent counts of the corpus, and the rare ones that one text needs."""
+
+    def __init__(self, frequent: dict[tuple[str, str], int]) -> None:
+        self.frequent, self.rare, self.missed = frequent, {}, set()
+
+    def get(self, key: tuple[str, str], default: int = 0) -> int:
+        if (n := self.frequent.get(key)) is not None:
+            return n
+        self.missed.add(key)
+        return self.rare.get(key, default)
+
+
 class Model:
     """Log-likelihood ratios of the corpus counts."""
 
-    def __init__(self, counts: dict[tuple[str, str], int]) -> None:
-        self.n = counts
-        total = Counter()
-        for (kind, _), n in counts.items():
-            total[kind] += n
+    def __init__(self, frequent: dict[tuple[str, str], int], total: dict[str, int]) -> None:
+        self.n = Counts(frequent)
+        total = Counter(total)
         self.end_rate = max(total["e"], 1) / max(total["w"], 1)
         self.start_rate = max(total["s"], 1) / max(total["a"] + total["s"], 1)
         self.lower_rate = max(total["l"], 1) / max(total["w"], 1)
@@ -281,7 +294,16 @@ class Model:
             tag = back[k][1] if tag else back[k][0]
         return ends[::-1]
 
-    def sentences(self, text: str | None) -> list[tuple[int, int]]:
+    def missing(self, text: str) -> set[tuple[str, str]]:
+        """Counts that the text needs and that are not among the frequent ones."""
+        self.n.rare, self.n.missed = {}, set()
+        for start, end, whole in blocks(text):
+            if not whole:
+                self.candidates(text, start, end)
+        return self.n.missed
+
+    def sentences(self, text: str | None, rare: dict[tuple[str, str], int] | None = None) -> list[tuple[int, int]]:
+        self.n.rare, self.n.missed = rare or {}, set()
         out = []
         for start, end, whole in blocks(text or ""):
             cuts = [] if whole else self.decode(self.candidates(text, start, end))
@@ -293,8 +315,8 @@ class Model:
         return out
 
 
-def corpus_counts(documents: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
-    """The counts of all documents that make up at least ``MIN_SHARE`` of their table."""
+def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, key, n): the counts of all documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -307,10 +329,7 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> dict[tuple[str, s
             yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "key", "n"])
 
     rows = documents.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, "kind string, key string, n bigint")
-    summed = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    totals = summed.groupBy("kind").agg(F.sum("n").alias("total"))
-    kept = summed.join(F.broadcast(totals), "kind").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * MIN_SHARE))
-    return {(r.kind, r.key): r.n for r in kept.select("kind", "key", "n").collect()}
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,15 +338,27 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Null and blank texts have none.  A blank line ends a unit, a line break
     does not; headings and list items are one unit each; text in quotes or
     brackets stays in its sentence.  Whole texts of any length are read,
-    repeated documents each give their rows, other columns are not read.
+    repeated documents each give their rows, other columns are not read.  All
+    counts of the corpus are used, however rare.
     """
-    model = Model(corpus_counts(documents, text))
+    counts = stash(corpus_counts(documents, text), "sentence_counts")
+    total = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    floor = F.lit(2.0)
+    for kind, n in total.items():
+        floor = F.when(F.col("kind") == kind, F.lit(max(2.0, n * MIN_SHARE))).otherwise(floor)
+    model = Model({(r.kind, r.key): r.n for r in counts.where(F.col("n") >= floor).collect()}, total)
+
+    def missing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, *key) for i, t in zip(b["text_id"], b["text"]) for key in model.missing(t)], columns=["text_id", "kind", "key"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, s, e) for d, t in zip(b["doc_id"], b["text"]) for s, e in model.sentences(t)]
+            rows = [(d, s, e) for d, t, rare in zip(b["doc_id"], b["text"], b["rare"]) for s, e in model.sentences(t, {(x["kind"], x["key"]): x["n"] for x in rare} if rare is not None else None)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_at", "end_at"])
 
     kind = documents.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    return chosen.mapInPandas(run, f"doc_id {kind}, start_at bigint, end_at bigint")
+    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("text_id")).where("text is not null")
+    needed = chosen.select("text_id", "text").mapInPandas(missing, "text_id string, kind string, key string").distinct()
+    rare = needed.join(counts.where(F.col("n") < floor), ["kind", "key"]).groupBy("text_id").agg(F.collect_list(F.struct("kind", "key", "n")).alias("rare"))
+    return chosen.join(rare, "text_id", "left").select("doc_id", "text", "rare").mapInPandas(run, f"doc_id {kind}, start_at bigint, end_at bigint")

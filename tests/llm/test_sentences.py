@@ -63,3 +63,14 @@ def test_long_repeated_and_empty(spark):
     got = run(spark, [(1, "The plan is done. " * 3000), (2, '"' * 999 + "(" * 999)])
     assert len(got[1]) == 3000
     assert split_sentences(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rare_words_before_stops_count_in_full(spark, monkeypatch):
+    import lorespan.llm.sentences as module
+
+    rows = [(k, f"We met Zuv{k}. Nobody met Kol{k}. It was late.") for k in range(60)] + [(100 + k, f"They left Zuv{k}.") for k in range(60)] + [(200 + k, "The plan is done.") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(tuple(r) for r in split_sentences(docs).collect())
+    whole = found()
+    monkeypatch.setattr(module, "MIN_SHARE", 0.05)  # as if the corpus were far larger: hardly any word is frequent
+    assert found() == whole and sum(1 for d, _, _ in whole if d < 60) == 180
