@@ -273,7 +273,11 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[
                 s, e, v = (s if pattern is _FRENCH_M or a >= s else a), max(e, z), v | old
                 spans[k] = (a, z, -1)
             titled.append((s, e, v))
-    spans = sorted({(a, z): v for a, z, v in [*spans, *titled] if v >= 0}.items())
+    spans = sorted((a, z, v) for a, z, v in [*spans, *titled] if v >= 0)
+    starts = [x[0] for x in spans]
+    headed = [(a, z, bit["full"] if full else 0) for a, z, full in _headed(work, header) if over(a, z) is None]
+    lone = {(a, z) for a, z, v in headed if not v}
+    spans = sorted({(a, z): v for a, z, v in [*spans, *headed]}.items())
     known = set(_LETTER_RUNS.findall(fold(header).lower())) if header and spans else set()
     out = []
     for (s, e), v in spans:
@@ -296,6 +300,8 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[
             v |= bit["greeting"]
         if len(before) < 50 and _BYE_RE.match(before) and (not behind.strip() or behind.lstrip().startswith("|")):
             v |= bit["signoff"]
+        if (s, e) in lone and not v & (bit["before"] | bit["after"] | bit["greeting"] | bit["signoff"]):
+            continue  # firms and projects bear surnames, too
         if work[s:e].islower() and not v & (bit["before"] | bit["after"] | bit["greeting"] | bit["signoff"]):
             v |= bit["lower"]
         if _THING_RE.match(work[e : e + 40]):
@@ -306,6 +312,26 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[
     return out
 
 
+_ADDRESS = re.compile(r"<[^<>]*>|\S+@\S+")
+_HEADER_WORD = re.compile(rf"(?<![\w.]){_LETTERS}{{2,}}(?![\w])")
+_BETWEEN = re.compile(r"(?:,?[ \t]+|[ \t]+[A-ZÀ-Þ]\.[ \t]+)$")
+
+
+def _headed(work: str, header: str | None) -> list[tuple[int, int, bool]]:
+    """Places of names of sender and recipients that no list of given names holds, and whether they have several words."""
+    words = {w for w in _HEADER_WORD.findall(_ADDRESS.sub(" ", header or "")) if w[0].isupper() and not _STOP.match(w) and not _POLITE.match(w)}
+    words = {x for w in words for x in ({w, w.capitalize()} if w.isupper() else {w}) if x in work}
+    if not words:
+        return []
+    out: list[tuple[int, int, bool]] = []
+    for m in re.finditer(rf"(?<![\w.@\-])(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})(?![\w@]|-\w)", work):
+        if out and _BETWEEN.match(work[out[-1][1] : m.start()]):
+            out[-1] = (out[-1][0], m.end(), True)
+        else:
+            out.append((m.start(), m.end(), False))
+    return out
+
+
 def _extend(work: str, s: int, e: int, last: int) -> tuple[int, int, int]:
     """Span and first votes of the name around a given name at ``s``: initials, surname behind or before it."""
     bit, g = BIT["name"], work[s:e]

@@ -51,3 +51,15 @@ def test_long_and_empty(spark):
     assert {r.found_text for r in personal_items(mail, claims).where("ord = 0").collect()} == {"Anthony", "212-555-0157"}
     mail, claims = tables(spark, [])
     assert personal_items(mail, claims).count() == 0 and redact(mail, claims).count() == 0
+
+
+def test_names_of_the_header_are_candidates(spark):
+    from lorespan.llm.pii import candidates
+
+    header = "Chandra Rao <c.rao@x.example> Xiadani Okwu <o@x.example>"
+    text = "Dear Chandra,\n\nXiadani Okwu wrote to Rao Energy about the Okwu plan.\n\nRegards,\nOkwu"
+    names = [text[s:e] for s, e, kind, _ in candidates(text, header) if kind == "name"]
+    assert names == ["Chandra", "Xiadani Okwu", "Okwu"] and not [x for x in candidates(text, None) if x[2] == "name"]
+    mail = spark.createDataFrame([(1, "Chandra Rao <c.rao@x.example>", ["Xiadani Okwu <o@x.example>"], None, text, "x", 1)], MAIL)
+    found = {r.found_text for r in personal_items(mail, spark.createDataFrame([], CLAIMS)).where("kind = 'name'").collect()}
+    assert found == {"Chandra", "Xiadani Okwu", "Okwu"}
