@@ -221,7 +221,8 @@ def key_pairs(keys: DataFrame) -> DataFrame:
     """(a, b): distinct strong keys accepted as spellings of one name; keys has key, entity_type, q, s.
 
     Blocks are phonetic codes of the sorted tokens, and of one token with the
-    beginning or end of the other, so one misspelling leaves a block intact.
+    beginning or end of the other, so one misspelling leaves a block intact if
+    the surname has seven letters or more; shorter ones may share none.
     """
     both = F.concat_ws(" ", F.array_sort(F.array(F.soundex("q"), F.soundex("s"))))
     third = F.lit(3)
