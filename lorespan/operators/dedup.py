@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorespan.functions.text import clean_artifact, evidence_id, strip
 from lorespan.operators.components import connected_components
 from lorespan.operators.ranking import next_within, text_slice
-from lorespan.schema import ENTITIES, MERGE_LOG, SINGLE_VALUED, Settings
-
-
+from lorespan.schema import CLAIMS, ENTITIES, SINGLE_VALUED, MergeLog, Settings, Store, clean_claims
+from lorespan.session import stash
 
 
 def dedup_artifacts(messages: DataFrame, text: str, order: list[str], comment_id: str, min_text: int = 20) -> DataFrame:
@@ -91,13 +93,17 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", block:
     return spread.groupBy("block", "task").applyInPandas(compare, f"a {kind}, b {kind}, sim double")
 
 
+#: Slack of a similarity bound, far above rounding and far below any difference that matters.
+SLACK = 1e-9
+
+
 def entity_components(entities: DataFrame, vectors: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """(ord, component): exact groups joined, for types other than User, by similar names of one type."""
     groups = exact_groups(entities)
     if vectors is None:
         return groups
     heads = entities.where("entity_type != 'User'").join(groups.select(F.col("component").alias("ord")).distinct(), "ord").join(vectors, "ord")
-    pairs = similar_pairs(heads.withColumnRenamed("entity_type", "block"), settings.similarity, key="ord")
+    pairs = similar_pairs(heads.withColumnRenamed("entity_type", "block"), settings.similarity - SLACK, key="ord")
     parts = connected_components(pairs, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("root"))
     return groups.join(parts, "component", "left").select("ord", F.coalesce("root", "component").alias("component"))
 
@@ -131,6 +137,7 @@ def dedup_claims(claims: DataFrame) -> DataFrame:
     ``ord`` stays that of the base, ``first_ord`` is the group's first; a triple
     with one claim keeps its evidence as it is.
     """
+    claims = clean_claims(claims)
     at = F.struct(F.coalesce("valid_from", F.lit("")).alias("v"), F.col("ord").alias("o"))
     fields = ["ord", "id", "valid_from", "valid_until", "is_current", "extraction_version", "evidence"]
     base = claims.groupBy(*TRIPLE).agg(F.min_by(F.struct(*fields), at).alias("b"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("members"), F.min("ord").alias("first_ord"))
@@ -142,8 +149,11 @@ def dedup_claims(claims: DataFrame) -> DataFrame:
     return out.select("b.ord", "b.id", *TRIPLE, evidence.alias("evidence"), "confidence", *[F.col(f"b.{c}") for c in fields[2:6]], "members", "first_ord")
 
 
-def resolve_conflicts(claims: DataFrame, order: str = "ord") -> DataFrame:
-    """Single-valued relations with several objects: each claim ends where the next, different one begins; the last is current."""
+def marked_conflicts(claims: DataFrame, order: str = "ord") -> DataFrame:
+    """Claims with conflicts resolved, and ``superseded``.
+
+    Single-valued relations with several objects: each claim ends where the next, different one begins; the last is current.
+    """
     keys, at = ["subject_id", "relation"], F.coalesce("valid_from", F.lit(""))
     several = claims.where(F.col("relation").isin(SINGLE_VALUED)).groupBy(*keys).agg(F.min("object_id").alias("_a"), F.max("object_id").alias("_z")).where("_a != _z")
     marked = claims.join(several.select(*keys, F.lit(True).alias("_on")), keys, "left")
@@ -151,7 +161,12 @@ def resolve_conflicts(claims: DataFrame, order: str = "ord") -> DataFrame:
     superseded = F.coalesce(F.col("_on") & (F.col("_next.v.object_id") != F.col("object_id")), F.lit(False))
     until = F.when(superseded, F.col("_next.v.valid_from")).otherwise(F.col("valid_until"))
     current = F.when(superseded, F.lit(False)).when(F.col("_on") & F.col("_next").isNull(), F.lit(True)).otherwise(F.col("is_current"))
-    return led.withColumns({"valid_until": until, "is_current": current}).select(*claims.columns)
+    return led.withColumns({"valid_until": until, "is_current": current, "superseded": superseded}).select(*claims.columns, "superseded")
+
+
+def resolve_conflicts(claims: DataFrame, order: str = "ord") -> DataFrame:
+    """Claims with conflicts resolved, as in :func:`marked_conflicts`."""
+    return marked_conflicts(claims, order).drop("superseded")
 
 
 def without_orphans(claims: DataFrame, entities: DataFrame) -> DataFrame:
@@ -160,23 +175,83 @@ def without_orphans(claims: DataFrame, entities: DataFrame) -> DataFrame:
     return claims.join(ids.toDF("subject_id"), "subject_id", "left_semi").join(ids.toDF("object_id"), "object_id", "left_semi")
 
 
-def merge_records(rows: DataFrame, group: list[str], kind: str, target: Column, order: Column, reason: Column, run_ts: str) -> DataFrame:
-    """Audit of groups with several members: sources in order, target and the members' snapshots as JSON."""
-    own = [c for c in rows.columns if c not in ("component", "target")]
-    one = F.struct(order.alias("o"), F.col("id"), F.to_json(F.struct(*own)).alias("json"))
-    g = rows.groupBy(*group).agg(F.sort_array(F.collect_list(one)).alias("m"), F.first(target).alias("target_id")).where("size(m) > 1")
-    ids = F.transform("m", lambda x: x.id)
-    merge_id = F.substring(F.sha2(F.concat_ws("|", F.lit(kind), "target_id", F.array_join(ids, ",")), 256), 1, 8)
-    snapshots = F.map_from_entries(F.array_distinct(F.transform("m", lambda x: F.struct(x.id, x.json))))
-    out = g.select(*group, F.size("m").alias("n"), merge_id.alias("merge_id"), F.lit(kind).alias("merge_type"), ids.alias("source_ids"), "target_id", F.lit(run_ts).alias("timestamp"), snapshots.alias("original_snapshots"))
-    return out.withColumn("reason", reason).select(*[c.split()[0] for c in MERGE_LOG.split(", ")])
+def merge_records(rows: DataFrame, group: list[str], kind: str, target: str, target_ord: str, place: Column, reason: Column, run_ts: str) -> MergeLog:
+    """Audit of the groups of ``rows`` with several members.
+
+    ``target`` and ``target_ord`` are the columns that name the group's survivor; ``place`` (text) and then ``ord`` order
+    the members.  Members stay rows: nothing is gathered, so a group may hold any share of all records.  Ids may repeat.
+    """
+    own = [f.name for f in StructType.fromDDL(ENTITIES if kind == "entity" else CLAIMS)]
+    merge_id = F.substring(F.sha2(F.concat_ws("|", F.lit(kind), F.lit(run_ts), F.col(target), F.col(target_ord).cast("string")), 256), 1, 16)
+    groups = rows.groupBy(*group, target, target_ord).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("merge_id", merge_id)
+    records = groups.select("merge_id", F.lit(kind).alias("merge_type"), F.col(target).alias("target_id"), F.col(target_ord).alias("target_ord"), "n", reason.alias("reason"), F.lit(run_ts).alias("timestamp"))
+    members = rows.join(groups.select(*group, "merge_id"), group).select("merge_id", place.alias("place"), "ord", "id", F.to_json(F.struct(*own)).alias("snapshot"))
+    return MergeLog(records, members)
+
+
+def merge_documents(log: MergeLog) -> DataFrame:
+    """One row per merge with ``source_ids`` and ``original_snapshots`` inside, for exchange: each group becomes one document."""
+    one = F.struct("place", "ord", "id", "snapshot")
+    m = log.members.groupBy("merge_id").agg(F.sort_array(F.collect_list(one)).alias("m"))
+    snapshots = F.transform("m", lambda x: F.struct(x.id.alias("id"), x.snapshot.alias("snapshot")))
+    return log.records.join(m, "merge_id").select("merge_id", "merge_type", F.transform("m", lambda x: x.id).alias("source_ids"), "target_id", "reason", "timestamp", snapshots.alias("original_snapshots"))
 
 
-def undo_merge(entities: DataFrame, merge_log: DataFrame, merge_id: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and log as before a merge of entities; an unknown id raises ``ValueError``."""
-    record = merge_log.where(F.col("merge_id") == merge_id)
-    if record.isEmpty():
+def undo_merge(store: Store, merge_id: str) -> Store:
+    """The store as before one merge of entities or claims; an unknown id raises ``ValueError``.
+
+    The members come back as they were, the survivor goes unless it is one of them, the record leaves the log.  Records
+    are told apart by ``ord``, as ids may repeat; claims that were pointed to the survivor stay so.
+    """
+    log = store.merge_log
+    record = log.records.where(F.col("merge_id") == merge_id).first() if log else None
+    if record is None:
         raise ValueError(f"no merge {merge_id}")
-    old = record.select(F.explode("original_snapshots").alias("k", "json")).select(F.from_json("json", ENTITIES).alias("e")).select("e.*")
-    restored = entities.join(old.select("id"), "id", "left_anti").join(record.select(F.col("target_id").alias("id")), "id", "left_anti").select(*old.columns).unionByName(old)
-    return restored, merge_log.where(F.col("merge_id") != merge_id)
+    entity = record.merge_type == "entity"
+    now = store.entities if entity else store.claims
+    old = log.members.where(F.col("merge_id") == merge_id).select(F.from_json("snapshot", ENTITIES if entity else CLAIMS).alias("x")).select("x.*")
+    gone = old.select("ord").union(old.sparkSession.createDataFrame([(record.target_ord,)], "ord bigint")).distinct()
+    restored = now.join(gone, "ord", "left_anti").select(*old.columns).unionByName(old)
+    rest = MergeLog(log.records.where(F.col("merge_id") != merge_id), log.members.where(F.col("merge_id") != merge_id))
+    return replace(store, merge_log=rest, **{"entities" if entity else "claims": restored})
+
+
+def entity_merges(entities: DataFrame, components: DataFrame, canonical: DataFrame, run_ts: str) -> MergeLog:
+    """The audit of canonicalised entities, members in the order of the store."""
+    targets = canonical.select("component", F.col("id").alias("target_id"), F.col("ord").alias("target_ord"))
+    rows = entities.join(components, "ord").join(targets, "component")
+    return merge_records(rows, ["component"], "entity", "target_id", "target_ord", F.lit(""), F.concat(F.lit("Dedup: "), F.col("n").cast("string"), F.lit(" entities merged")), run_ts)
+
+
+def claim_merges(claims: DataFrame, unique: DataFrame, run_ts: str) -> MergeLog:
+    """The audit of deduplicated claims, members in the order of time."""
+    targets = unique.select(*TRIPLE, F.col("id").alias("target_id"), F.col("ord").alias("target_ord"))
+    reason = F.concat(F.lit("Same triple: "), F.concat_ws("::", *TRIPLE))
+    return merge_records(clean_claims(claims).join(targets, TRIPLE), TRIPLE, "claim", "target_id", "target_ord", F.coalesce("valid_from", F.lit("")), reason, run_ts)
+
+
+def run_full_pipeline(store: Store, run_ts: str, vectors: DataFrame | None = None) -> tuple[Store, DataFrame]:
+    """The deduplicated store with its merge log, and one row of counters.
+
+    Entities are canonicalised (by equal names, and by similar ones if ``vectors`` (ord, vec) are given), claims pointed
+    to the canonical ones and merged by triple, conflicts resolved, claims without both entities dropped.  Every stage is
+    written once to the shared folder, as several of the following read it.
+    """
+    entities, claims = store.entities, clean_claims(store.claims)
+    parts = stash(entity_components(entities, vectors, store.settings), "components")
+    canonical = stash(canonicalize(entities, parts), "canonical")
+    remapped = stash(remap_claims(claims, entities, parts, canonical), "remapped")
+    unique = stash(dedup_claims(remapped), "unique")
+    resolved = stash(marked_conflicts(unique, "first_ord"), "resolved")
+    kept = stash(without_orphans(resolved, canonical), "kept")
+    log = entity_merges(entities, parts, canonical, run_ts).union(claim_merges(remapped, unique, run_ts))
+    keys = exact_groups(entities).agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("component").alias("keys"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    both = resolved.agg(F.sum("members").alias("claims"), F.count(F.lit(1)).alias("triples"), F.count_if("superseded").alias("conflicts"))
+    row = keys.crossJoin(count(canonical, "components")).crossJoin(both).crossJoin(count(kept, "kept"))
+    counters = row.select(
+        (F.col("entities") - F.col("keys")).alias("exact_merges"), (F.col("keys") - F.col("components")).alias("semantic_merges"), (F.col("claims") - F.col("triples")).alias("claim_merges"),
+        "conflicts", (F.col("triples") - F.col("kept")).alias("orphans"), F.col("components").alias("entities"), F.col("kept").alias("claims"),
+    )
+    out = replace(store, entities=canonical.select(*entities.columns), claims=kept.select(*claims.columns), merge_log=log)
+    return out, counters

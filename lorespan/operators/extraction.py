@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -111,20 +112,26 @@ def rule_extractor(prompts: list[str]) -> list[str]:
     return answers
 
 
-def extract(prompts: DataFrame, extractor: Extractor = rule_extractor, retries: int = 3) -> DataFrame:
-    """Adds ``answer`` to prompts (thread, pos, source_id, timestamp, author, prompt); failures are retried, then empty."""
+def extract(prompts: DataFrame, extractor: Extractor = rule_extractor, retries: int = 3, pause: float = 0.0) -> DataFrame:
+    """Adds ``answer`` to prompts (thread, pos, source_id, timestamp, author, prompt).
+
+    Every prompt is a call of its own: one that fails is tried again ``retries`` times, ``pause`` seconds apart, and then
+    answered by an empty object; its neighbours are not concerned.  A bad answer is not tried again.
+    """
     schema = prompts.drop("prompt").schema.add("answer", "string")
 
+    def ask(prompt: str) -> str:
+        for attempt in range(retries + 1):
+            try:
+                return extractor([prompt])[0]
+            except Exception:  # noqa: BLE001 - any failure of a model service
+                if attempt < retries:
+                    time.sleep(pause)
+        return "{}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            answers: list[str] = ["{}"] * len(b)
-            for _ in range(retries + 1):
-                try:
-                    answers = extractor(b["prompt"].tolist())
-                    break
-                except Exception:  # noqa: BLE001 - any failure of a model service
-                    continue
-            yield b.drop(columns="prompt").assign(answer=answers)
+            yield b.drop(columns="prompt").assign(answer=[ask(p) for p in b["prompt"]])
 
     return prompts.mapInPandas(run, schema)
 

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan.operators.components import connected_components
+from lorespan.schema import MergeLog, clean_claims
+from lorespan.session import stash
 
+# The counters of ingestion.
 COUNTERS = ["total_entities_ingested", "total_claims_ingested", "duplicate_entities_skipped", "duplicate_claims_skipped", "orphan_claims_skipped"]
 
 
 @dataclass
 class Graph:
-    """Vertices (entities by id), edges (claims by id) and the counters of ingestion."""
+    """Vertices (entities by id), edges (claims by id) and one row with the counters of all ingestion so far."""
 
     vertices: DataFrame
     edges: DataFrame
-    counters: dict[str, int] | None = None
+    counters: DataFrame | None = None
+
+    def stored(self) -> Graph:
+        """The same graph, written once to the shared folder; for graphs that are read several times."""
+        return Graph(stash(self.vertices, "vertices"), stash(self.edges, "edges"), stash(self.counters, "counters") if self.counters is not None else None)
 
 
 def _first_of(rows: DataFrame, key: str) -> DataFrame:
@@ -26,12 +33,12 @@ def _first_of(rows: DataFrame, key: str) -> DataFrame:
 
 
 def ingest(entities: DataFrame, claims: DataFrame, graph: Graph | None = None) -> tuple[Graph, DataFrame]:
-    """Graph with the new records, and one row of counters; known ids are skipped, claims need both ends.
+    """Graph with the new records and the counters so far, and one row of this call's counters; known ids are skipped, claims need both ends.
 
     Ingesting the same records again changes nothing.  A claim that misses both
     ends counts once; every copy of a claim without its ends is an orphan.
     """
-    spark = entities.sparkSession
+    claims = clean_claims(claims)
     new = _first_of(entities, "id")
     if graph is not None:
         new = new.join(graph.vertices.select("id"), "id", "left_anti")
@@ -48,8 +55,10 @@ def ingest(entities: DataFrame, claims: DataFrame, graph: Graph | None = None) -
         F.col("new_e").alias(COUNTERS[0]), F.col("new_c").alias(COUNTERS[1]), (F.col("n_e") - F.col("new_e")).alias(COUNTERS[2]),
         (F.col("n_c") - F.col("seen_c") + F.col("end_c") - F.col("new_c")).alias(COUNTERS[3]), (F.col("seen_c") - F.col("end_c")).alias(COUNTERS[4]),
     )
-    assert spark is not None
-    return Graph(vertices, edges), counters
+    total = counters
+    if graph is not None and graph.counters is not None:
+        total = graph.counters.unionByName(counters).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    return Graph(vertices, edges, total), counters
 
 
 def node(graph: Graph, entity_id: str) -> DataFrame:
@@ -61,6 +70,12 @@ def claims_for_entity(claims: DataFrame, entity_id: str) -> DataFrame:
     return claims.where((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id))
 
 
+def claims_of_entities(claims: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id, claim columns): the claims with each entity of ``ids`` (id) at either end; a loop once."""
+    ends = F.array_distinct(F.array("subject_id", "object_id"))
+    return claims.withColumn("entity_id", F.explode(ends)).join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", *claims.columns)
+
+
 def neighbors(edges: DataFrame, ids: DataFrame, current_only: bool = True) -> DataFrame:
     """(entity_id, neighbor_id, direction, edge columns) of all edges out of and into ``ids`` (id); a loop twice."""
     e = edges.where(F.coalesce("is_current", F.lit(True))) if current_only else edges
@@ -130,11 +145,18 @@ def metrics(graph: Graph) -> DataFrame:
     n = F.coalesce(F.size("evidence"), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)
     totals = graph.vertices.agg(d(F.count(F.lit(1))).alias("nodes")).crossJoin(graph.edges.agg(d(F.count(F.lit(1))).alias("edges"))).crossJoin(weak_components(graph).agg(d(F.count_distinct("component")).alias("components")))
-    evidence = graph.edges.agg(d(F.coalesce(F.sum(n), F.lit(0))).alias("total"), d(F.coalesce(F.avg(n), zero)).alias("average"), d(F.count_if(n == 0)).alias("without"))
-    confidence = graph.edges.agg(*[d(F.coalesce(f(F.col("confidence")), zero)).alias(k) for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
-    current = graph.edges.agg(d(F.count_if(F.coalesce("is_current", F.lit(True)))).alias("current"), d(F.count_if(~F.coalesce("is_current", F.lit(True)))).alias("historical"))
+    valid = F.coalesce("is_current", F.lit(True))
+    of_edges = {
+        ("evidence", "total"): F.coalesce(F.sum(n), F.lit(0)), ("evidence", "average"): F.coalesce(F.avg(n), zero), ("evidence", "without"): F.count_if(n == 0),
+        **{("confidence", k): F.coalesce(f(F.col("confidence")), zero) for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))},
+        ("validity", "current"): F.count_if(valid), ("validity", "historical"): F.count_if(~valid),
+    }
+    cell = lambda section, k, v: F.struct(F.lit(section).alias("section"), F.lit(k).alias("k"), d(v).alias("v"))
+    edges = graph.edges.agg(F.array(*[cell(*sk, v) for sk, v in of_edges.items()]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     by = lambda df, c, section: df.groupBy(F.coalesce(c, F.lit("")).alias("k")).agg(d(F.count(F.lit(1))).alias("v")).select(F.lit(section).alias("section"), "k", "v")
-    parts = [long(totals, "totals"), long(evidence, "evidence"), long(confidence, "confidence"), long(current, "validity"), by(graph.vertices, "entity_type", "entity_types"), by(graph.edges, "relation", "relations")]
+    parts = [long(totals, "totals"), edges, by(graph.vertices, "entity_type", "entity_types"), by(graph.edges, "relation", "relations")]
+    if graph.counters is not None:
+        parts.append(long(graph.counters.select(*[d(F.col(c)).alias(c) for c in COUNTERS]), "ingestion"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -178,3 +200,34 @@ def selector_lists(graph: Graph) -> DataFrame:
     """(kind, value): the distinct types and relations, sorted."""
     types = graph.vertices.select(F.lit("entity_type").alias("kind"), F.col("entity_type").alias("value"))
     return types.union(graph.edges.select(F.lit("relation"), F.col("relation"))).where("value is not null").distinct().orderBy("kind", "value")
+
+
+def claim_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, line, quotes): each claim as a reader sees it, and its evidence with source, author and time."""
+    names = vertices.select("id", "name")
+    named = edges.join(names.toDF("subject_id", "_s"), "subject_id", "left").join(names.toDF("object_id", "_o"), "object_id", "left")
+    status = F.when(F.coalesce("is_current", F.lit(True)), "Current").otherwise("Historical")
+    line = F.format_string("%s → %s → %s (confidence: %.2f, %s)", F.coalesce("_s", "subject_id"), "relation", F.coalesce("_o", "object_id"), F.coalesce("confidence", F.lit(0.0)), status)
+    known = lambda c, other: F.coalesce(c, F.lit(other))
+    quote = lambda e: F.concat(F.lit('"'), known(e.exact_quote, "N/A"), F.lit('" Source: '), known(e.source_id, "?"), F.lit(" | Author: "), known(e.author, "?"), F.lit(" | Time: "), known(e.timestamp, "?"))
+    return named.select("id", line.alias("line"), F.array_join(F.transform(F.coalesce("evidence", F.array().cast(edges.schema["evidence"].dataType)), quote), "\n").alias("quotes"))
+
+
+def first_matches(vertices: DataFrame, query: str, n: int = 10) -> DataFrame:
+    """The first entities whose name or an alias contains the text."""
+    return find_by_name(vertices, query).orderBy("ord").limit(n)
+
+
+def merged_entities(entities: DataFrame, n: int = 50) -> DataFrame:
+    """The first entities that have aliases, as they came from a merge."""
+    return entities.where(F.size("aliases") > 0).orderBy("ord").limit(n)
+
+
+def log_lines(log: MergeLog, n: int = 50, sources: int = 10) -> DataFrame:
+    """(merge_id, line, sources): the first merges of a log by target, with the ids of their first members."""
+    top = log.records.orderBy("merge_type", "target_ord").limit(n)
+    place = F.row_number().over(Window.partitionBy("merge_id").orderBy("place", "ord"))
+    few = log.members.join(F.broadcast(top.select("merge_id")), "merge_id").select("merge_id", "place", "ord", "id").withColumn("r", place).where(F.col("r") <= sources)
+    ids = few.groupBy("merge_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x.id), ", ").alias("sources"))
+    line = F.format_string("%s merge: %d items → %s", F.upper("merge_type"), "n", "target_id")
+    return top.join(ids, "merge_id").select("merge_id", line.alias("line"), "sources")

@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lorespan.operators.graph import Graph, neighbors
 from lorespan.schema import Settings
-from lorespan.session import bounded_broadcast
 
 DIMENSIONS = 64
-#: Most questions of one call that are broadcast to all rows; more of them are joined without a hint.
+#: Most questions of one call whose vectors are sent to all tasks; more of them are joined.
 MAX_QUERIES = 10_000
 
 
 def embed_texts(texts: list[str | None]) -> np.ndarray:
-    """Deterministic offline vectors: hashed letter trigrams, of unit length.  They do not reach a model's quality."""
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    """Deterministic offline vectors: signed counts of hashed letter trigrams, of unit length.  They do not reach a model's quality.
+
+    The first four hexadecimal digits of a trigram's MD5 give its place, the fifth its sign.
+    """
+    out = np.zeros((len(texts), DIMENSIONS))
     for k, t in enumerate(texts):
         padded = f"  {(t or '').lower()} "
-        grams = np.array([padded[i : i + 3] for i in range(len(padded) - 2)], dtype=object)
-        h = pd.util.hash_array(grams)
-        np.add.at(out[k], (h % DIMENSIONS).astype(int), np.where(h >> np.uint64(32) & np.uint64(1), 1.0, -1.0))
+        for i in range(len(padded) - 2):
+            at, sign = _trigram(padded[i : i + 3])
+            out[k, at] += sign
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+@lru_cache(maxsize=100_000)
+def _trigram(gram: str) -> tuple[int, int]:
+    digest = hashlib.md5(gram.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(digest[:4], 16) % DIMENSIONS, 1 if int(digest[4], 16) % 2 else -1
+
+
 def embed(text: Column, embedder: Callable[[list[str | None]], np.ndarray] = embed_texts) -> Column:
     """Column of vectors by a pluggable embedder."""
-    f = F.pandas_udf(lambda s: pd.Series(list(embedder(s.tolist()))), ArrayType(FloatType()))
+    f = F.pandas_udf(lambda s: pd.Series(list(np.asarray(embedder(s.tolist()), float))), ArrayType(DoubleType()))
     return f(text)
 
 
@@ -49,21 +59,49 @@ def dot(a: Column, b: Column) -> Column:
 def vector_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, entity_id, spos, sim): the ``k`` most similar index rows of each query (qid, qvec); ties by id.
 
-    A stated set of queries meets all rows.  The bound on the row number lets
-    the planner keep the best ``k`` of each partition before the shuffle.
+    A stated set of queries meets all rows: as matrix products of a batch of rows with blocks of queries, each of which
+    leaves its ``k`` best rows (and those equal to the last of them).  Only these are shuffled.  More than MAX_QUERIES
+    queries are not sent to the tasks but joined.
     """
-    scored = index.crossJoin(bounded_broadcast(queries.select("qid", "qvec"), MAX_QUERIES)).select("qid", "entity_id", "spos", dot(F.col("vec"), F.col("qvec")).alias("sim"))
+    rows = [(r.qid, r.qvec) for r in queries.select("qid", "qvec").where("qvec is not null").limit(MAX_QUERIES + 1).collect()]
     order = [F.desc("sim"), F.col("entity_id"), F.col("spos")]
-    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    best = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    if len(rows) > MAX_QUERIES:
+        return best(index.crossJoin(queries.select("qid", "qvec")).select("qid", "entity_id", "spos", dot(F.col("vec"), F.col("qvec")).alias("sim")))
+    qids, matrix = [q for q, _ in rows], np.array([v for _, v in rows], float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b) or not len(qids):
+                continue
+            x, ids, spos = np.stack(b["vec"].to_numpy()).astype(float), b["entity_id"].to_numpy(), b["spos"].to_numpy()
+            for at in range(0, len(qids), QUERY_BLOCK):
+                sims = matrix[at : at + QUERY_BLOCK] @ x.T
+                last = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
+                i, j = np.nonzero(sims >= last[:, None])
+                yield pd.DataFrame({"qid": np.array(qids[at : at + QUERY_BLOCK])[i], "entity_id": ids[j], "spos": spos[j], "sim": sims[i, j]})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (index, "entity_id"), (index, "spos"))}
+    vectors = index.select("entity_id", "spos", "vec").where("vec is not null")
+    return best(vectors.mapInPandas(run, f"qid {kinds['qid']}, entity_id {kinds['entity_id']}, spos {kinds['spos']}, sim double"))
+
+
+#: Queries of one matrix product.
+QUERY_BLOCK = 512
 
 
 def keyword_match(vertices: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, entity_id): entities with a query word of three letters or more in their name or an alias."""
+    """(qid, entity_id): entities with a query word of three letters or more in their name or an alias.
+
+    A word stands in a name only if its first three letters do, so words and names meet by equal trigrams.
+    """
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) >= 3)
-    q = bounded_broadcast(queries.select("qid", words.alias("words")), MAX_QUERIES)
-    surfaces = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower)
-    hit = F.exists("words", lambda w: F.exists("surfaces", lambda s: F.contains(s, w)))
-    return vertices.select(F.col("id").alias("entity_id"), surfaces.alias("surfaces")).crossJoin(q).where(hit).select("qid", "entity_id")
+    asked = queries.select("qid", F.explode(F.array_distinct(words)).alias("word")).withColumn("gram", F.substring("word", 1, 3))
+    surfaces = F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))
+    s = vertices.select(F.col("id").alias("entity_id"), F.explode(surfaces).alias("surface")).where(F.length("surface") >= 3)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("surface") - 2), lambda i: F.substring(F.col("surface"), i, F.lit(3))))
+    s = s.select("entity_id", "surface", F.explode(grams).alias("gram"))
+    return s.join(asked, "gram").where(F.contains("surface", "word")).select("qid", "entity_id").distinct()
 
 
 def match_entities(graph: Graph, index: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -76,14 +114,13 @@ def match_entities(graph: Graph, index: DataFrame, queries: DataFrame, settings:
     return blended.withColumn("rank", rank).where(F.col("rank") <= settings.top_entities)
 
 
-def retrieve(graph: Graph, index: DataFrame, queries: DataFrame, settings: Settings = Settings(), include_historical: bool = True) -> DataFrame:
-    """Ranked context items of each query (qid, question, qvec).
+def retrieve(graph: Graph, matched: DataFrame, settings: Settings = Settings(), include_historical: bool = True) -> DataFrame:
+    """Ranked context items of each query for its matched entities (:func:`match_entities`).
 
     Relevance is the entity's score times confidence, more for current and less
     for historical claims; each claim counts for its best entity.  A query that
     matches nothing has no items.
     """
-    matched = match_entities(graph, index, queries, settings)
     edges = graph.edges if include_historical else graph.edges.where(F.coalesce("is_current", F.lit(True)))
     around = neighbors(edges, matched.select(F.col("entity_id").alias("id")).distinct(), current_only=False)
     rows = around.join(matched, "entity_id")

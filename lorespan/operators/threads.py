@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespan.functions.text import default_message_id, is_blank, normalize_subject
+from lorespan.functions.text import default_message_id, is_blank, normalize_subject, strip
 from lorespan.operators.ranking import number_within, text_slice
 from lorespan.schema import Settings
 
@@ -18,6 +18,18 @@ def first_by_id(mail: DataFrame) -> DataFrame:
     return kept.join(first, ["mid", "ord"])
 
 
+def enough(mail: DataFrame, least: int = 50) -> DataFrame:
+    """The same mail; ``ValueError`` if it has fewer messages than a corpus needs."""
+    if (n := mail.limit(least).count()) < least:
+        raise ValueError(f"only {n} messages, {least} are needed")
+    return mail
+
+
+def long_enough(messages: DataFrame, text: str, settings: Settings = Settings()) -> DataFrame:
+    """Messages whose text is worth an extraction."""
+    return messages.where(F.length(strip(F.col(text))) >= settings.min_text)
+
+
 def group_threads(mail: DataFrame) -> DataFrame:
     """Mail with ``norm`` (its thread), ``pos`` by timestamp text and ``is_issue_body`` of the first message."""
     subject = F.coalesce(F.col("subject"), F.lit("(no subject)"))

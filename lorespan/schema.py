@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EVIDENCE = "struct<source_id:string,exact_quote:string,char_offset_start:int,char_offset_end:int,timestamp:string,author:string>"
 COMMENT = "struct<comment_id:string,author:string,timestamp:string,text:string,is_issue_body:boolean>"
@@ -12,7 +13,8 @@ EMAILS = "message_id string, sender string, `to` array<string>, cc array<string>
 THREADS = f"issue_id int, title string, state string, author string, created_at string, closed_at string, labels array<string>, url string, comments array<{COMMENT}>"
 ENTITIES = "ord bigint, id string, name string, entity_type string, aliases array<string>, first_seen string"
 CLAIMS = f"ord bigint, id string, subject_id string, relation string, object_id string, evidence array<{EVIDENCE}>, confidence double, valid_from string, valid_until string, is_current boolean, extraction_version string"
-MERGE_LOG = "merge_id string, merge_type string, source_ids array<string>, target_id string, reason string, timestamp string, original_snapshots map<string,string>"
+MERGE_RECORDS = "merge_id string, merge_type string, target_id string, target_ord bigint, n bigint, reason string, timestamp string"
+MERGE_MEMBERS = "merge_id string, place string, ord bigint, id string, snapshot string"
 
 # The closed sets of entity types and relations, and the relations that hold one value at a time.
 ENTITY_TYPES = ["User", "Component", "Bug", "Feature", "Issue", "Label", "Decision", "Concept", "Organization", "Topic", "Project"]
@@ -23,6 +25,16 @@ RELATIONS = [
 SINGLE_VALUED = ["status_changed", "assigned_to", "labeled", "approved"]
 
 
+def names_of(schema: str) -> list[str]:
+    """Column names of a flat schema text."""
+    return [c.split()[0].strip("`") for c in schema.split(", ")]
+
+
+def clean_claims(claims: DataFrame) -> DataFrame:
+    """Claims as every operator takes them: a confidence that is not a number is none."""
+    return claims.withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Thresholds and limits; each is a feature of an operator, none is there to save work."""
@@ -43,13 +55,24 @@ class Settings:
     version: str = "v1"
 
 
+@dataclass
+class MergeLog:
+    """What was merged: one row per merge, and one row per member with its snapshot (members stand in the order of place, ord)."""
+
+    records: DataFrame
+    members: DataFrame
+
+    def union(self, other: MergeLog) -> MergeLog:
+        return MergeLog(self.records.unionByName(other.records), self.members.unionByName(other.members))
+
+
 @dataclass
 class Store:
     """Entities, claims and the merge log; ``ord`` carries the order of first insertion."""
 
     entities: DataFrame
     claims: DataFrame
-    merge_log: DataFrame | None = None
+    merge_log: MergeLog | None = None
     extraction_version: str = "v1"
     corpus_source: str = ""
     settings: Settings = field(default_factory=Settings)

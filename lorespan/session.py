@@ -69,5 +69,5 @@ def _remove_written() -> None:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

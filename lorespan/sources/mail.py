@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import tarfile
 from collections.abc import Iterator
 from email import message_from_string, policy
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.schema import EMAILS
+from lorespan.schema import EMAILS, names_of
 
-FOLDERS = ["inbox", "sent", "sent_items", "_sent_mail", "all_documents"]
+# The folders of a mailbox that are read.
+FOLDERS = ["sent_items", "sent", "inbox", "all_documents", "_sent_mail"]
 
 
 def parse_message(raw: bytes, path: str) -> dict | None:
@@ -41,7 +42,7 @@ def parse_message(raw: bytes, path: str) -> dict | None:
 
 
 def _records(parsed: Iterator[dict | None]) -> pd.DataFrame:
-    return pd.DataFrame([r for r in parsed if r], columns=[c.split()[0].strip("`") for c in EMAILS.split(", ")])
+    return pd.DataFrame([r for r in parsed if r], columns=names_of(EMAILS))
 
 
 def read_maildir(spark: SparkSession, root: str, users: list[str] | None = None, folders: list[str] = FOLDERS) -> DataFrame:
@@ -56,13 +57,18 @@ def read_maildir(spark: SparkSession, root: str, users: list[str] | None = None,
     return files.select("path", "content").mapInPandas(run, EMAILS)
 
 
-def read_archive(spark: SparkSession, path: str, prefixes: list[str]) -> DataFrame:
-    """Messages of tar archives whose members lie below the given prefixes; unsafe member names are skipped."""
+def read_archive(spark: SparkSession, paths: str | list[str], prefixes: list[str]) -> DataFrame:
+    """Messages of tar archives whose members lie below the given prefixes; unsafe member names are skipped.
+
+    One task reads one archive as a stream, compressed or not: no more than a batch of messages is in memory.
+    """
+    names = spark.createDataFrame([(p,) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for path in b["path"]:
+                source, inside = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with source.open_input_stream(inside, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
                     parsed = []
                     for member in tar:
                         name = member.name.removeprefix("maildir/")
@@ -73,7 +79,7 @@ def read_archive(spark: SparkSession, path: str, prefixes: list[str]) -> DataFra
                                 parsed = []
                     yield _records(iter(parsed))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, EMAILS)
+    return names.repartition("path").mapInPandas(run, EMAILS)
 
 
 def with_order(mail: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lorespan.operators.dedup import resolve_conflicts
-from lorespan.schema import CLAIMS
+from lorespan.schema import CLAIMS, clean_claims, names_of
 
 BUCKETS = 64
 
@@ -39,7 +39,14 @@ def ingest_claims(spark: SparkSession, incoming: str, store: str, checkpoint: st
 
 def current_claims(spark: SparkSession, store: str) -> DataFrame:
     """The ingested claims with conflicts resolved; late facts take their place by ``valid_from``."""
-    return resolve_conflicts(spark.read.parquet(store).select(*[c.split()[0] for c in CLAIMS.split(", ")]))
+    return resolve_conflicts(clean_claims(spark.read.parquet(store).select(*names_of(CLAIMS))))
+
+
+def current_claims_of(spark: SparkSession, store: str, touched: DataFrame) -> DataFrame:
+    """As :func:`current_claims`, but only of the (subject_id, relation) that ``touched`` holds: what a new batch can change."""
+    keys = touched.select("subject_id", "relation").distinct()
+    claims = spark.read.parquet(store).select(*names_of(CLAIMS)).join(keys, ["subject_id", "relation"], "left_semi")
+    return resolve_conflicts(clean_claims(claims.select(*names_of(CLAIMS))))
 
 
 def first_events(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:

@@ -10,7 +10,7 @@ from lorespan.operators import dedup, extraction, graph, retrieval, threads
 from lorespan.operators.components import connected_components
 from lorespan.operators.ranking import next_within, number_within
 from lorespan.operators.redelivery import drop_redelivered, redelivered
-from lorespan.schema import CLAIMS, ENTITIES, Settings
+from lorespan.schema import CLAIMS, ENTITIES, Settings, Store
 from lorespan.sources.mail import parse_message, read_archive, read_maildir
 
 MAIL = "ord bigint, message_id string, ingested_at timestamp_ntz, bucket int, id string"
@@ -109,6 +109,16 @@ def test_extract_retries_and_upsert(spark):
         raise RuntimeError
 
     assert extraction.extract(p, broken).first().answer == "{}"
+    calls = []
+
+    def moody(prompts):
+        calls.append(prompts)
+        if "bad" in prompts[0] or len(calls) % 2:
+            raise RuntimeError
+        return ["[1]"]
+
+    two = p.union(p.selectExpr("2", "pos", "source_id", "timestamp", "author", "'bad'")).coalesce(1)
+    assert {r.thread: r.answer for r in extraction.extract(two, moody).collect()} == {1: "[1]", 2: "{}"}
     u = spark.createDataFrame([("a", 1, "1"), ("b", 2, "2"), ("a", 3, "3")], "id string, seq int, v string")
     assert [(r.id, r.v) for r in extraction.upsert(u, "id", "seq").orderBy("ord").collect()] == [("a", "3"), ("b", "2")]
 
@@ -121,14 +131,46 @@ def test_entities(spark):
     assert set(canon) == {"e2", "e3", "e4"} and canon["e2"].aliases == ["Risk Management"] and canon["e2"].first_seen == "2001-01" and canon["e4"].aliases == ["a@x "]
     c = spark.createDataFrame([(1, "c", "e1", "approved", "e3", None, 0.5, None, None, True, "v1")], CLAIMS)
     assert dedup.remap_claims(c, e, parts, dedup.canonicalize(e, parts)).first().subject_id == "e2"
-    rows = e.join(parts, "ord").join(dedup.canonicalize(e, parts).select("component", F.col("id").alias("target")), "component")
-    log = dedup.merge_records(rows, ["component"], "entity", F.col("target"), F.col("ord"), F.lit("r"), "t")
-    found = {r.target_id: r for r in log.collect()}
-    assert found["e2"].source_ids == ["e1", "e2"] and found["e4"].source_ids == ["e4", "e5"]
-    restored, rest = dedup.undo_merge(dedup.canonicalize(e, parts).select(*e.columns), log, found["e2"].merge_id)
-    assert {r.id for r in restored.collect()} == {"e1", "e2", "e3", "e4"} and rest.count() == 1
+    merged = dedup.canonicalize(e, parts)
+    store = Store(merged.select(*e.columns), c, dedup.entity_merges(e, parts, merged, "t"))
+    found = {r.target_id: r for r in dedup.merge_documents(store.merge_log).collect()}
+    assert found["e2"].source_ids == ["e1", "e2"] and found["e4"].source_ids == ["e4", "e5"] and found["e2"].reason == "Dedup: 2 entities merged"
+    assert [s.id for s in found["e2"].original_snapshots] == ["e1", "e2"]
+    undone = dedup.undo_merge(store, found["e2"].merge_id)
+    assert {(r.id, tuple(r.aliases or ())) for r in undone.entities.collect()} == {("e1", ()), ("e2", ()), ("e3", ()), ("e4", ("a@x ",))}
+    assert undone.merge_log.records.count() == 1 and undone.claims is c
+    with pytest.raises(ValueError):
+        dedup.undo_merge(store, "nope")
     with pytest.raises(ValueError):
-        dedup.undo_merge(e, log, "nope")
+        dedup.undo_merge(undone, found["e2"].merge_id)
+
+
+def test_merges_of_claims_with_repeated_ids_are_undone(spark):
+    rows = [(1, "c", "u", "approved", "p", [ev("A")], 0.6, "2001-03", None, True, "v1"), (2, "c", "u", "approved", "p", [ev("B")], float("nan"), "2001-01", None, True, "v1"), (3, "c", "u", "decided", "p", None, None, None, None, True, "v1"), (4, "d", "u", "decided", "p", [], 0.5, None, None, None, None)]
+    claims = spark.createDataFrame(rows, CLAIMS)
+    unique = dedup.dedup_claims(claims)
+    assert {r.ord: r.confidence for r in unique.collect()} == {2: 0.6, 3: 0.5}
+    store = Store(spark.createDataFrame([], ENTITIES), unique.select(*claims.columns), dedup.claim_merges(claims, unique, "t"))
+    one = store.merge_log.records.where("target_ord = 2").first()
+    undone = dedup.undo_merge(store, one.merge_id)
+    got = {r.ord: r for r in undone.claims.collect()}
+    assert set(got) == {1, 2, 3} and got[1].confidence == 0.6 and got[2].confidence is None and got[2].evidence[0].source_id == "B" and got[3].confidence == 0.5
+    assert [r.target_ord for r in undone.merge_log.records.collect()] == [3]
+
+
+def test_full_pipeline(spark):
+    e = [(1, "e1", "Gas", "Topic", None, "2001"), (2, "e2", "gas ", "Topic", None, "2000"), (3, "e3", "Gas desk Houston", "Topic", None, None), (4, "e4", "gas desk houston.", "Topic", None, None), (5, "e5", "Jo Doe", "User", None, None), (6, "e6", "Jo Doe.", "User", None, None)]
+    c = [(1, "1", "e1", "approved", "e3", [ev("A")], 0.5, "2001", None, True, "v1"), (2, "2", "e2", "approved", "e4", [ev("B")], 0.9, "2002", None, True, "v1"), (3, "3", "e1", "approved", "e5", [ev("C")], 0.9, "2003", None, True, "v1"), (4, "4", "e1", "mentions", "lost", None, 0.9, None, None, True, "v1")]
+    entities, claims = spark.createDataFrame(e, ENTITIES), spark.createDataFrame(c, CLAIMS)
+    vectors = entities.select("ord", retrieval.embed(F.col("name")).alias("vec"))
+    store, counters = dedup.run_full_pipeline(Store(entities, claims), "t", vectors)
+    assert {r.id for r in store.entities.collect()} == {"e1", "e3", "e5", "e6"}
+    assert counters.first().asDict() == {"exact_merges": 1, "semantic_merges": 1, "claim_merges": 1, "conflicts": 1, "orphans": 1, "entities": 4, "claims": 2}
+    got = {r.id: r for r in store.claims.collect()}
+    assert got["1"].confidence == 0.9 and got["1"].valid_until == "2003" and not got["1"].is_current and got["3"].is_current
+    assert store.merge_log.records.count() == 3
+    empty, none = dedup.run_full_pipeline(Store(entities.limit(0), claims.limit(0)), "t")
+    assert empty.claims.count() == 0 and none.first().exact_merges == 0
 
 
 def test_similar_chain_is_one_component(spark):
@@ -184,6 +226,7 @@ def test_graph(spark):
     assert list(counters.first()) == [2, 2, 1, 1, 2]
     again, counters = graph.ingest(e, c, g)
     assert again.edges.count() == 2 and counters.first()[:2] == (0, 0)
+    assert list(again.counters.first()) == [2, 2, 4, 5, 4]
     a = g.vertices.where("id = 'a'")
     assert sorted(r.direction for r in graph.neighbors(g.edges.where("id = '5'"), a, current_only=False).collect()) == ["incoming", "outgoing"]
     assert {r.id: r.degree for r in graph.degrees(g).collect()} == {"a": 3, "b": 1}
@@ -201,11 +244,11 @@ def test_blend_and_ranking(spark):
     q = spark.createDataFrame([(0, "gas of", [1.0, 0.0])], "qid int, question string, qvec array<double>")
     m = {r.entity_id: round(r.score, 6) for r in retrieval.match_entities(g, index, q).collect()}
     assert m == {"x": 1.1, "y": 0.6}
-    items = [(r.claim_id, round(r.relevance, 4)) for r in retrieval.retrieve(g, index, q).orderBy("place").collect()]
+    items = [(r.claim_id, round(r.relevance, 4)) for r in retrieval.retrieve(g, retrieval.match_entities(g, index, q)).orderBy("place").collect()]
     assert items == [("1", 1.188), ("3", 0.792), ("2", 0.72)]
     assert retrieval.keyword_match(v, spark.createDataFrame([(0, "gas? a")], "qid int, question string")).count() == 0
     nothing = spark.createDataFrame([(5, "zzz", None)], "qid int, question string, qvec array<double>")
-    assert retrieval.answer(retrieval.retrieve(g, index.limit(0), nothing), nothing).first().answer == retrieval.NO_ANSWER
+    assert retrieval.answer(retrieval.retrieve(g, retrieval.match_entities(g, index.limit(0), nothing)), nothing).first().answer == retrieval.NO_ANSWER
     assert len(v.select(retrieval.embed(F.col("name"))).first()[0]) == retrieval.DIMENSIONS
 
 
@@ -238,3 +281,106 @@ def test_mail_sources(spark, tmp_path):
         tar.add(folder / "1", "maildir/doe-j/inbox/1")
         tar.add(folder / "1", "maildir/roe-k/inbox/1")
     assert [r.filepath for r in read_archive(spark, str(tmp_path / "m.tar"), ["doe-j/"]).collect()] == ["doe-j/inbox/1"]
+    with tarfile.open(tmp_path / "n.tar.gz", "w:gz") as tar:
+        for name in ("maildir/doe-j/inbox/2", "maildir/../doe-j/3", "/doe-j/4"):
+            tar.add(folder / "1", name)
+    both = [str(tmp_path / "m.tar"), str(tmp_path / "n.tar.gz")]
+    assert sorted(r.filepath for r in read_archive(spark, both, ["doe-j/"]).collect()) == ["doe-j/inbox/1", "doe-j/inbox/2"]
+
+
+def test_nearest_rows_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 4)), 1)  # rounded, so that there are ties
+    index = spark.createDataFrame([(f"e{k % 50:03d}", k // 50, [float(z) for z in v]) for k, v in enumerate(x)], "entity_id string, spos int, vec array<double>").repartition(3)
+    q = spark.createDataFrame([(k, [float(z) for z in x[k]]) for k in range(7)], "qid bigint, qvec array<double>")
+    got = {}
+    for r in retrieval.vector_topk(index, q, 9).collect():
+        got.setdefault(r.qid, set()).add((r.entity_id, r.spos))
+    for k in range(7):
+        rows = sorted((-float(x[j] @ x[k]), f"e{j % 50:03d}", j // 50) for j in range(300))
+        assert {s for s, *_ in [(round(-r[0], 9), r) for r in rows[:9]]} and len(got[k]) == 9
+        least = -rows[8][0]
+        assert all(float(x[int(e[1:]) + 50 * s] @ x[k]) >= least - 1e-9 for e, s in got[k])
+    few = retrieval.MAX_QUERIES
+    try:
+        retrieval.MAX_QUERIES = 2
+        assert {(r.qid, r.entity_id, r.spos) for r in retrieval.vector_topk(index, q, 9).collect() if r.qid == 3}.__len__() == 9
+    finally:
+        retrieval.MAX_QUERIES = few
+    assert retrieval.vector_topk(index.limit(0), q, 9).count() == 0 == retrieval.vector_topk(index, q.limit(0), 9).count()
+
+
+def test_keywords_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    names = [(k, f"e{k}", f"{word()} {word().upper()}", "Topic", rng.choice([None, [], [word(), None]]), None) for k in range(80)] + [(99, "e99", None, "Topic", None, None)]
+    asked = [(k, " ".join(word() for _ in range(3))) for k in range(20)] + [(77, None)]
+    got = {(r.qid, r.entity_id) for r in retrieval.keyword_match(spark.createDataFrame(names, ENTITIES), spark.createDataFrame(asked, "qid int, question string")).collect()}
+    want = {(q, i) for q, text in asked if text for _, i, n, _, a, _ in names for w in text.split() if len(w) >= 3 and any(s and w in s.lower() for s in [n, *(a or [])])}
+    assert got == want
+
+
+def test_store_and_graph_on_disk(spark, tmp_path):
+    from lorespan.sources import store as stores
+
+    e, c = small_graph(spark)
+    g = graph.ingest(e, c)[0]
+    stores.save_graph(g, str(tmp_path / "g"))
+    assert stores.copy_outputs(spark, str(tmp_path / "g"), str(tmp_path / "o"), ["vertices", "edges", "counters", "none"]) == ["vertices", "edges", "counters"]
+    again, counters = graph.ingest(e, c, stores.load_graph(spark, str(tmp_path / "o")))
+    assert counters.first().total_claims_ingested == 0 and again.counters.first().total_claims_ingested == 2
+    unique = dedup.dedup_claims(c)
+    store = Store(e, unique.select(*c.columns), dedup.claim_merges(c, unique, "t"), "v2", "mail")
+    for form in ("parquet", "json"):
+        stores.save_store(store, str(tmp_path / form), form=form)
+        back = stores.load_store(spark, str(tmp_path / form), form=form)
+        assert (back.extraction_version, back.corpus_source) == ("v2", "mail") and back.claims.count() == unique.count()
+        assert dedup.undo_merge(back, back.merge_log.records.first().merge_id).claims.count() == unique.count() + 1
+    stores.save_store(Store(e, c), str(tmp_path / "json"), form="json")
+    assert stores.load_store(spark, str(tmp_path / "json"), form="json").merge_log is None
+    assert graph.log_lines(store.merge_log).first().line == "CLAIM merge: 2 items → 1"
+    assert graph.claim_lines(g.vertices, g.edges.where("id = '1'")).first().line == "a → mentions → b (confidence: 0.90, Current)"
+
+
+def test_a_corpus_needs_messages(spark):
+    assert threads.enough(spark.range(60)).count() == 60
+    with pytest.raises(ValueError):
+        threads.enough(spark.range(49))
+
+
+def test_claims_of_entities_and_late_facts(spark, tmp_path):
+    from lorespan.streaming.ingest import current_claims, current_claims_of, ingest_claims
+
+    c = [(k, f"c{k}", "u", "approved", o, [], 0.9, at, None, True, "v1") for k, o, at in [(1, "p", "2001"), (2, "q", "2003")]]
+    ids = spark.createDataFrame([("u",), ("p",)], "id string")
+    assert sorted((r.entity_id, r.id) for r in graph.claims_of_entities(spark.createDataFrame(c, CLAIMS), ids).collect()) == [("p", "c1"), ("u", "c1"), ("u", "c2")]
+    at = {k: str(tmp_path / k) for k in ("in", "store", "checkpoint")}
+    spark.createDataFrame(c, CLAIMS).write.json(at["in"])
+    ingest_claims(spark, at["in"], at["store"], at["checkpoint"]).awaitTermination()
+    late = spark.createDataFrame([(3, "c3", "u", "approved", "r", [], 0.9, "2002", None, True, "v1")], CLAIMS)
+    late.write.mode("append").json(at["in"])
+    ingest_claims(spark, at["in"], at["store"], at["checkpoint"]).awaitTermination()
+    want = {"c1": "2002", "c3": "2003", "c2": None}
+    assert {r.id: r.valid_until for r in current_claims(spark, at["store"]).collect()} == want == {r.id: r.valid_until for r in current_claims_of(spark, at["store"], late).collect()}
+
+
+def test_a_failed_batch_is_run_again(spark, tmp_path, monkeypatch):
+    from lorespan.streaming import ingest
+
+    at = {k: str(tmp_path / k) for k in ("in", "store", "checkpoint")}
+    spark.createDataFrame([(1, "c1", "u", "mentions", "p", [], 0.9, None, None, True, "v1")], CLAIMS).write.json(at["in"])
+    real, failed = ingest.F.pmod, []
+
+    def once(*a):
+        if not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+        return real(*a)
+
+    monkeypatch.setattr(ingest.F, "pmod", once)
+    with pytest.raises(Exception):
+        ingest.ingest_claims(spark, at["in"], at["store"], at["checkpoint"]).awaitTermination()
+    ingest.ingest_claims(spark, at["in"], at["store"], at["checkpoint"]).awaitTermination()
+    assert [r.id for r in ingest.current_claims(spark, at["store"]).collect()] == ["c1"]

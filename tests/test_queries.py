@@ -14,7 +14,7 @@ CORE = {**reference_queries.ORACLES, **data_queries.ORACLES}
 def rows(names, records):
     def plain(x):
         if isinstance(x, float):
-            return None if x != x else round(x, 5)
+            return round(x, 5)
         return list(x) if isinstance(x, list) else x
 
     at = [names.index(n) for n in sorted(names)]
@@ -35,7 +35,9 @@ def test_query_equals_sql(spark, data, duck, name):
     cursor = duck.execute(CORE[name])
     names = [c[0] for c in cursor.description]
     assert sorted(ours.columns) == sorted(names)
-    assert rows(ours.columns, [tuple(r) for r in ours.collect()]) == rows(names, cursor.fetchall())
+    got, want = rows(ours.columns, [tuple(r) for r in ours.collect()]), rows(names, cursor.fetchall())
+    assert repr(got) == repr(want)  # as text, so that NaN equals NaN only, not null
+    assert got or name == "first_matches", "a query without rows shows nothing"
 
 
 def test_entry(spark):
