@@ -8,6 +8,7 @@ array operations; only words with a failing pair are merged step by step.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.json"
 # Fixed value: the published pattern that cuts a text into words for this vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words kept with their ids in a worker; the memory this takes is bounded, the ids are the same without it.
-CACHE_WORDS = 300_000
+#: Letters of the words kept with their ids in a worker; the memory this takes is bounded, the ids are the same without it.
+CACHE_LETTERS = 4_000_000
 _NEVER = 1 << 30
 
 
@@ -60,6 +61,7 @@ class Bpe:
         self.stable = ~whole
         self.stable[whole] = self._compatible(self.left[whole], self.right[whole], self.rank[whole])
         self.cache: dict[str, list[int]] = {}
+        self.cached = 0
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = (a.astype(np.int64) << 32) | b
@@ -103,23 +105,24 @@ class Bpe:
         return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: always the pair of lowest rank, the leftmost of equal ones."""
+        """Exact merging: always the pair of lowest rank, the leftmost of equal ones; n log n in the length of the word."""
         parts = [self.ids[word[k : k + 1]] for k in range(len(word))]
-        while len(parts) > 1:
-            found = [self.merges.get(p, (_NEVER, 0)) for p in zip(parts, parts[1:])]
-            rank, token = min(found)
-            if rank == _NEVER:
-                break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and found[k][0] == rank:
-                    out.append(token)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return parts
+        n = len(parts)
+        behind, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        waiting = [(*found, k, parts[k], parts[k + 1]) for k in range(n - 1) if (found := self.merges.get((parts[k], parts[k + 1])))]
+        heapq.heapify(waiting)
+        while waiting:
+            _, token, k, x, y = heapq.heappop(waiting)
+            j = behind[k]
+            if not alive[k] or j >= n or parts[k] != x or parts[j] != y:
+                continue  # one of the two was merged with another neighbour meanwhile
+            parts[k], alive[j], behind[k] = token, False, behind[j]
+            if behind[k] < n:
+                before[behind[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and behind[left] < n and (found := self.merges.get((parts[left], parts[behind[left]]))):
+                    heapq.heappush(waiting, (found[0], found[1], left, parts[left], parts[behind[left]]))
+        return [t for t, here in zip(parts, alive) if here]
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words."""
@@ -138,10 +141,12 @@ class Bpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[str]]:
         """Words of each text; their ids are in ``cache`` afterwards."""
-        if len(self.cache) > CACHE_WORDS:
+        if self.cached > CACHE_LETTERS:
             self.cache.clear()
+            self.cached = 0
         cut = [WORDS.findall(t) if t else [] for t in texts]
         new = list({w for words in cut for w in words if w not in self.cache})
+        self.cached += sum(map(len, new))
         self.cache.update(self.encode_words(new))
         return cut
 
