@@ -1,12 +1,14 @@
 """Personal items in free text: found, and replaced by typed placeholders.
 
 Candidate spans of each kind get votes from labelers that look at their form
-(regular expressions), at gazetteers (given names; the names in the headers of
-the same message) and at their context.  Only counts of vote patterns over the
-whole corpus come to the driver, at most one per combination of votes.
-Expectation-maximisation estimates from them how reliable each labeler is and
-how likely each pattern is an item; a logistic span classifier is trained on
-these likelihoods and decides every span.
+(regular expressions), at gazetteers (short forms of given names; given names
+that many senders and recipients of the corpus bear; the names in the headers of
+the same message) and at their context.  Only counts of patterns of votes and
+shapes over the whole corpus come to the driver; their number is bounded by the
+bits they have.  Expectation-maximisation estimates how reliable each group of
+labelers is and how likely each combination of votes is an item; a logistic
+classifier of votes and shape is trained on these likelihoods and decides every
+span.
 """
 
 from __future__ import annotations
@@ -36,10 +38,23 @@ LABELERS = {
 }
 VOTES = {k: (pos.split(), neg.split()) for k, (pos, neg) in LABELERS.items()}
 BIT = {k: {v: 1 << i for i, v in enumerate(pos + neg)} for k, (pos, neg) in VOTES.items()}
-#: Rounds of expectation-maximisation, steps of the classifier, least likelihood of an item.
-EM_ROUNDS, FIT_STEPS, THRESHOLD = 40, 300, 0.5
-#: Weight of the labelers' plain majority in a pattern's likelihood; it keeps labelers that never vote together from being split.
-ANCHOR = 0.7
+#: Labelers that exclude each other or vote for one reason stand in one group, whose outcome is the set of its votes: a group is
+#: one witness.  Those that every candidate of a kind has (its form) are no witnesses.  With a question mark: abstaining says nothing.
+GROUPS = {
+    "email": ["spelled"],
+    "phone": ["call label figure digits", "plus ?", "line ?"],
+    "idnum": ["label near figure"],
+    "street": ["unit place", "lane"],
+    "name": ["given full", "header", "title before after greeting signoff", "lower thing project"],
+}
+#: Rounds of expectation-maximisation, weight of a group's overall rates in its estimates (in spans), steps of the classifier, least likelihood of an item.
+EM_ROUNDS, SMOOTH, FIT_STEPS, THRESHOLD = 60, 2.0, 300, 0.5
+#: The start counts as so many spans of evidence; a corpus with more of them can overturn it.
+START_SPANS = 40.0
+#: Fields of a shape and their bits: kind of character on either side, words, kind of the first letter, capitals only, length.
+SHAPE = {"left": 2, "right": 2, "words": 2, "first": 2, "capitals": 1, "length": 3}
+#: A given name joins the gazetteer if this share of the different names in the headers has it, so there are at most the inverse of it; and so many at least.
+MIN_NAME_SHARE, MIN_NAME_HOLDERS = 1e-4, 3
 
 _FORMS = {n: full for full, short in GIVEN_NAMES.items() for n in [full, *short.split()]}
 # Words that end or begin firms, places and things; words after which a person is named; titles; greetings.
@@ -94,11 +109,24 @@ def _span(found: list, kind: str, start: int, end: int, votes: int) -> None:
     found.append((start, end, kind, votes))
 
 
-def candidates(text: str, header: str | None = None) -> list[tuple[int, int, str, int]]:
-    """(start, end, kind, votes) of every candidate; spans of one text may touch but not overlap within a kind."""
+_SIDES = {"\n": 0, " ": 1, "\t": 1, "\xa0": 1} | dict.fromkeys(",;:.!?", 2)
+
+
+def shape(text: str, s: int, e: int) -> int:
+    """What a span looks like, packed as in SHAPE."""
+    left, right, c = _SIDES.get(text[s - 1], 3) if s else 0, _SIDES.get(text[e], 3) if e < len(text) else 0, text[s]
+    first = 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+    return left | right << 2 | min(text.count(" ", s, e), 3) << 4 | first << 6 | text[s:e].isupper() << 8 | min((e - s).bit_length(), 7) << 9
+
+
+def candidates(text: str, header: str | None = None, names: frozenset[str] = frozenset()) -> list[tuple[int, int, str, int]]:
+    """(start, end, kind, votes) of every candidate; spans of one text may touch but not overlap within a kind.
+
+    ``names``: given names beside those with known short forms, in small letters without accents.
+    """
     found: list[tuple[int, int, str, int]] = []
     work = text
-    hits, hint = _scan(text)
+    hits, hint = _scan(text, names)
     taken: list[tuple[int, int]] = []
 
     def mask(a: int, b: int) -> None:
@@ -179,7 +207,7 @@ def candidates(text: str, header: str | None = None) -> list[tuple[int, int, str
         if p.group().isdigit() and not v & (bit["label"] | bit["call"] | bit["line"]):
             v |= bit["digits"]
         _span(found, "phone", m.start(), end, v)
-    found += _names(work, header, hits)
+    found += _names(work, header, hits, names)
     return found
 
 
@@ -200,7 +228,7 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(text: str) -> tuple[list[tuple[int, int]], bool]:
+def _scan(text: str, names: frozenset[str]) -> tuple[list[tuple[int, int]], bool]:
     """Places of the gazetteer's names as whole words, and whether a word of street addresses occurs."""
     low = text.lower()
     if not low.isascii():
@@ -208,7 +236,7 @@ def _scan(text: str) -> tuple[list[tuple[int, int]], bool]:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         low = _ACCENTED.sub(lambda m: _PLAIN.get(m.group(), m.group()), low)
     hits, hint, n = [], False, len(low)
-    for end, size in _gazetteer().iter(low):
+    for end, size in _gazetteer(names).iter(low):
         s, e = end - abs(size) + 1, end + 1
         if size < 0:
             hint = True
@@ -217,12 +245,12 @@ def _scan(text: str) -> tuple[list[tuple[int, int]], bool]:
     return hits, hint
 
 
-@lru_cache(maxsize=1)
-def _gazetteer() -> ahocorasick.Automaton:
+@lru_cache(maxsize=4)
+def _gazetteer(names: frozenset[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for word in _STREET_WORDS:
         automaton.add_word(word, -len(word))
-    for name in _FORMS:
+    for name in {*_FORMS, *names}:
         automaton.add_word(name, len(name))
     automaton.make_automaton()
     return automaton
@@ -235,7 +263,7 @@ _STREET_WORDS = ["street", " st", " ave", " road", " rd", " blvd", " boulevard",
 _AT_WORD = re.compile(r"\w\.\w+ at [a-z]|\w\.\w+ at\n", re.I)
 
 
-def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[tuple[int, int, str, int]]:
+def _names(work: str, header: str | None, found: list[tuple[int, int]], names: frozenset[str]) -> list[tuple[int, int, str, int]]:
     bit = BIT["name"]
     hits = [x for x in found if work[x[0]] != "\x00"]
     spans: list[tuple[int, int, int]] = []
@@ -243,7 +271,7 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[
     for s, e in sorted(hits):
         if s < last:
             continue
-        s, e, v = _extend(work, s, e, last)
+        s, e, v = _extend(work, s, e, last, names)
         spans.append((s, e, v))
         last = e
     starts = [x[0] for x in spans]
@@ -303,7 +331,7 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]]) -> list[
         if (s, e) in lone and not v & (bit["before"] | bit["after"] | bit["greeting"] | bit["signoff"]):
             continue  # firms and projects bear surnames, too
         if work[s:e].islower() and not v & (bit["before"] | bit["after"] | bit["greeting"] | bit["signoff"]):
-            v |= bit["lower"]
+            v = (v | bit["lower"]) & ~bit["full"]  # two words in small letters are no sign of a name
         if _THING_RE.match(work[e : e + 40]):
             v |= bit["thing"]
         if _PROJECT_RE.search(close):
@@ -332,7 +360,7 @@ def _headed(work: str, header: str | None) -> list[tuple[int, int, bool]]:
     return out
 
 
-def _extend(work: str, s: int, e: int, last: int) -> tuple[int, int, int]:
+def _extend(work: str, s: int, e: int, last: int, names: frozenset[str]) -> tuple[int, int, int]:
     """Span and first votes of the name around a given name at ``s``: initials, surname behind or before it."""
     bit, g = BIT["name"], work[s:e]
     v = bit["given"] if g[0].isupper() else 0
@@ -345,7 +373,7 @@ def _extend(work: str, s: int, e: int, last: int) -> tuple[int, int, int]:
         if after:
             word = after.group().split()[-1]
             narrow = "\n" in after.group() and e - work.rfind("\n", 0, e) < 45
-            if narrow or _STOP.match(word) or (fold(word).lower() in _FORMS and "." not in after.group()):
+            if narrow or _STOP.match(word) or ((low := fold(word).lower()) in _FORMS or low in names) and "." not in after.group():
                 after = None
     else:
         after = _LOWER_AFTER.match(work, e)
@@ -354,7 +382,7 @@ def _extend(work: str, s: int, e: int, last: int) -> tuple[int, int, int]:
     if after:
         return s, e + len(re.sub(r"['’]s$", "", after.group())), v | bit["full"]
     if g[0].isupper() and work[s - 2 : s] == ", " and (b := _SURNAME_BEFORE.search(work, max(last, s - 40), s)):
-        if fold(b[1]).lower() not in _FORMS and not _STOP.match(b[1]) and not _POLITE.match(b[1]):
+        if (low := fold(b[1]).lower()) not in _FORMS and low not in names and not _STOP.match(b[1]) and not _POLITE.match(b[1]):
             return b.start(), e, v | bit["full"]
     return s, e, v
 
@@ -365,37 +393,62 @@ _STOP = re.compile(rf"(?:{_THING}|(?:The|Please|Write|Call|Use|Copy|Page|Ring|Wh
 _LOWER_STOP = frozenset("will would could should shall have that this with from into over there their them they when what which where while after before about again gave moved wrote writes said asked says number".split())
 
 
-def learn(patterns: list[tuple[str, int, int]]) -> dict[tuple[str, int], float]:
-    """Likelihood of an item for each (kind, votes), from the counts of the patterns.
+def likelihoods(kind: str, counts: dict[int, float]) -> dict[int, float]:
+    """Likelihood of an item for each combination of votes of one kind, by expectation-maximisation.
+
+    Each group of labelers is a witness with as many outcomes as combinations of its votes, abstaining included; how
+    often items and other spans have each outcome is estimated in turn with how likely each combination is an item.  Only
+    the start is given: votes for count once, votes against twice.  It weighs as much as START_SPANS spans.
+    """
+    bit, (pos, neg) = BIT[kind], VOTES[kind]
+    votes, n = np.array(sorted(counts)), np.array([counts[v] for v in sorted(counts)], float)
+    groups = [(sum(bit[x] for x in g.split() if x != "?"), "?" in g) for g in GROUPS[kind]]
+    outcomes = [(np.unique(votes & mask, return_inverse=True)[1], votes & mask > 0 if silent else np.ones(len(n), bool)) for mask, silent in groups]
+    outcomes = [(o, speaks) for o, speaks in outcomes if o.max()]
+    balance = np.array([sum(v & bit[x] > 0 for x in pos if x != "form") - 2 * sum(v & bit[x] > 0 for x in neg) for v in votes], float)
+    q = start = 1 / (1 + np.exp(-(2 * balance + 1)))
+    believed = [n * s / n.sum() * START_SPANS for s in (start, 1 - start)]
+    for _ in range(EM_ROUNDS):
+        yes, no = n * q + believed[0], n * (1 - q) + believed[1]
+        score = np.full(len(n), np.log((yes.sum() + 1) / (no.sum() + 1)))
+        for o, speaks in outcomes:
+            overall = np.bincount(o, n) / n.sum()
+            p1, p0 = ((np.bincount(o, w) + SMOOTH * overall) / (w.sum() + SMOOTH) for w in (yes, no))
+            score += np.where(speaks, np.log(p1 / p0)[o], 0)
+        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return dict(zip(votes.tolist(), q.tolist()))
+
+
+def _fields(packed: np.ndarray) -> np.ndarray:
+    """One column per value of each field of a shape."""
+    out, at = [], 0
+    for bits in SHAPE.values():
+        value = packed >> at & (1 << bits) - 1
+        out.append(value[:, None] == np.arange(1 << bits))
+        at += bits
+    return np.hstack(out).astype(float)
+
+
+def learn(patterns: list[tuple[str, int, int, int]]) -> dict[tuple[str, int, int], float]:
+    """Probability of an item for each (kind, votes, shape), from the counts of these patterns.
 
-    Each labeler has one probability of voting for items and one for other
-    spans; EM alternates between them and the patterns' likelihoods.  The final
-    classifier is a logistic regression on the votes and their pairs, fitted to
-    these likelihoods.
+    The classifier is a logistic regression on votes, pairs of votes and the fields of the shape, fitted to the
+    likelihoods that expectation-maximisation gives the votes; it has the last word.
     """
-    out: dict[tuple[str, int], float] = {}
-    for kind, (pos, neg) in VOTES.items():
-        rows = [(v, n) for k, v, n in patterns if k == kind]
+    out: dict[tuple[str, int, int], float] = {}
+    for kind in KINDS:
+        rows = [(v, s, n) for k, v, s, n in patterns if k == kind]
         if not rows:
             continue
-        size = len(pos) + len(neg)
-        x = np.array([[v >> i & 1 for i in range(size)] for v, _ in rows], float)
-        n = np.array([c for _, c in rows], float)
-        for_, against = x[:, : len(pos)].sum(1), x[:, len(pos) :].sum(1)
-        # The form alone is a weak sign, any other vote for an item a strong one, one against it the strongest.
-        start = np.where(against > 0, 0.03, np.where(for_ > 1, 0.97, 0.55))
-        start = np.where((against > 0) & (for_ - against >= 2), 0.75, start)
-        q = start
-        for _ in range(EM_ROUNDS):
-            w1, w0 = n * q, n * (1 - q)
-            p1 = (w1 @ x + 2 * (start[:, None] * x).sum(0) / max(1e-9, start.sum()) + 0.05) / (w1.sum() + 2.1)
-            p0 = (w0 @ x + 2 * ((1 - start)[:, None] * x).sum(0) / max(1e-9, (1 - start).sum()) + 0.05) / (w0.sum() + 2.1)
-            p1, p0 = np.clip(p1, 0.005, 0.995), np.clip(p0, 0.005, 0.995)
-            prior = np.clip((w1.sum() + 1) / (n.sum() + 2), 0.02, 0.98)
-            score = np.log(prior / (1 - prior)) + x @ np.log(p1 / p0) + (1 - x) @ np.log((1 - p1) / (1 - p0))
-            q = ANCHOR * start + (1 - ANCHOR) / (1 + np.exp(-np.clip(score, -30, 30)))
-        pairs = np.array([x[:, i] * x[:, j] for i in range(size) for j in range(i)]).T if size > 1 else np.zeros((len(rows), 0))
-        z = np.hstack([np.ones((len(rows), 1)), x, pairs])
+        counts: dict[int, float] = {}
+        for v, _, n in rows:
+            counts[v] = counts.get(v, 0) + n
+        known = likelihoods(kind, counts)
+        votes, shapes, n = (np.array(c) for c in zip(*rows))
+        q, size = np.array([known[v] for v in votes.tolist()]), len(BIT[kind])
+        x = (votes[:, None] >> np.arange(size) & 1).astype(float)
+        pairs = [x[:, i] * x[:, j] for i in range(size) for j in range(i)]
+        z = np.column_stack([np.ones(len(rows)), x, *pairs, _fields(shapes)])
         weight = np.sqrt(n) / np.sqrt(n).sum()
         b = np.zeros(z.shape[1])
         for _ in range(FIT_STEPS):
@@ -407,7 +460,7 @@ def learn(patterns: list[tuple[str, int, int]]) -> dict[tuple[str, int], float]:
             if np.abs(step).max() < 1e-6:
                 break
         fitted = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        out |= {(kind, v): float(p) for (v, _), p in zip(rows, fitted)}
+        out |= {(kind, v, s): float(p) for (v, s, _), p in zip(rows, fitted)}
     return out
 
 
@@ -420,20 +473,38 @@ def corpus_texts(mail: DataFrame, claims: DataFrame) -> DataFrame:
     return m.union(e).where("text is not null and text != ''")
 
 
-def candidate_spans(texts: DataFrame) -> DataFrame:
-    """(src, ord, pos, kind, votes, start_at, found_text) of all candidates."""
+def given_names(mail: DataFrame, claims: DataFrame) -> list[str]:
+    """Given names that a share of the different names in the corpus's headers has, in small letters without accents."""
+    people = F.concat(F.array("sender"), *[F.coalesce(c, F.array().cast("array<string>")) for c in ("to", "cc")])
+    rows = mail.select(F.explode(people).alias("name")).union(claims.select(F.explode("evidence.author").alias("name")))
+    shown = F.trim(F.regexp_replace("name", r"<[^>]*>|\S+@\S+|\"", " "))
+    given = F.regexp_extract("shown", r"^(?:[^,]+,\s*)?(?:" + _TITLES + r"\.?\s+)?(\p{Lu}\p{Ll}{2,})(?=\s+(?:\p{Lu}\.?\s+)*\p{Lu}\p{Ll}|$)", 1)
+    plain = rows.select(shown.alias("shown")).distinct().where(F.regexp_like("shown", F.lit(r"\S[\s,]+\S"))).select(given.alias("given"))
+    found = plain.groupBy("given").count()
+    total = found.agg(F.sum("count")).first()[0] or 0
+    kept = found.where((F.col("given") != "") & (F.col("count") >= max(MIN_NAME_HOLDERS, MIN_NAME_SHARE * total))).collect()
+    return sorted({fold(r.given).lower() for r in kept if not _STOP.match(r.given) and not _POLITE.match(r.given)})
+
+
+SPAN = "struct<kind: string, votes: int, shape: int, start: int, found: string>"
+
+
+def labelled_texts(mail: DataFrame, claims: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(src, ord, pos, text, spans) of all texts with their candidates; ``text`` only if asked for."""
+    names = frozenset(given_names(mail, claims))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(src, o, p, kind, votes, s, t[s:e]) for src, o, p, h, t in zip(b["src"], b["ord"], b["pos"], b["header"], b["text"]) for s, e, kind, votes in candidates(t, h)]
-            yield pd.DataFrame(rows, columns=["src", "ord", "pos", "kind", "votes", "start_at", "found_text"])
+            spans = [[{"kind": k, "votes": v, "shape": shape(t, s, e), "start": s, "found": t[s:e]} for s, e, k, v in candidates(t, h, names)] for h, t in zip(b["header"], b["text"])]
+            yield pd.DataFrame({"src": b["src"], "ord": b["ord"], "pos": b["pos"], "text": b["text"] if keep_text else None, "spans": spans})
 
-    return texts.mapInPandas(run, "src string, ord bigint, pos bigint, kind string, votes int, start_at int, found_text string")
+    return corpus_texts(mail, claims).mapInPandas(run, f"src string, ord bigint, pos bigint, text string, spans array<{SPAN}>")
 
 
-def _learned(spans: DataFrame) -> list[tuple[str, int]]:
-    counts = [(r.kind, r.votes, r["count"]) for r in spans.groupBy("kind", "votes").count().collect()]
-    return [k for k, p in sorted(learn(sorted(counts)).items()) if p >= THRESHOLD]
+def accepted_patterns(labelled: DataFrame) -> list[tuple[str, int, int]]:
+    """The (kind, votes, shape) that the classifier takes for items."""
+    counted = labelled.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes", "x.shape").count().collect()
+    return [k for k, p in sorted(learn(sorted((r.kind, r.votes, r["shape"], r["count"]) for r in counted)).items()) if p >= THRESHOLD]
 
 
 def personal_items(mail: DataFrame, claims: DataFrame) -> DataFrame:
@@ -443,26 +514,27 @@ def personal_items(mail: DataFrame, claims: DataFrame) -> DataFrame:
     name is known from the header; whole texts of any length are read, repeated
     rows each give their items, and other columns are not read.
     """
-    spans = stash(candidate_spans(corpus_texts(mail, claims)), "spans")
-    accepted = spans.sparkSession.createDataFrame(_learned(spans) or [("", 0)], "kind string, votes int")
-    return spans.join(F.broadcast(accepted), ["kind", "votes"]).select("src", "ord", "pos", "kind", "start_at", "found_text")
+    labelled = stash(labelled_texts(mail, claims).drop("text"), "spans")
+    accepted = labelled.sparkSession.createDataFrame(accepted_patterns(labelled) or [("", 0, 0)], "kind string, votes int, shape int")
+    spans = labelled.select("src", "ord", "pos", F.explode("spans").alias("x")).select("src", "ord", "pos", "x.kind", "x.votes", "x.shape", F.col("x.start").alias("start_at"), F.col("x.found").alias("found_text"))
+    return spans.join(F.broadcast(accepted), ["kind", "votes", "shape"]).select("src", "ord", "pos", "kind", "start_at", "found_text")
 
 
 def redact(mail: DataFrame, claims: DataFrame) -> DataFrame:
-    """(src, ord, pos, clean_text): the texts with each personal item replaced by ``[KIND]``."""
-    texts = corpus_texts(mail, claims)
-    accepted = frozenset(_learned(candidate_spans(texts)))
+    """(src, ord, pos, clean_text): the texts with each personal item replaced by ``[KIND]``; every text is scanned once."""
+    labelled = stash(labelled_texts(mail, claims, keep_text=True), "labelled")
+    accepted = frozenset(accepted_patterns(labelled))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             clean = []
-            for h, t in zip(b["header"], b["text"]):
+            for t, spans in zip(b["text"], b["spans"]):
                 out, at = [], 0
-                for s, e, kind, votes in sorted(x for x in candidates(t, h) if (x[2], x[3]) in accepted):
+                for s, k, found in sorted((x["start"], x["kind"], x["found"]) for x in spans if (x["kind"], x["votes"], x["shape"]) in accepted):
                     if s >= at:
-                        out += [t[at:s], f"[{kind.upper()}]"]
-                        at = e
+                        out += [t[at:s], f"[{k.upper()}]"]
+                        at = s + len(found)
                 clean.append("".join([*out, t[at:]]))
             yield pd.DataFrame({"src": b["src"], "ord": b["ord"], "pos": b["pos"], "clean_text": clean})
 
-    return texts.mapInPandas(run, "src string, ord bigint, pos bigint, clean_text string")
+    return labelled.mapInPandas(run, "src string, ord bigint, pos bigint, clean_text string")

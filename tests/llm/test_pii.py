@@ -63,3 +63,35 @@ def test_names_of_the_header_are_candidates(spark):
     mail = spark.createDataFrame([(1, "Chandra Rao <c.rao@x.example>", ["Xiadani Okwu <o@x.example>"], None, text, "x", 1)], MAIL)
     found = {r.found_text for r in personal_items(mail, spark.createDataFrame([], CLAIMS)).where("kind = 'name'").collect()}
     assert found == {"Chandra", "Xiadani Okwu", "Okwu"}
+
+
+def test_expectation_maximisation_can_overturn_the_votes():
+    from lorespan.llm.pii import BIT, likelihoods
+
+    bit = BIT["name"]
+    clear = {bit["given"] | bit["full"] | bit["header"] | bit["greeting"]: 3000, bit["given"] | bit["header"] | bit["signoff"]: 3000, bit["lower"]: 2000}
+    odd = bit["given"] | bit["full"] | bit["header"] | bit["greeting"] | bit["project"]
+    few = likelihoods("name", {odd: 3})[odd]  # alone, the vote against it stands
+    assert likelihoods("name", clear | {odd: 600})[odd] > 0.9 > 0.5 and few < 0.95
+    thing = bit["given"] | bit["thing"]  # a given name, but never in a context of names
+    assert likelihoods("name", clear | {thing: 500})[thing] < 0.1
+
+
+def test_the_classifier_sees_the_span():
+    from lorespan.llm.pii import BIT, learn, shape
+
+    bit = BIT["idnum"]
+    plain, framed = shape("no 123456789 is", 3, 12), shape("#123456789#", 1, 10)
+    patterns = [("idnum", bit["form"] | bit["label"] | bit["near"], plain, 400), ("idnum", bit["form"] | bit["figure"], framed, 400), ("idnum", bit["form"], plain, 30), ("idnum", bit["form"], framed, 30)]
+    p = learn(patterns)
+    assert p["idnum", bit["form"], plain] > p["idnum", bit["form"], framed] + 0.1
+
+
+def test_given_names_are_learned_from_headers(spark):
+    from lorespan.llm.pii import given_names
+
+    people = [f"Oluwaseun Fam{k}li <o{k}@x.example>".replace(f"{k}", "abcdefghij"[k]) for k in range(6)] + ["Gas Desk <desk@x.example>", "Solo <s@x.example>"]
+    mail = spark.createDataFrame([(k, p, None, [None], "Hi Oluwaseun,\n\nPlease ask Oluwaseun Marok on Monday.", "x", 1) for k, p in enumerate(people)], MAIL)
+    none = spark.createDataFrame([], CLAIMS)
+    assert given_names(mail, none) == ["oluwaseun"]
+    assert "Oluwaseun Marok" in {r.found_text for r in personal_items(mail, none).where("ord = 6").collect()}
