@@ -1,13 +1,19 @@
 """Sentence boundaries across languages and scripts.
 
-Characters that can end a sentence are tagged boundary or inside by a
-linear-chain model and decoded with Viterbi.  Its emissions are log-likelihood
-ratios counted over the whole corpus at paragraph ends and starts, where
-boundaries are certain: how often a word or number before a full stop ends a
-paragraph (abbreviations hardly ever do), how often the next word begins one.
-For scripts without sentence marks the same model tags spaces; it is trained
-on the text stripped of punctuation, on the letters before paragraph ends and
-after paragraph starts against all other places.
+Every character is tagged boundary or inside by a linear-chain model whose
+weights are fitted to the corpus, and decoded with Viterbi.  Characters that no
+sentence can end at are inside by constraint, so the chain is kept as its other
+characters and the distances between them.  Emissions rest on counts over the
+whole corpus at paragraph ends and starts, where boundaries are certain: how
+often a word or number before a full stop ends a paragraph (abbreviations hardly
+ever do), how often the next word begins one.  Transitions rest on the distance
+between two such characters: a sentence of three letters is rare after another
+one.  The weights maximise the likelihood of what is known of a sample of
+paragraphs that were joined: the joints are boundaries, a stop behind a word that
+stands before many stops and never at a paragraph's end is none, all other tags
+are summed over.  For scripts without sentence
+marks the same model tags spaces; its counts and its joined paragraphs are
+stripped of punctuation.
 """
 
 from __future__ import annotations
@@ -17,19 +23,38 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.session import stash
 
-#: A count goes to all tasks if it is at least this share of its table, so at most the inverse of it entries; the others are joined to the texts that need them.
+#: A word's counts go to all tasks if they are at least this share of their table, so at most the inverse of it entries; the others are joined to the texts that need them.
 MIN_SHARE = 5e-6
 #: Smoothing of the ratios, and letters of context in scripts without marks.
 SMOOTH, LETTERS = 1.0, 4
-#: Prior scores: full stop, strong mark, mark behind a closing quote, ellipsis, space; changes for the next letter's case; cost of a boundary right behind another.
-STOP, STRONG, QUOTED, DOTS, SPACE, UPPER, LOWER, AGAIN = 2.0, 9.0, 1.0, -2.0, -1.0, 1.0, -3.0, -2.0
+#: Documents whose joined paragraphs fit the weights, most paragraphs of one joint, most tags of one sequence, steps and pace of the fit.
+SAMPLE, JOINED, MOST_TAGS, STEPS, PACE = 3000, 3, 32, 80, 0.15
+#: Chance of error at which a word is taken for one that no sentence ends with.
+SURE = 1e-3
+#: Distances between two tags are told apart by their number of bits up to this one.
+BITS = 8
+#: Where the fit starts and what it is drawn to (with variance 1), by kind of character.
+PRIOR = {
+    "stop": {"always": 2.0, "ends": 1.0, "goes_on": -1.0, "starts": 1.0, "upper": 1.0, "lower": -3.0, "name": 4.0},
+    "strong": {"always": 9.0, "upper": 0.0, "lower": 0.0},
+    "quoted": {"always": 1.0, "starts": 1.0, "upper": 3.0, "lower": -9.0},
+    "dots": {"always": -2.0, "starts": 1.0, "upper": 2.0, "lower": -6.0},
+    "space": {"always": -1.0, "left": 1.0, "right": 1.0},
+}
+KINDS = list(PRIOR)
+_PLACE = {kind: sum(len(PRIOR[k]) for k in KINDS[:i]) for i, kind in enumerate(KINDS)}
+_EMISSIONS = sum(map(len, PRIOR.values()))
+#: Cost of a boundary right behind another at the start of the fit.
+AGAIN = -2.0
 
 # Marks that end sentences, scripts written without them, and pairs of quotes and brackets.
 _UNMARKED = "฀-໿ༀ-࿿က-႟ក-៿"
@@ -134,231 +159,351 @@ def enclosed(text: str, start: int, end: int) -> tuple[list[int], list[int], set
     return [start + a for a, _ in flat], [start + b for _, b in flat], {start + b for _, b in spans}
 
 
+#: Counts of each table: words before stops (in how many paragraphs, at their ends, before small letters), words (as the first, anywhere), letters in unmarked scripts (at the end, at the start, anywhere).
+TABLES = {"stop": "wel", "word": "sa", "letters": "LRA"}
+_TABLE = {c: (t, k) for t, codes in TABLES.items() for k, c in enumerate(codes)}
+
+
+def stripped(text: str) -> str:
+    """Text of an unmarked script without marks, quotes and brackets."""
+    return _PUNCTUATION.sub("", text).strip()
+
+
+_PUNCTUATION = re.compile(rf"[{re.escape(_MARKS + _CLOSERS + _OPENERS)}]")
+
+
 def count_block(text: str, start: int, end: int, counts: Counter) -> None:
-    """Counts of one paragraph: words before stops and at the end, first words and all words, letters in unmarked scripts."""
+    """Counts of one paragraph but for its words: words before stops and at the end, the first word, letters in unmarked scripts."""
     part = text[start:end].rstrip()
     end = start + len(part)
     start += len(part) - len(part.lstrip())
     if start >= end:
         return
     if _HAS_UNMARKED.search(text, start, end):
-        line = re.sub(rf"[{re.escape(_MARKS + _CLOSERS + _OPENERS)}]", "", text[start:end]).strip()
+        line = stripped(text[start:end])
         if line and _HAS_UNMARKED.match(line[-1]) and _HAS_UNMARKED.match(line[0]):
             counts["L", line[-LETTERS:]] += 1
             counts["R", line[:LETTERS]] += 1
-            for k in range(len(line) - LETTERS + 1):
-                counts["A", line[k : k + LETTERS]] += 1
+            counts.update(("A", line[k : k + LETTERS]) for k in range(len(line) - LETTERS + 1))
     counts["s", next_word(text, start, end)] += 1
-    last = None
+    last, stops = None, set()  # a text that repeats itself counts once
     for m in _END.finditer(text, start, end):
         if text[m.start()] == ".":
             word = before_word(text, m.start())
-            counts["w", word] += 1
+            stops.add(("w", word))
             last = m
             behind = m.end()
             while behind < end and text[behind].isspace():
                 behind += 1
             if m.end() < behind < end and text[behind].islower():
-                counts["l", word] += 1
+                stops.add(("l", word))
         behind = m.end()
-        while behind < end and text[behind] in _CLOSERS + '"“':
+        while behind < end and text[behind] in _AFTER_MARK:
             behind += 1
         if behind < end and not text[behind].isspace():
             counts["a", next_word(text, behind, end)] += 1
-    for w in set(re.findall(r"(?<=[\s])[^\s]+", part)):
-        bare = next_word(w, 0)
-        counts["a", bare] += 1
-    if last is not None and not text[last.end() : end].strip(_CLOSERS + '"“'):
-        counts["e", before_word(text, last.start())] += 1
+    if last is not None and not text[last.end() : end].strip(_AFTER_MARK):
+        stops.add(("e", before_word(text, last.start())))
+    counts.update(stops)
 
 
-class Counts:
-    """The frequent counts of the corpus, and the rare ones that one text needs."""
+_AFTER_MARK = _CLOSERS + '"“'
 
-    def __init__(self, frequent: dict[tuple[str, str], int]) -> None:
-        self.frequent, self.rare, self.missed = frequent, {}, set()
 
-    def get(self, key: tuple[str, str], default: int = 0) -> int:
-        if (n := self.frequent.get(key)) is not None:
-            return n
-        self.missed.add(key)
-        return self.rare.get(key, default)
-
-
-class Model:
-    """Log-likelihood ratios of the corpus counts."""
-
-    def __init__(self, frequent: dict[tuple[str, str], int], total: dict[str, int]) -> None:
-        self.n = Counts(frequent)
-        total = Counter(total)
-        self.end_rate = max(total["e"], 1) / max(total["w"], 1)
-        self.start_rate = max(total["s"], 1) / max(total["a"] + total["s"], 1)
-        self.lower_rate = max(total["l"], 1) / max(total["w"], 1)
-        self.ends, self.starts, self.any = max(total["L"], 1), max(total["R"], 1), max(total["A"], 1)
-
-    def ends_with(self, word: str) -> float:
-        """How much more often than others the word before a stop ends a paragraph."""
-        n, all_ = self.n.get(("e", word), 0), self.n.get(("w", word), 0)
-        if word == "@" and not all_:
-            return -4.0
-        return math.log((n + SMOOTH * self.end_rate) / ((max(all_, n) + SMOOTH) * self.end_rate))
-
-    def starts_with(self, word: str) -> float:
-        """How much more often than others a word begins a paragraph."""
-        n = self.n.get(("s", word), 0)
-        all_ = self.n.get(("a", word), 0) + n
-        return math.log((n + SMOOTH * self.start_rate) / ((all_ + SMOOTH) * self.start_rate))
-
-    def goes_on(self, word: str) -> float:
-        """How much more often than others a word before a stop is followed by a small letter."""
-        n, all_ = self.n.get(("l", word), 0), self.n.get(("w", word), 0)
-        return math.log((n + SMOOTH * self.lower_rate) / ((max(all_, n) + SMOOTH) * self.lower_rate))
-
-    def gap(self, left: str, right: str) -> float:
-        """Space in a script without marks: letters before it as at paragraph ends, letters behind as at starts."""
-        ratio = lambda kind, letters, total: math.log((self.n.get((kind, letters), 0) + 0.02) / total) - math.log((self.n.get(("A", letters), 0) + 1) / self.any)
-        return SPACE + ratio("L", left, self.ends) + ratio("R", right, self.starts)
-
-    def candidates(self, text: str, start: int, end: int) -> list[tuple[int, float]]:
-        """(end of the possible sentence, score of a boundary there against none)."""
-        opens, closes, shut = enclosed(text, start, end)
-        out: list[tuple[int, float]] = []
-        for m in _END.finditer(text, start, end):
-            at, behind = m.start(), m.end()
-            mark = m.group()
-            while behind < end and (text[behind] in _CLOSERS or behind in shut):
-                behind += 1
+def candidates(text: str, start: int, end: int) -> list[tuple[int, int, str, int, str, str]]:
+    """(end of the possible sentence, start of the next one, kind, case of the next letter, context before, behind)."""
+    opens, closes, shut = enclosed(text, start, end)
+    out: list[tuple[int, int, str, int, str, str]] = []
+    for m in _END.finditer(text, start, end):
+        at, behind = m.span()
+        while behind < end and (text[behind] in _CLOSERS or behind in shut):
+            behind += 1
+        inside = False
+        if opens:
             k = bisect.bisect_right(opens, at) - 1
             inside = k >= 0 and closes[k] >= at
             if inside and closes[k] >= behind:
                 continue
-            nxt = behind
-            while nxt < end and text[nxt].isspace():
-                nxt += 1
-            if nxt >= end:
+        nxt = behind
+        while nxt < end and text[nxt].isspace():
+            nxt += 1
+        if nxt >= end:
+            continue
+        mark, c = m.group().strip(), text[nxt]
+        if nxt == behind:
+            wide = mark[-1:] in "。！？｡।॥؟۔…" or _CJK.match(c)
+            if not (wide and mark.strip(".") or mark[-1:] in "!?" and _CJK.match(c)):
                 continue
-            spaced = nxt > behind
-            wide = mark[-1:] in "。！？｡।॥؟۔…！？" or bool(_CJK.match(text[nxt]))
-            if not spaced and not (wide and mark.strip(".") or mark[-1:] in "!?" and _CJK.match(text[nxt])):
-                continue
-            c = text[nxt]
-            if c in ",;:，、；)]」）»”—–-" or c in "!?" and spaced:
+        if c in ",;:，、；)]）」）»”—–-" or c in "!?" and nxt > behind:
+            continue
+        plain = mark in (".", "..") and not inside
+        kind = "quoted" if inside else "stop" if plain else "dots" if set(mark) <= {".", "…"} else "strong"
+        word = next_word(text, nxt, end)
+        bare = word.lstrip(_OPENERS)[:1]
+        case = 1 if bare.isupper() or c in "¿¡" else -1 if bare.islower() else 0
+        out.append((behind, nxt, kind, case, before_word(text, at) if plain else "", word))
+    if _HAS_UNMARKED.search(text, start, end):
+        for m in _GAP.finditer(text, start, end):
+            a, b = m.span()
+            k = bisect.bisect_right(opens, a) - 1
+            if k >= 0 and closes[k] >= a:
                 continue
-            word = next_word(text, nxt, end)
-            bare = word.lstrip(_OPENERS)[:1]
-            case = UPPER if bare.isupper() or c in "¿¡" else LOWER if bare.islower() else 0.0
-            if inside:
-                score = QUOTED + max(-8.0, min(2.0, self.starts_with(word))) + (3 * case if case else 0.0)
-            elif mark.strip() == "." or mark.strip() == ".." :
-                left = before_word(text, at)
-                ending = self.ends_with(left)
-                if case == LOWER:
-                    score = STOP + ending - self.goes_on(left) + case
-                else:
-                    score = STOP + ending + max(-8.0, min(3.0, self.starts_with(word))) + case
-                if case > 0 and ending > -1 and left != "#":  # names begin sentences, but hardly ever paragraphs
-                    score += 4.0
-            elif set(mark.strip()) <= {".", "…"}:
-                score = DOTS + max(-8.0, min(2.0, self.starts_with(word))) + 2 * case
-            else:
-                score = STRONG
-            out.append((behind, score))
-        if _HAS_UNMARKED.search(text, start, end):
-            for m in _GAP.finditer(text, start, end):
-                a, b = m.span()
-                k = bisect.bisect_right(opens, a) - 1
-                if k >= 0 and closes[k] >= a:
+            if not _HAS_UNMARKED.match(text[a - 1]) or not _HAS_UNMARKED.match(text[b]):
+                if not (_HAS_UNMARKED.match(text[a - 1]) and text[b].isalpha()) and not (_HAS_UNMARKED.match(text[b]) and text[a - 1].isalpha()):
                     continue
-                if not _HAS_UNMARKED.match(text[a - 1]) or not _HAS_UNMARKED.match(text[b]):
-                    if not (_HAS_UNMARKED.match(text[a - 1]) and text[b].isalpha()) and not (_HAS_UNMARKED.match(text[b]) and text[a - 1].isalpha()):
-                        continue
-                left = text[max(start, a - LETTERS) : a]
-                out.append((a, self.gap(left, text[b : b + LETTERS])))
-            out.sort()
-        return out
-
-    def decode(self, found: list[tuple[int, float]]) -> list[int]:
-        """Viterbi over inside and boundary; a boundary right behind another costs extra."""
-        inside, boundary, back = 0.0, -math.inf, []
-        previous = -100
-        for at, score in found:
-            close = AGAIN if at - previous <= 3 else 0.0
-            from_b = boundary + close
-            back.append((boundary > inside, from_b > inside))
-            inside, boundary = max(inside, boundary), max(inside, from_b) + score
+            out.append((a, b, "space", 0, text[max(start, a - LETTERS) : a], text[b : b + LETTERS]))
+        out.sort()
+    return out
+
+
+def keys_of(kind: str, left: str, right: str) -> list[tuple[str, str]]:
+    """(table, key) of the counts that a character's emission rests on."""
+    if kind == "stop":
+        return [("stop", left), ("word", right)]
+    return [("letters", left), ("letters", right)] if kind == "space" else [] if kind == "strong" else [("word", right)]
+
+
+class Model:
+    """Emissions from the counts of the corpus, and weights of emissions and transitions."""
+
+    def __init__(self, frequent: dict[tuple[str, str], tuple], total: dict[str, list[int]], weights: np.ndarray | None = None) -> None:
+        self.frequent, self.weights = frequent, prior_weights() if weights is None else weights
+        w, e, l = total.get("stop", (0, 0, 0))
+        s, a = total.get("word", (0, 0))[:2]
+        self.end_rate, self.lower_rate, self.start_rate = max(e, 1) / max(w, 1), max(l, 1) / max(w, 1), max(s, 1) / max(a, 1)
+        self.ends, self.starts, self.any = (max(x, 1) for x in total.get("letters", (0, 0, 0)))
+
+    def emission(self, kind: str, case: int, left: str, right: str, rare: dict[tuple[str, str], tuple], joint: bool = False) -> list[float]:
+        """Values of the kind's fields; ``joint``: without the counts that this place itself added as a paragraph's end and start."""
+        own = int(joint)
+        get = lambda table, key: self.frequent.get((table, key)) or rare.get((table, key)) or (0, 0, 0)
+        upper, lower = float(case > 0), float(case < 0)
+        if kind == "strong":
+            return [1.0, upper, lower]
+        if kind == "space":
+            side = lambda n, all_, total: math.log((n + 0.02) / total) - math.log((all_ + 1) / self.any)
+            (ends, _, a), (_, starts, b) = get("letters", left), get("letters", right)
+            return [1.0, side(max(ends - own, 0), max(a - own, 0), self.ends), side(max(starts - own, 0), max(b - own, 0), self.starts)]
+        first, all_, _ = get("word", right)
+        first, all_ = max(first - own, 0), max(all_ - own, 0)
+        starts = math.log((first + SMOOTH * self.start_rate) / ((max(first, all_) + SMOOTH) * self.start_rate))
+        if kind != "stop":
+            return [1.0, max(-8.0, min(2.0, starts)), upper, lower]
+        all_, ends, small = get("stop", left)
+        all_, ends = max(all_ - own, 0), max(ends - own, 0)
+        if left == "@" and not all_:
+            ending = -4.0
+        else:
+            ending = math.log((ends + SMOOTH * self.end_rate) / ((max(all_, ends) + SMOOTH) * self.end_rate))
+        going = math.log((small + SMOOTH * self.lower_rate) / ((max(all_, small) + SMOOTH) * self.lower_rate)) if lower else 0.0
+        # Names begin sentences, but hardly ever paragraphs.
+        return [1.0, ending, going, 0.0 if lower else max(-8.0, min(3.0, starts)), upper, lower, float(upper and ending > -1 and left != "#")]
+
+    def never_ends(self, left: str) -> bool:
+        """True if a word stands before so many stops that one of them would end a paragraph if any ended a sentence."""
+        all_, ends, _ = self.frequent.get(("stop", left), (0, 0, 0))
+        return not ends and (1 - min(self.end_rate, 0.5)) ** all_ < SURE
+
+    def decode(self, start: int, end: int, found: list, rare: dict[tuple[str, str], tuple]) -> list[int]:
+        """Which of the characters are boundaries: Viterbi over inside and boundary, from the block's start to its end."""
+        w, steps = self.weights, self.weights[_EMISSIONS:].tolist()
+        inside, boundary, back, previous = -math.inf, 0.0, [], start
+        for at, _, kind, case, left, right in found:
+            values, place = self.emission(kind, case, left, right, rare), _PLACE[kind]
+            score = sum(v * w[place + k] for k, v in enumerate(values))
+            base = transition(kind, at - previous)
+            from_i, from_b = inside + steps[base], boundary + steps[base + BITS + 1]
+            back.append((boundary > inside, from_b > from_i))
+            inside, boundary = max(inside, boundary), max(from_i, from_b) + score
             previous = at
-        tag, ends = boundary > inside, []
+        base = transition(found[-1][2], end - previous) if found else 0
+        tag, out = boundary + steps[base + BITS + 1] > inside + steps[base], []
         for k in range(len(found) - 1, -1, -1):
             if tag:
-                ends.append(found[k][0])
+                out.append(k)
             tag = back[k][1] if tag else back[k][0]
-        return ends[::-1]
-
-    def missing(self, text: str) -> set[tuple[str, str]]:
-        """Counts that the text needs and that are not among the frequent ones."""
-        self.n.rare, self.n.missed = {}, set()
-        for start, end, whole in blocks(text):
-            if not whole:
-                self.candidates(text, start, end)
-        return self.n.missed
-
-    def sentences(self, text: str | None, rare: dict[tuple[str, str], int] | None = None) -> list[tuple[int, int]]:
-        self.n.rare, self.n.missed = rare or {}, set()
-        out = []
-        for start, end, whole in blocks(text or ""):
-            cuts = [] if whole else self.decode(self.candidates(text, start, end))
-            for a, b in zip([start, *cuts], [*cuts, end]):
-                part = text[a:b]
-                if kept := part.strip():
-                    first = a + len(part) - len(part.lstrip())
-                    out.append((first, first + len(kept)))
-        return out
+        return out[::-1]
+
+
+def transition(kind: str, distance: int) -> int:
+    """Place of the weight of inside before a boundary at this distance; that of boundary before it stands BITS + 1 further on."""
+    return (2 * (BITS + 1) if kind == "space" else 0) + min(max(distance, 0).bit_length(), BITS)
+
+
+def prior_weights() -> np.ndarray:
+    """Weights at the start of the fit."""
+    steps = np.zeros((2, 2, BITS + 1))
+    steps[:, 1, :3] = AGAIN
+    return np.concatenate([[v for kind in KINDS for v in PRIOR[kind].values()], steps.ravel()])
+
+
+def fit(sequences: list[list[tuple[list[float], str, int, int]]]) -> np.ndarray:
+    """Weights of the chain from sequences of (emission, kind, distance from the tag before, tag).
+
+    Tag: 1 boundary, 0 inside, -1 unknown; the last element of a sequence is its end, a boundary without emission.  The
+    likelihood of the known tags, summed over the unknown ones, is maximised together with a normal prior at
+    :func:`prior_weights`, by gradient steps whose pace adapts to each weight; all sequences are worked on at once.
+    """
+    w = prior = prior_weights()
+    if not sequences:
+        return w
+    length, size = max(map(len, sequences)), len(sequences)
+    x, base = np.zeros((length, size, _EMISSIONS), np.float32), np.zeros((length, size), int)
+    tags, real = np.full((length, size), -1), np.zeros((length, size), bool)
+    for i, sequence in enumerate(sequences):
+        for t, (values, kind, distance, tag) in enumerate(sequence):
+            x[t, i, _PLACE[kind] : _PLACE[kind] + len(values)] = values
+            base[t, i], tags[t, i], real[t, i] = _EMISSIONS + transition(kind, distance), tag, True
+    never = -1e9
+
+    def expected(w: np.ndarray, clamp: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of a boundary at each place, behind an inside and behind a boundary."""
+        score = x @ w[:_EMISSIONS]
+        from_i, from_b = score + w[base], score + w[base + BITS + 1]
+        stay = np.zeros_like(score)
+        if clamp:
+            from_i, from_b = np.where(tags == 0, never, from_i), np.where(tags == 0, never, from_b)
+            stay = np.where(tags == 1, never, stay)
+        fi, fb = np.full((length + 1, size), never), np.zeros((length + 1, size))
+        for t in range(length):
+            i, b = np.logaddexp(fi[t], fb[t]) + stay[t], np.logaddexp(fi[t] + from_i[t], fb[t] + from_b[t])
+            fi[t + 1], fb[t + 1] = np.where(real[t], i, fi[t]), np.where(real[t], b, fb[t])
+        bi, bb = np.zeros((length + 1, size)), np.zeros((length + 1, size))
+        for t in range(length - 1, -1, -1):
+            i, b = np.logaddexp(stay[t] + bi[t + 1], from_i[t] + bb[t + 1]), np.logaddexp(stay[t] + bi[t + 1], from_b[t] + bb[t + 1])
+            bi[t], bb[t] = np.where(real[t], i, bi[t + 1]), np.where(real[t], b, bb[t + 1])
+        total = np.logaddexp(fi[-1], fb[-1])
+        p = lambda f, step: np.where(real, np.exp(np.minimum(f[:-1] + step + bb[1:] - total, 0)), 0)
+        return p(fi, from_i), p(fb, from_b)
+
+    seen = np.full(len(w), 1e-8)
+    w = w.copy()
+    for _ in range(STEPS):
+        gradient = prior - w
+        for sign, clamp in ((1, True), (-1, False)):
+            i, b = expected(w, clamp)
+            gradient[:_EMISSIONS] += sign * np.einsum("ts,tsf->f", i + b, x, optimize=True)
+            gradient += sign * (np.bincount(base.ravel(), i.ravel(), len(w)) + np.bincount(base.ravel() + BITS + 1, b.ravel(), len(w)))
+        seen += gradient**2
+        w += PACE * gradient / np.sqrt(seen)
+    return w
+
+
+def joined_paragraphs(text: str, model: Model, rare: dict[tuple[str, str], tuple]) -> Iterator[list[tuple[list[float], str, int, int]]]:
+    """Sequences for the fit: consecutive paragraphs of a text as one, with what is known of their tags."""
+    parts = [text[a:z].strip() for a, z, whole in blocks(text) if not whole]
+    for k in range(0, len(parts) - 1, JOINED):
+        group = parts[k : k + JOINED]
+        unmarked = all(p and _HAS_UNMARKED.match(p[-1]) for p in map(stripped, group))
+        if unmarked:
+            group = [stripped(p) for p in group]
+        elif not all(_END.search(p[-3:]) for p in group):
+            continue  # headings and the like have no mark to be tagged
+        glue = "" if not unmarked and all(_CJK.match(p[-1]) for p in group) else " "
+        line = glue.join(group)
+        joints = set(np.cumsum([len(p) + len(glue) for p in group])[:-1].tolist())
+        sequence, previous = [], 0
+        for at, nxt, kind, case, left, right in candidates(line, 0, len(line)):
+            joint = nxt in joints
+            tag = 1 if joint else 0 if kind == "stop" and model.never_ends(left) else -1
+            sequence.append((model.emission(kind, case, left, right, rare, joint), kind, at - previous, tag))
+            previous = at
+        if sequence and len(sequence) < MOST_TAGS:
+            yield [*sequence, ([], sequence[-1][1], len(line) - previous, 1)]
 
 
 def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, key, n): the counts of all documents."""
+    """(table, key, n): the counts of all documents, as in TABLES."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             counts: Counter = Counter()
+            texts = [t for t in b["text"] if t]
+            for t in texts:
+                for start, end, whole in blocks(t):
+                    if not whole:
+                        count_block(t, start, end, counts)
+            for w, n in Counter(chain.from_iterable(t.split() for t in texts)).items():
+                counts["a", next_word(w, 0)] += n
+            rows: dict[tuple[str, str], list[int]] = {}
+            for (code, key), n in counts.items():
+                table, k = _TABLE[code]
+                rows.setdefault((table, key), [0, 0, 0])[k] += n
+            yield pd.DataFrame([(t, k, *n) for (t, k), n in rows.items()], columns=["table", "key", "n0", "n1", "n2"])
+
+    rows = documents.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, "table string, key string, n0 bigint, n1 bigint, n2 bigint")
+    return rows.groupBy("table", "key").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+
+
+BLOCKS = "array<struct<start: int, end: int, found: array<struct<at: int, nxt: int, kind: string, case: int, left: string, right: string>>>>"
+
+
+def tag_sequences(documents: DataFrame, doc_id: str, text: str, frequent: frozenset[tuple[str, str]]) -> DataFrame:
+    """(doc_id, text_id, blocks, missed): the possible boundaries of every document, and the counts they need that are not frequent."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, missed = [], []
             for t in b["text"]:
-                if t:
-                    for start, end, whole in blocks(t):
-                        if not whole:
-                            count_block(t, start, end, counts)
-            yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "key", "n"])
+                need: set[tuple[str, str]] = set()
+                units = []
+                for start, end, whole in blocks(t):
+                    found = [] if whole else candidates(t, start, end)
+                    need.update(k for x in found for k in keys_of(x[2], x[4], x[5]) if k not in frequent)
+                    first, last = start + len(t[start:end]) - len(t[start:end].lstrip()), start + len(t[start:end].rstrip())
+                    if first < last:
+                        units.append({"start": first, "end": last, "found": [dict(zip(("at", "nxt", "kind", "case", "left", "right"), x)) for x in found]})
+                out.append(units)
+                missed.append([{"table": a, "key": k} for a, k in sorted(need)])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": b["text_id"], "blocks": out, "missed": missed})
 
-    rows = documents.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, "kind string, key string, n bigint")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    kind = documents.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("text_id")).where("text is not null")
+    return chosen.mapInPandas(run, f"doc_id {kind}, text_id string, blocks {BLOCKS}, missed array<struct<table: string, key: string>>")
 
 
-def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: bool = True) -> DataFrame:
     """(doc_id, start_at, end_at): code-point offsets of every sentence, end exclusive, without surrounding white space.
 
     Null and blank texts have none.  A blank line ends a unit, a line break
     does not; headings and list items are one unit each; text in quotes or
     brackets stays in its sentence.  Whole texts of any length are read,
     repeated documents each give their rows, other columns are not read.  All
-    counts of the corpus are used, however rare.
+    counts of the corpus are used, however rare; only the weights are fitted to
+    a sample of SAMPLE documents (``fitted=False``: not at all).
     """
     counts = stash(corpus_counts(documents, text), "sentence_counts")
-    total = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    total = {r.table: [r.n0, r.n1, r.n2] for r in counts.groupBy("table").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]).collect()}
     floor = F.lit(2.0)
-    for kind, n in total.items():
-        floor = F.when(F.col("kind") == kind, F.lit(max(2.0, n * MIN_SHARE))).otherwise(floor)
-    model = Model({(r.kind, r.key): r.n for r in counts.where(F.col("n") >= floor).collect()}, total)
-
-    def missing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, *key) for i, t in zip(b["text_id"], b["text"]) for key in model.missing(t)], columns=["text_id", "kind", "key"])
+    for table, n in total.items():
+        floor = F.when(F.col("table") == table, F.lit(max(2.0, sum(n) * MIN_SHARE))).otherwise(floor)
+    counts = counts.withColumn("often", F.col("n0") + F.col("n1") + F.col("n2") >= floor)
+    frequent = {(r.table, r.key): (r.n0, r.n1, r.n2) for r in counts.where("often").collect()}
+    tagged = stash(tag_sequences(documents, doc_id, text, frozenset(frequent)), "tags")
+    missed = tagged.select(F.explode("missed").alias("x")).select("x.*").distinct()
+    rare = stash(counts.where("not often").join(missed, ["table", "key"]).select("table", "key", "n0", "n1", "n2"), "rare_counts")
+    weights = None
+    if fitted:
+        sample = documents.select(F.col(text).alias("text")).where(F.length(text).between(1, 20_000)).orderBy(F.xxhash64("text")).limit(SAMPLE)
+        model = Model(frequent, total)
+        weights = fit([x for r in sample.collect() for x in joined_paragraphs(r.text, model, {})])
+    model = Model(frequent, total, weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, s, e) for d, t, rare in zip(b["doc_id"], b["text"], b["rare"]) for s, e in model.sentences(t, {(x["kind"], x["key"]): x["n"] for x in rare} if rare is not None else None)]
+            rows = []
+            for d, units, rare in zip(b["doc_id"], b["blocks"], b["rare"]):
+                known = {(x["table"], x["key"]): (x["n0"], x["n1"], x["n2"]) for x in rare} if rare is not None else {}
+                for u in units:
+                    found = [tuple(x.values()) for x in u["found"]]
+                    at = u["start"]
+                    for k in model.decode(at, u["end"], found, known):
+                        rows.append((d, at, found[k][0]))
+                        at = found[k][1]
+                    rows.append((d, at, u["end"]))
             yield pd.DataFrame(rows, columns=["doc_id", "start_at", "end_at"])
 
-    kind = documents.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("text_id")).where("text is not null")
-    needed = chosen.select("text_id", "text").mapInPandas(missing, "text_id string, kind string, key string").distinct()
-    rare = needed.join(counts.where(F.col("n") < floor), ["kind", "key"]).groupBy("text_id").agg(F.collect_list(F.struct("kind", "key", "n")).alias("rare"))
-    return chosen.join(rare, "text_id", "left").select("doc_id", "text", "rare").mapInPandas(run, f"doc_id {kind}, start_at bigint, end_at bigint")
+    kind = tagged.schema["doc_id"].dataType.simpleString()
+    needs = tagged.select("text_id", F.explode("missed").alias("x")).select("text_id", "x.*").distinct()
+    by_text = needs.join(rare, ["table", "key"]).groupBy("text_id").agg(F.collect_list(F.struct("table", "key", "n0", "n1", "n2")).alias("rare"))
+    return tagged.select("doc_id", "text_id", "blocks").join(by_text, "text_id", "left").mapInPandas(run, f"doc_id {kind}, start_at bigint, end_at bigint")

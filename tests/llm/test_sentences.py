@@ -74,3 +74,37 @@ def test_rare_words_before_stops_count_in_full(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(module, "MIN_SHARE", 0.05)  # as if the corpus were far larger: hardly any word is frequent
     assert found() == whole and sum(1 for d, _, _ in whole if d < 60) == 180
+
+
+def test_the_chain_decides_beside_the_characters():
+    import numpy as np
+
+    from lorespan.llm.sentences import BITS, Model, _EMISSIONS, prior_weights, transition
+
+    weights = prior_weights()
+    weights[_EMISSIONS + transition("stop", 6) + BITS + 1] = -5.0  # no sentence of some letters behind another one
+    found = [(20, 21, "stop", 1, "a", "B"), (26, 27, "stop", 1, "b", "C"), (60, 61, "stop", 1, "c", "D")]
+    counts = {("stop", w): (10, 5, 0) for w in "abc"} | {("word", w): (5, 10, 0) for w in "BCD"}
+    total = {"stop": [30, 15, 1], "word": [15, 30, 0]}
+    with_chain, without = Model(counts, total, weights), Model(counts, total, prior_weights())
+    assert without.decode(0, 90, found, {}) == [0, 1, 2] and with_chain.decode(0, 90, found, {}) == [0, 2]
+    assert all(np.dot(without.emission(*x[2:], {}), list(weights[:7])) > 0 for x in found)
+
+
+def test_weights_are_learned_from_joints():
+    from lorespan.llm.sentences import BITS, _EMISSIONS, _PLACE, fit, prior_weights, transition
+
+    boundary, abbreviation = [1.0, 2.0, 0.0, 1.0, 1.0, 0.0, 1.0], [1.0, -4.0, 0.0, 1.0, 1.0, 0.0, 0.0]
+    sequence = [(boundary, "stop", 40, 1), (abbreviation, "stop", 3, 0), (boundary, "stop", 50, 1), ([], "stop", 30, 1)]
+    w, prior = fit([sequence] * 60), prior_weights()
+    assert w[_PLACE["stop"] + 1] > prior[_PLACE["stop"] + 1] and (fit([]) == prior).all()
+    short, long = (_EMISSIONS + transition("stop", n) + BITS + 1 for n in (3, 40))
+    assert w[long] > w[short]
+
+
+def test_fitted_weights_change_sentences(spark):
+    rows = [(k, f"The desk number {k} is open.\n\nMr. Baker{k} called the desk.\n\nNobody met Mr. Baker{k} today. The plan is done.", "", "") for k in range(80)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {(r.doc_id, r.start_at, r.end_at) for r in split_sentences(docs).collect()}
+    assert len(found) == 80 * 4
+    assert split_sentences(docs, fitted=False).count() >= 80 * 4
