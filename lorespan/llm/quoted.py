@@ -11,18 +11,26 @@ below sign-offs are removed where a message has no sign-off.
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import math
 import re
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lorespan.functions.text import is_blank
 from lorespan.llm.names import GIVEN_NAMES, fold
-from lorespan.session import stash
+from lorespan.session import bounded_broadcast, stash
 
 # Verbs of the lines that introduce quoted text, header words, and titles of forwarded parts.
 _WROTE = r"(?:wrote|writes|said|schrieb|schreibt|a\s+écrit|écrit|escribió|escribe|ha\s+scritto|scrisse|escreveu|skrev|schreef|napisał(?:a)?|kirjoitti|пишет|написала?|さんは書きました|は書きました|さんのメール|写道|寫道|님이\s*작성|작성|έγραψε|كتب|เขียนว่า|ने\s*लिखा)"
@@ -59,6 +67,7 @@ _SHORT = {n: full for full, short in GIVEN_NAMES.items() for n in [full, *short.
 _ANYONE = frozenset(_SHORT) | {"*"}
 
 
+@lru_cache(maxsize=65536)
 def sender_words(sender: str | None) -> set[str] | frozenset[str]:
     """Folded words by which a sender may sign: names and short forms; of an unknown sender all given names."""
     words = {w for w in re.findall(r"[a-z]+", fold(re.sub(r"@\S*", " ", sender or "")).lower()) if len(w) > 1}
@@ -184,7 +193,13 @@ def _is_table(paragraph: list[str]) -> bool:
 
 def strip_closing(lines: list[str], words: set[str]) -> list[str]:
     """Lines without sign-off, contact block, device line and footer; postscripts stay."""
+    return [*chain.from_iterable(_without_closing(lines, words)[0])]
+
+
+def _without_closing(lines: list[str], words: set[str]) -> tuple[list[list[str]], list[list[str]]]:
+    """The paragraphs that stay, and what was cut of each other one."""
     kept: list[list[str]] = []
+    gone: list[list[str]] = []
     closed = False
     paragraphs = _paragraphs(lines)
     for at, p in enumerate(paragraphs):
@@ -227,9 +242,14 @@ def strip_closing(lines: list[str], words: set[str]) -> list[str]:
                 cut = 0
         if cut == len(p) and not closed:
             kept.append(p)
-        elif cut and (not closed or p[:cut]):
+            continue
+        if cut and (not closed or p[:cut]):
             kept.append(p[:cut])
-    return [x for p in kept for x in p]
+        else:
+            cut = 0
+        if cut < len(p):
+            gone.append(p[cut:])
+    return kept, gone
 
 
 def new_text(body: str | None, sender: str | None) -> str:
@@ -241,47 +261,102 @@ def new_text(body: str | None, sender: str | None) -> str:
 
 
 #: Words of a shingle, shingles of a winnowing window, least shared share of an ancestor, least words of an unmarked quotation.
-SHINGLE, WINDOW, MIN_SHARE, MIN_WORDS = 5, 8, 0.8, 25
+SHINGLE, WINDOW, MIN_SHARE, MIN_WORDS = 5, 15, 0.8, 25
 #: A closing recurs with this many senders and stands below sign-offs in this share of its places.
 MIN_SENDERS, MIN_CLOSED = 5, 0.9
-
-
-#: Fingerprints of a core of which the rarest is posted; their number decides the speed, not the result.
-POSTED = 5
+#: Least characters of a paragraph that is compared as a closing.
+MIN_CLOSING = 40
+#: Most first texts of a core that are looked up by a broadcast; more of them are joined without a hint.
+MAX_FIRSTS = 50_000
+#: Bits of a hash that a fingerprint leaves away: 40 are kept, as the words beside it and then all words are compared, too.
+KEPT_BITS = np.uint64(24)
+#: Words of a window.
+SPAN = SHINGLE + WINDOW - 1
+#: Words on one side of a shingle that are compared before a text is: a window holds them on one side at least.
+BESIDE = (WINDOW - 1) // 2
 #: What an ancestor's text is: its whole body, its new text, or both.
 BODY, NEW = 1, 2
 
 
-def winnow(texts: list[str]) -> list[np.ndarray]:
-    """Fingerprints of each text: the least shingle hash of every window, computed for all texts at once."""
-    return [np.unique(values) for values, _ in _windows(texts)]
-
-
-def _windows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The least shingle hash of every window of each text, and the word at which the window begins."""
-    words = [t.lower().split() for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    if not n.sum():
-        return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in texts]
-    flat = np.array([x for w in words for x in w], dtype=object)
-    codes = pd.util.hash_array(flat)
-    owner = np.repeat(np.arange(len(texts)), n)
+class _Codes(dict):
+    """A hash of each word, regardless of case; each distinct word is hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_Codes().__getitem__, words), np.uint64, len(words))
+
+
+def _runs(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of ``size`` words that begins at each word; the last ones run over the end."""
     mixed = np.zeros(len(codes), np.uint64)
-    for k in range(min(SHINGLE, len(codes))):
+    for k in range(min(size, len(codes))):
         mixed[: len(codes) - k] += (codes[k:] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0x2545F4914F6CDD1D + 2 * k)
-    ends = np.repeat(np.cumsum(n), n)
-    at = np.arange(len(codes))
-    valid = (at + SHINGLE <= ends) | (at == ends - np.repeat(n, n))
-    hashes = np.where(valid, mixed ^ (mixed >> np.uint64(29)), np.uint64(2**64 - 1))
-    least = hashes.copy()
-    for k in range(1, min(WINDOW, len(hashes))):
-        shifted = np.full(len(hashes), np.uint64(2**64 - 1))
-        shifted[:-k] = hashes[k:]
-        least = np.minimum(least, np.where(at + k < ends, shifted, np.uint64(2**64 - 1)))
-    keep = valid & ((at + SHINGLE + WINDOW - 1 <= ends) | (at == ends - np.repeat(n, n)))
-    values, owners, starts = least[keep].view(np.int64), owner[keep], (at - ends + np.repeat(n, n))[keep]
-    bounds = np.searchsorted(owners, np.arange(len(texts) + 1))
-    return [(values[a:b], starts[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+@dataclass
+class Prints:
+    """Fingerprints of texts that stand one behind another: of each word the least shingle hash of the window that begins there."""
+
+    begins: np.ndarray
+    ends: np.ndarray
+    least: np.ndarray
+    place: np.ndarray
+    selected: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> Prints:
+        codes = _codes([*chain.from_iterable(texts)])
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(n)
+        begins = ends - n
+        hashes, at = _runs(codes, SHINGLE) >> KEPT_BITS, np.arange(len(codes))
+        least, place = hashes.copy(), at.copy()
+        for k in range(1, min(WINDOW, len(codes))):
+            better = hashes[k:] < least[:-k]
+            least[:-k] = np.where(better, hashes[k:], least[:-k])
+            place[:-k] = np.where(better, at[k:], place[:-k])
+        whole = at + SPAN <= np.repeat(ends, n)
+        new = np.ones(len(codes), bool)
+        new[1:] = (place[1:] != place[:-1]) | ~whole[:-1]
+        beside = (_runs(codes, BESIDE) >> np.uint64(49)).astype(np.int16)
+        left, right = np.zeros(len(codes), np.int16), np.zeros(len(codes), np.int16)
+        left[BESIDE:] = beside[:-BESIDE] if len(codes) > BESIDE else 0
+        right[: -SHINGLE or None] = beside[SHINGLE:]
+        left[at - np.repeat(begins, n) < BESIDE] = 0
+        right[at + SHINGLE + BESIDE > np.repeat(ends, n)] = 0
+        return cls(begins, ends, least.view(np.int64), place, whole & new, left, right)
+
+    def rarest(self, texts: list[int], parts: list[int]) -> np.ndarray:
+        """Of each named text the window of its core whose fingerprint is selected least often among all texts."""
+        values, n = np.unique(self.least[self.selected], return_counts=True)
+        if not len(texts) or not len(values):
+            return np.zeros(0, np.int64)
+        often = n[np.minimum(np.searchsorted(values, self.least), len(values) - 1)] << 40 | np.arange(len(self.least))
+        cuts = []
+        for k, part in zip(texts, parts):
+            lo, hi = _extent(int(self.ends[k] - self.begins[k]), part)
+            cuts += [self.begins[k] + lo, self.begins[k] + hi - SPAN + 1]
+        return np.minimum.reduceat(np.append(often, np.iinfo(np.int64).max), cuts)[::2] & (1 << 40) - 1
+
+
+def winnow(texts: list[str]) -> list[np.ndarray]:
+    """Fingerprints of each text; a text shorter than a window has the least of its shingles."""
+    words = [t.split() for t in texts]
+    prints = Prints.of(words)
+    out = []
+    for w, a, z in zip(words, prints.begins, prints.ends):
+        found = np.unique(prints.least[a:z][prints.selected[a:z]])
+        if w and not len(found):
+            found = (_runs(_codes(w), SHINGLE) >> KEPT_BITS)[: max(1, len(w) - SHINGLE + 1)].min(keepdims=True).view(np.int64)
+        out.append(found)
+    return out
 
 
 def _core(n: int) -> tuple[int, int]:
@@ -290,12 +365,13 @@ def _core(n: int) -> tuple[int, int]:
     return n - run, run
 
 
-def _core_prints(windows: tuple[np.ndarray, np.ndarray], n: int, part: int) -> np.ndarray:
-    """A few of the fingerprints that a message must hold if it quotes the text, from all of its core."""
-    values, starts = windows
-    lo, hi = _core(n) if part & NEW else (0, n)
-    core = values[(starts >= lo) & (starts + SHINGLE + WINDOW - 1 <= hi)]
-    return np.unique(core[np.linspace(0, len(core) - 1, POSTED).astype(int)])
+def _digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
+
+
+def _extent(n: int, part: int) -> tuple[int, int]:
+    """Begin and end of what a message that quotes the text must hold: all of a body, the core of a new text."""
+    return _core(n) if part & NEW else (0, n)
 
 
 def _paragraph_key(paragraph: list[str]) -> str:
@@ -306,6 +382,18 @@ def _paragraph_key(paragraph: list[str]) -> str:
 _ADDRESS = re.compile(r"^.*<([^<>]*)>\s*$", re.S)
 
 
+def _message_key(src: Column, ord_: Column, pos: Column) -> Column:
+    """One number for (src, ord, pos): even for mail, odd for comments, whose threads are numbered by INT; in their order."""
+    return F.when(src == "mail", ord_ * 2).otherwise((ord_ * F.lit(1 << 31) + pos) * 2 + 1)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """With src, ord and pos instead of their number."""
+    half, mail = F.shiftright("mid", 1), F.col("mid") % 2 == 0
+    ord_, pos = F.when(mail, half).otherwise(F.shiftright(half, 31)), F.when(mail, F.lit(0).cast("bigint")).otherwise(half.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint")))
+    return df.select(F.when(mail, "mail").otherwise("thread").alias("src"), ord_.alias("ord"), pos.alias("pos"), *[c for c in df.columns if c != "mid"])
+
+
 def messages_of(mail: DataFrame, threads: DataFrame) -> DataFrame:
     """(src, ord, pos, sender, body) of all mail and thread comments that are not blank."""
     m = mail.select(F.lit("mail").alias("src"), F.col("ord").cast("bigint").alias("ord"), F.lit(0).cast("bigint").alias("pos"), "sender", "body")
@@ -319,121 +407,185 @@ _MARKS = re.compile(r"(?:[ \t]{0,3}[>»|])+")
 
 def _plain(line: str) -> str:
     """The line without its marks of quoting."""
-    return _MARKS.sub("", line, count=1) if _QUOTE.match(line) else line
+    return _MARKS.sub("", line, count=1) if line[:1] in _MARKED and _QUOTE.match(line) else line
+
 
+_MARKED = frozenset(" \t>»|")
 
-def _kept_words(lines: list[str], words: set[str], first: int) -> tuple[list[str], list[str], list[int], list[str], int | None]:
-    """Lines that are not quoted, kept lines, [begin, end, ...] of their words if ``first`` is the first word, all lines without marks, and the line at which an unmarked tail begins."""
+
+def _kept_words(lines: list[str], words: set[str], first: int) -> tuple[list[list[str]], list[list[str]], list[int], list[str], int | None, int]:
+    """Paragraphs of kept lines, paragraphs that were cut as closings, [begin, end, ...] of the kept words if ``first`` is the first word, all words without marks, and the line and the word at which an unmarked tail begins."""
     gone, tail = _quoted(lines)
     rest = ["" if g else x for g, x in zip(gone, lines)]
-    text = strip_closing(rest, words)
+    kept_, closings = _without_closing(rest, words)
+    text = [*chain.from_iterable(kept_)]
     ranges: list[int] = []
-    k, at = 0, first
-    plain = [_plain(x) for x in lines]
-    for x, y in zip(rest, plain):
-        n = len(y.split())
-        if k < len(text) and x is text[k]:
+    all_: list[str] = []
+    k, at, tail_at, kept = 0, first, first, len(text)
+    for j, (x, line) in enumerate(zip(rest, lines)):
+        if j == tail:
+            tail_at = at
+        all_ += (x if x[:1] not in _MARKED else _plain(line)).split() if x else _plain(line).split()
+        end = first + len(all_)
+        if k < kept and x is text[k]:
             k += 1
             if ranges and ranges[-1] == at:
-                ranges[-1] = at + n
+                ranges[-1] = end
             else:
-                ranges += [at, at + n]
-        at += n
-    return rest, text, ranges, plain, tail
+                ranges += [at, end]
+        at = end
+    return kept_, closings, ranges, all_, tail, tail_at
+
+
+def _key(paragraph: list[str]) -> int | None:
+    """Hash of a closing's text as compared between messages; null for short ones."""
+    text = _paragraph_key(paragraph)
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True) if len(text) >= MIN_CLOSING else None
 
 
 def segment(messages: DataFrame) -> DataFrame:
     """What marks and sign-offs leave and cut of each message, and its fingerprints.
 
-    ``flat``: the whole body without marks; ``ranges``: begin and end of the kept words in it; ``tail`` and ``tail_at``:
-    lines of a forwarded text without marks and its first word; ``fingerprints``: of the whole body; ``posts``: new text
-    and whole body as possible ancestors, with the fingerprints that no quotation of them can lack.
+    ``flat``: the whole body without marks; ``sender``: only where it is needed again, with a tail; ``ranges``: begin and end of the kept words in it; ``last_key``, ``last``: key
+    and words of the last of several paragraphs; ``closings``: keys of the paragraphs that were cut; ``tail`` and
+    ``tail_at``: lines of a forwarded text without marks and its first word; ``prints``: fingerprints of the whole body and
+    their places; ``posts``: new text and whole body as possible ancestors.
     """
+    columns = ["sender", "sender_id", "last_key", "last", "closings", "flat", "ranges", "tail", "tail_at"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32()]
 
     def run(batches):
+        gc.disable()  # nothing here makes cycles; collections would only walk the lists of a batch
         for b in batches:
-            out = {c: [] for c in ("sender_id", "paragraphs", "closings", "flat", "ranges", "tail", "tail_at")}
-            for sender, body in zip(b["sender"], b["body"]):
+            out: dict[str, list] = {c: [] for c in columns}
+            flats, news = [], []
+            for sender, body in zip(b["sender"].to_pylist(), b["body"].to_pylist()):
                 lines = body.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                rest, text, ranges, plain, tail = _kept_words(lines, sender_words(sender), 0)
-                inside = {id(x) for x in text}
-                cut = [q for q in ([x for x in p if id(x) not in inside] for p in _paragraphs(rest)) if q]
-                out["paragraphs"].append(_paragraphs_like(rest, text))
-                out["closings"].append([k for q in cut if len(k := _paragraph_key(q)) >= 40])
+                kept, closings, ranges, words, tail, tail_at = _kept_words(lines, sender_words(sender), 0)
+                last = kept[-1] if len(kept) > 1 else None
+                out["last_key"].append(_key(last) if last else None)
+                out["last"].append(sum(len(x.split()) for x in last) if last else 0)
+                out["closings"].append([k for q in closings if (k := _key(q)) is not None])
                 out["sender_id"].append(_ADDRESS.sub(r"\1", sender or "").strip().lower())
-                out["flat"].append(" ".join(" ".join(plain).split()))
+                flats.append(words)
+                news.append(words if ranges == [0, len(words)] else [w for x, y in zip(ranges[::2], ranges[1::2]) for w in words[x:y]])
+                out["flat"].append(" ".join(words))
                 out["ranges"].append(ranges)
                 out["tail"].append(None if tail is None else "\n".join(lines[tail:]))
-                out["tail_at"].append(0 if tail is None else sum(len(x.split()) for x in plain[:tail]))
-            own = [" ".join(p) for p in out["paragraphs"]]
-            whole = _windows(out["flat"])
-            new = _windows([t if t != f else "" for t, f in zip(own, out["flat"])])
-            posts = []
-            for texts in zip(zip(out["flat"], whole), zip(own, new)):
-                (flat, w), (text, v) = texts
-                sizes = [(BODY, w, len(flat.split())), (NEW, v, len(text.split()))] if flat != text else [(BODY | NEW, w, len(flat.split()))]
-                posts.append([{"part": part, "n": n, "core": _core_prints(w, n, part)} for part, w, n in sizes if n >= MIN_WORDS])
-            yield pd.DataFrame({"src": b["src"], "ord": b["ord"], "pos": b["pos"], "sender": b["sender"], **out, "n_words": [len(t.split()) for t in out["flat"]], "fingerprints": [np.unique(v) for v, _ in whole], "posts": posts})
-
-    kind = "src string, ord bigint, pos bigint, sender string, sender_id string, paragraphs array<string>, closings array<string>, flat string, ranges array<int>, tail string, tail_at int, n_words int, fingerprints array<bigint>, posts array<struct<part: int, n: int, core: array<bigint>>>"
-    return messages.mapInPandas(run, kind)
-
-
-def _paragraphs_like(rest: list[str], text: list[str]) -> list[str]:
-    """The kept lines as paragraphs with single blanks, cut where the message has blank or removed lines."""
-    out: list[list[str]] = []
-    k, broken = 0, True
-    for x in rest:
-        if k < len(text) and x is text[k]:
-            if broken:
-                out.append([])
-            out[-1].append(x)
-            k, broken = k + 1, False
-        else:
-            broken = True
-    return [" ".join(" ".join(p).split()) for p in out]
+                out["tail_at"].append(tail_at)
+                out["sender"].append(None if tail is None else sender)
+            size = len(flats)
+            texts = [*flats, *(w if len(w) < len(f) else [] for w, f in zip(news, flats))]
+            prints = Prints.of(texts)
+            chosen = [(k, BODY | NEW if len(news[k]) == len(w) else BODY) if k < size else (k, NEW) for k, w in enumerate(texts) if len(w) >= MIN_WORDS]
+            windows = prints.rarest([k for k, _ in chosen], [part for _, part in chosen])
+            posted_ = sorted((k % size, k, part, w) for (k, part), w in zip(chosen, windows.tolist()))
+            posts = [_post(texts[k], part, w, prints, prints.begins[k]) for _, k, part, w in posted_]
+            shown = np.flatnonzero(prints.selected[: prints.ends[size - 1]]) if size else np.zeros(0, np.int64)
+            owner = np.searchsorted(prints.ends[:size], shown, "right")
+            long = (prints.ends - prints.begins)[owner] >= MIN_WORDS
+            shown, owner = shown[long], owner[long]
+            q = prints.place[shown]
+            sides = (prints.left[q].astype(np.int64) & 0xFFFF) << 16 | prints.right[q].astype(np.int64) & 0xFFFF
+            arrays = [prints.least[shown], (q - prints.begins[owner]) << 32 | sides]
+            offsets = lambda owners: pa.array(np.searchsorted(owners, np.arange(size + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                b["mid"], *[pa.array(out[c], t) for c, t in zip(columns, kinds)], pa.array([len(w) for w in flats], pa.int32()),
+                pa.ListArray.from_arrays(offsets(owner), pa.StructArray.from_arrays([pa.array(x) for x in arrays], ["fp", "place"])),
+                pa.ListArray.from_arrays(offsets(np.array([x[0] for x in posted_], np.int64)), pa.array(posts, _POSTS)),
+            ], ["mid", *columns, "n_words", "prints", "posts"])
+        gc.enable()
+
+    kind = "mid bigint, sender string, sender_id string, last_key bigint, last int, closings array<bigint>, flat string, ranges array<int>, tail string, tail_at int, n_words int, prints array<struct<fp: bigint, place: bigint>>, posts array<struct<part: int, n: int, core: binary, text: binary, fp: bigint, p: int, behind: boolean, beside: int>>"
+    return messages.select(_message_key(F.col("src"), F.col("ord"), F.col("pos")).alias("mid"), "sender", "body").mapInArrow(run, kind)
+
+
+CORE, POST = ["part", "n", "core"], ["fp", "p", "behind", "beside"]
+_POSTS = pa.struct([("part", pa.int32()), ("n", pa.int32()), ("core", pa.binary()), ("text", pa.binary()), ("fp", pa.int64()), ("p", pa.int32()), ("behind", pa.bool_()), ("beside", pa.int32())])
+
+
+def _post(words: list[str], part: int, window: int, prints: Prints, begin: int) -> dict:
+    """A text as a possible ancestor, posted under the fingerprint of one window of its core."""
+    n = len(words)
+    lo, hi = _extent(n, part)
+    core, place = _digest(words[lo:hi]), prints.place[window]
+    p = int(place - begin)
+    behind = p + SHINGLE + BESIDE <= hi
+    beside = prints.right[place] if behind else prints.left[place]
+    return {"part": part, "n": n, "core": core, "text": core if hi - lo == n else _digest(words), "fp": int(prints.least[window]), "p": p, "behind": behind, "beside": int(beside) & 0xFFFF}
 
 
 def recurring_closings(parts: DataFrame) -> DataFrame:
     """(key): paragraphs that many senders put below their sign-offs and hardly anyone elsewhere."""
     below = parts.select(F.explode("closings").alias("key"), "sender_id", F.lit(1).alias("closed"))
-    last = parts.where("size(paragraphs) > 1").select(_key_of(F.element_at("paragraphs", -1)).alias("key"), "sender_id", F.lit(0).alias("closed"))
-    seen = below.union(last.where("length(key) >= 40")).groupBy("key", "sender_id").agg(F.sum("closed").alias("closed"), F.count(F.lit(1)).alias("n"))
+    last = parts.where("last_key is not null").select(F.col("last_key").alias("key"), "sender_id", F.lit(0).alias("closed"))
+    seen = below.union(last).groupBy("key", "sender_id").agg(F.sum("closed").alias("closed"), F.count(F.lit(1)).alias("n"))
     return seen.groupBy("key").agg(F.count(F.lit(1)).alias("senders"), F.sum("closed").alias("closed"), F.sum("n").alias("n")).where((F.col("senders") >= MIN_SENDERS) & (F.col("closed") >= MIN_CLOSED * F.col("n"))).select("key")
 
 
-def _key_of(c: Column) -> Column:
-    masked = F.regexp_replace(c, r"(?U)\d+|\b(?<![.!?] )[A-ZÀ-Þ][\w'’]+", "*")
-    return F.regexp_replace(masked, r"(?U)\s+", " ")
+def posted(parts: DataFrame) -> DataFrame:
+    """(mid, part, n, core, text, fp, ...): every whole body and new text of enough words."""
+    return parts.select("mid", F.explode("posts").alias("x")).select("mid", "x.*")
+
+
+def ancestor_index(posts: DataFrame) -> DataFrame:
+    """The inverted index: one fingerprint of each distinct core.
+
+    Texts with one core differ in at most a fifth of their words at either end.  They stand together as one entry, so that
+    a template that a third of the messages fill in costs each of them one entry and never all pairs: ``first`` and
+    ``text`` are the first of them, ``several`` says that others differ from it.
+    """
+    first = F.min(F.struct("mid", "text", *POST)).alias("f")
+    cores = posts.groupBy(*CORE).agg(first, (F.min("text") != F.max("text")).alias("several"))
+    return cores.select(*[f"f.{k}" for k in (*POST, "text")], *CORE, F.col("f.mid").alias("first"), "several")
 
 
-def ancestors(parts: DataFrame) -> DataFrame:
-    """(src, ord, pos, spans): of each message the runs of words that it shares with other messages' bodies or new texts.
+def possible_ancestors(parts: DataFrame, index: DataFrame, named: bool = False) -> DataFrame:
+    """(mid, found): the entries of the index whose fingerprint each message holds, without its own texts' if it stands alone.
 
-    A run that is long enough to be a quotation holds the core of the ancestor, so any one fingerprint of the core
-    finds every message that quotes it.  All messages are posted, whatever their order, equal texts of one table once,
-    under the rarest of a few fingerprints of their cores; a text whose rarest one nobody else holds is left out.  So a
-    paragraph that many messages share is posted only by texts that consist of it. ``spans`` holds
-    begin, end, and what they are, three by three: BODY if a whole body ends there, NEW if it is a quotation of a new text
-    or of a body.  Bodies count with all their words only: those of two answers to one message have most words in common.
+    ``first`` of an entry is given where only a part of it may stand in the message, or everywhere if ``named``.
     """
-    body = F.when(F.col("p.part") == NEW, F.array_join("paragraphs", " ")).otherwise(F.col("flat"))
-    prints = parts.select("src", "ord", "pos", "n_words", F.explode("fingerprints").alias("fp"))
-    held = parts.select(F.explode("fingerprints").alias("fp")).groupBy("fp").count().where("count > 1")
-    posts = parts.select("src", "ord", "pos", F.explode("posts").alias("p"), "flat", "paragraphs").select("src", "ord", "pos", "p.part", "p.n", F.md5(body).alias("text_id"), F.col("p.core").alias("core"))
-    first = posts.groupBy("src", "part", "text_id").agg(F.min(F.struct("ord", "pos", "n", "core")).alias("f"))
-    cores = first.select(F.col("src").alias("a_src"), F.col("f.ord").alias("a_ord"), F.col("f.pos").alias("a_pos"), "part", F.col("f.n").alias("a_n"), F.explode("f.core").alias("fp"))
-    counted = cores.join(held, "fp", "left").groupBy("a_src", "a_ord", "a_pos", "part", "a_n").agg(F.min(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "fp")).alias("rarest"))
-    index = counted.where("rarest.count > 1").select("a_src", "a_ord", "a_pos", "part", "a_n", F.col("rarest.fp").alias("fp"))
-    same = (F.col("src") == F.col("a_src")) & (F.col("ord") == F.col("a_ord")) & (F.col("pos") == F.col("a_pos"))
-    later = (F.col("src") != F.col("a_src")) | (F.col("a_ord") > F.col("ord")) | ((F.col("a_ord") == F.col("ord")) & (F.col("a_pos") > F.col("pos")))
-    pairs = prints.join(index, "fp").where(~same & (F.col("a_n") * MIN_SHARE < F.col("n_words"))).select("src", "ord", "pos", "a_src", "a_ord", "a_pos", "part", later.alias("later"))
-    earlier = parts.where("size(posts) > 0").select(F.col("src").alias("a_src"), F.col("ord").alias("a_ord"), F.col("pos").alias("a_pos"), F.col("flat").alias("a_flat"), F.array_join("paragraphs", " ").alias("a_new"))
-    texts = pairs.join(earlier, ["a_src", "a_ord", "a_pos"]).select("src", "ord", "pos", "later", "part", F.when(F.col("part") == NEW, F.col("a_new")).otherwise(F.col("a_flat")).alias("earlier"))
-    new = F.array_join("paragraphs", " ").alias("new")
-    other = texts.join(parts.select("src", "ord", "pos", "flat", new), ["src", "ord", "pos"]).where("earlier != new")  # the same new text is a copy, not a quotation
-    found = other.select("src", "ord", "pos", _spans("flat", "earlier", "later", "part").alias("spans"))
-    return found.where("size(spans) > 0").groupBy("src", "ord", "pos").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    prints = parts.select("mid", "n_words", F.explode("prints").alias("x")).select("mid", "n_words", "x.*")
+    itself = F.col("mid") == F.col("first")
+    low = F.lit(0xFFFF).cast("bigint")
+    beside = F.when(F.col("behind"), F.col("place").bitwiseAND(low)).otherwise(F.shiftright("place", 16).bitwiseAND(low)) == F.col("beside")
+    copy = (F.col("part") != NEW) & (F.col("n") == F.col("n_words"))  # the whole message, so not a quotation in it
+    pairs = prints.join(index, "fp").where(beside & (F.col("n") * MIN_SHARE <= F.col("n_words")) & ~copy & ~(itself & ~F.col("several")))
+    partly = F.col("part").bitwiseAND(F.lit(NEW)) > 0
+    one = F.struct((F.shiftright("place", 32).cast("int") - F.col("p")).alias("at"), *CORE, "text", F.when(partly | F.lit(named), F.col("first")).alias("first"), (partly & F.col("several")).alias("several"))
+    return pairs.groupBy("mid").agg(F.collect_list(one).alias("found"))
+
+
+def verified(words: list[str], new: list[str], found: list[dict]) -> tuple[list[int], list[dict]]:
+    """Spans of whole ancestors (begin, end, what; three by three), and the places where only the core of an entry stands.
+
+    The core and the whole text are compared by digests of all their words.  Entries of the message's own new text are
+    copies, not quotations.  What a whole ancestor is: BODY if its body ends there, NEW as it is a quotation.
+    """
+    spans: list[int] = []
+    open_: list[dict] = []
+    for x in found:
+        part, n, core, k = x["part"], x["n"], x["core"], x["at"]
+        lo, hi = _extent(n, part)
+        if part & NEW and n == len(new) and _digest(new[lo:hi]) == core:
+            continue
+        whole = _digest(words[k : k + n]) if k >= 0 and k + n <= len(words) else None
+        if whole == x["text"]:
+            spans += [k, k + n, part & BODY | NEW]
+        elif part & NEW and k + lo >= 0 and k + hi <= len(words) and _digest(words[k + lo : k + hi]) == core:
+            open_.append({"at": k, "part": part, "n": n, "core": core, "whole": whole, "first": x["first"], "several": x["several"]})
+    return spans, open_
+
+
+def partial_span(words: list[str], at: int, earlier: list[str]) -> list[int]:
+    """The run of words around a core that agrees with the ancestor; empty if it is too short for a quotation."""
+    n = len(earlier)
+    lo, hi = i, j = _core(n)
+    while i and at + i and words[at + i - 1] == earlier[i - 1]:
+        i -= 1
+    while j < n and at + j < len(words) and words[at + j] == earlier[j]:
+        j += 1
+    return [at + i, at + j, NEW] if j - i >= hi else []
 
 
 def spans_of(text: str, earlier: str, whole: bool = False, part: int = BODY | NEW) -> list[int]:
@@ -461,11 +613,6 @@ def spans_of(text: str, earlier: str, whole: bool = False, part: int = BODY | NE
     return out
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _spans(text: pd.Series, earlier: pd.Series, whole: pd.Series, part: pd.Series) -> pd.Series:
-    return pd.Series([spans_of(*x) for x in zip(text, earlier, whole, part)], dtype=object)
-
-
 def without_span(text: str, earlier: str) -> str | None:
     """``text`` without the runs of words it shares with ``earlier``; None if they are too short or nothing else is left."""
     a = text.split()
@@ -490,34 +637,103 @@ def without_spans(flat: str, ranges: list[int], tail: str | None, tail_at: int,
         lines = lines[k:]
         if lines and at < end:
             lines[0] = " ".join(_plain(lines[0]).split()[end - at :])
-        _, _, more, plain, tail_line = _kept_words(lines, words, end)
+        _, _, more, _, tail_line, tail_at = _kept_words(lines, words, end)
         ranges += more
-        tail_at = end + sum(len(x.split()) for x in plain[:tail_line])
         tail = None if tail_line is None else "\n".join(lines[tail_line:])
-    a = flat.split()
-    kept = np.zeros(len(a), bool)
-    for b, e in zip(ranges[::2], ranges[1::2]):
-        kept[b:e] = True
-    cut = np.zeros(len(a), bool)
-    for b, e in quoted:
-        for x, y in zip(ranges[::2], ranges[1::2]):
-            if min(e, y) - max(b, x) >= min(SHINGLE, e - b):  # fewer words may agree by chance beside a marked quotation
-                cut[max(b, x) : min(e, y)] = True
-    kept &= ~cut
-    return " ".join(a[k] for k in np.flatnonzero(kept))
-
-
-@F.pandas_udf(StringType())
-def _without_spans(flat: pd.Series, ranges: pd.Series, last: pd.Series, tail: pd.Series, tail_at: pd.Series, sender: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for f, r, n, t, at, s, found in zip(flat, ranges, last, tail, tail_at, sender, spans):
-        r = [int(x) for x in r]
-        while n and r:  # without the last n words
-            size = min(n, r[-1] - r[-2])
-            n, r[-1] = n - size, r[-1] - size
-            r = r[:-2] if r[-1] == r[-2] else r
-        out.append(without_spans(f, r, t, at, sender_words(s), [int(x) for x in found]))
-    return pd.Series(out, dtype=object)
+    words, out = flat.split(" "), []
+    for x, y in zip(ranges[::2], ranges[1::2]):
+        gone = sorted((max(b, x), min(e, y)) for b, e in quoted if min(e, y) - max(b, x) >= min(SHINGLE, e - b))  # fewer words may agree by chance beside a marked quotation
+        for b, e in gone:
+            out += words[x:b]
+            x = max(x, e)
+        out += words[x:y]
+    return " ".join(out)
+
+
+def _shortened(ranges: list[int], n: int) -> list[int]:
+    """The ranges without their last ``n`` words."""
+    ranges = list(ranges)
+    while n and ranges:
+        size = min(n, ranges[-1] - ranges[-2])
+        n, ranges[-1] = n - size, ranges[-1] - size
+        ranges = ranges[:-2] if ranges[-1] == ranges[-2] else ranges
+    return ranges
+
+
+_TEXT = ["flat", "ranges", "last", "tail", "tail_at", "sender"]
+_OPEN = "array<struct<at: int, part: int, n: int, core: binary, whole: binary, first: bigint, several: boolean>>"
+
+
+def _picked(words: list[str], ranges: list[int]) -> list[str]:
+    return words if ranges == [0, len(words)] else [w for x, y in zip(ranges[::2], ranges[1::2]) for w in words[x:y]]
+
+
+def _rest(row: dict, words: list[str], spans: list[int]) -> str:
+    ranges = _shortened(row["ranges"], row["last"])
+    if spans:
+        return without_spans(row["flat"], ranges, row["tail"], row["tail_at"], sender_words(row["sender"]), spans)
+    return " ".join(_picked(words, ranges))
+
+
+def cut_whole_ancestors(rows: DataFrame) -> DataFrame:
+    """(mid, new_text, spans, open, left): texts without whole ancestors; where something has to be compared further, ``open`` and the message instead."""
+
+    def run(batches):
+        gc.disable()  # as above
+        for b in batches:
+            new_text, spans, opened, left = [], [], [], []
+            found_of = b["found"].to_pylist() if b["found"].null_count < len(b) else [None] * len(b)
+            for *message, found in zip(*[b[c].to_pylist() for c in _TEXT], found_of):
+                row = dict(zip(_TEXT, message))
+                words, cut, open_ = row["flat"].split(" ") if row["flat"] else [], [], []
+                if found:
+                    cut, open_ = verified(words, _picked(words, row["ranges"]), found)
+                new_text.append(None if open_ else _rest(row, words, cut))
+                spans.append(cut if open_ else None)
+                opened.append(open_ or None)
+                left.append(row if open_ else None)
+            yield pa.RecordBatch.from_arrays([b["mid"], *[pa.array(x, schema.field(c).type) for c, x in (("new_text", new_text), ("spans", spans), ("open", opened), ("left", left))]], schema=schema)
+        gc.enable()
+
+    left = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in _TEXT)
+    kind = StructType.fromDDL(f"mid bigint, new_text string, spans array<int>, open {_OPEN}, left struct<{left}>")
+    schema = to_arrow_schema(kind)
+    return rows.select("mid", *_TEXT, "found").mapInArrow(run, kind)
+
+
+def cut_partial_ancestors(parts: DataFrame, posts: DataFrame, cut: DataFrame) -> DataFrame:
+    """(mid, new_text) of the messages with open places.
+
+    Where several texts have a core, the words around it are looked up among all of them (by equality, so no text is
+    lost); if none is there as a whole, they are compared with the first of them if that one is earlier in the same table.
+    """
+    rows = cut.where("open is not null")
+    places = rows.select("mid", F.explode("open").alias("o")).select("mid", "o.*")
+    asked = bounded_broadcast(places.where("several").select(*CORE, F.col("whole").alias("text")).distinct(), MAX_FIRSTS)
+    known = posts.select(*CORE, "text").join(asked, [*CORE, "text"]).distinct().withColumn("known", F.lit(True)).withColumnRenamed("text", "whole")
+    earlier = (F.col("first") % 2 == F.col("mid") % 2) & (F.col("first") < F.col("mid"))
+    named = stash(places.join(known, [*CORE, "whole"], "left").withColumn("earlier", F.col("known").isNull() & earlier), "places")
+    wanted = bounded_broadcast(named.where("earlier").select("first").distinct(), MAX_FIRSTS)
+    firsts = parts.select(F.col("mid").alias("first"), F.struct("flat", "ranges").alias("words")).join(wanted, "first")
+    one = F.struct("at", "n", "part", F.coalesce("known", F.lit(False)).alias("known"), F.when(F.col("earlier"), F.col("words")).alias("words"))
+    by_text = named.join(firsts, "first", "left").groupBy("mid").agg(F.collect_list(one).alias("spots"))
+
+    def run(batches):
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_pylist():
+                words, spans = row["flat"].split(" "), list(row["spans"])
+                for x in row["spots"]:
+                    if x["known"]:
+                        spans += [x["at"], x["at"] + x["n"], x["part"] & BODY | NEW]
+                    elif (e := x["words"]) is not None:
+                        spans += partial_span(words, x["at"], _picked(e["flat"].split(" "), e["ranges"]))
+                out.append({"mid": row["mid"], "new_text": _rest(row, words, spans)})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    kind = StructType.fromDDL("mid bigint, new_text string")
+    schema = to_arrow_schema(kind)
+    return rows.select("mid", "spans", "left.*").join(by_text, "mid").mapInArrow(run, kind)
 
 
 def newly_written(mail: DataFrame, threads: DataFrame) -> DataFrame:
@@ -533,12 +749,36 @@ def newly_written(mail: DataFrame, threads: DataFrame) -> DataFrame:
     read; an empty table gives an empty result.
     """
     parts = stash(segment(messages_of(mail, threads)), "segments")
-    closings = recurring_closings(parts).select(F.col("key").alias("last_key"), F.lit(True).alias("closing"))
-    found = stash(ancestors(parts), "ancestors")
-    keyed = parts.select("src", "ord", "pos", "sender", "flat", "ranges", "tail", "tail_at", "paragraphs", F.when(F.size("paragraphs") > 1, _key_of(F.element_at("paragraphs", -1))).alias("last_key"))
-    open_ended = keyed.join(closings, "last_key", "left")
-    body = F.when(F.col("closing"), F.slice("paragraphs", 1, F.greatest(F.size("paragraphs") - 1, F.lit(0)))).otherwise(F.col("paragraphs"))
-    last = F.when(F.col("closing"), F.size(F.split(F.element_at("paragraphs", -1), " "))).otherwise(0)
-    texts = open_ended.select("src", "ord", "pos", "sender", "flat", "ranges", "tail", "tail_at", F.array_join(body, " ").alias("text"), last.alias("last")).join(found, ["src", "ord", "pos"], "left")
-    plain = texts.where("spans is null").select("src", "ord", "pos", F.col("text").alias("new_text"))
-    return plain.union(texts.where("spans is not null").select("src", "ord", "pos", _without_spans("flat", "ranges", "last", "tail", "tail_at", "sender", "spans").alias("new_text")))
+    keyed = parts.where("last_key is not null").select("mid", "last_key").join(recurring_closings(parts).withColumnRenamed("key", "last_key"), "last_key")
+    posts = posted(parts)
+    found = possible_ancestors(parts, ancestor_index(posts))
+    none = F.lit(None).cast(found.schema["found"].dataType)
+    notes = found.select("mid", "found", F.lit(False).alias("closing")).union(keyed.select("mid", none, F.lit(True)))
+    notes = notes.groupBy("mid").agg(F.max("closing").alias("closing"), F.first("found", True).alias("found"))
+    rows = parts.select("mid", *_TEXT).join(notes, "mid", "left").withColumn("last", F.when(F.col("closing"), F.col("last")).otherwise(0))
+    cut = stash(cut_whole_ancestors(rows), "ancestors")
+    return _named(cut.where("open is null").select("mid", "new_text").union(cut_partial_ancestors(parts, posts, cut)))
+
+
+def quoted_messages(messages: DataFrame) -> DataFrame:
+    """(mid, parent, n): of each message the first holder of the longest text of the others that it quotes as a whole.
+
+    Found by fingerprints and verified word by word, marked or not; texts of fewer than MIN_WORDS words are no link.
+    """
+    parts = stash(segment(messages), "segments")
+    found = possible_ancestors(parts, ancestor_index(posted(parts)), named=True)
+
+    def run(batches):
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_pylist():
+                words = row["flat"].split(" ")
+                whole = [(x["n"], x["first"]) for x in row["found"] if x["at"] >= 0 and x["n"] < len(words) and _digest(words[x["at"] : x["at"] + x["n"]]) == x["text"]]
+                if whole:
+                    n, parent = max(whole, key=lambda x: (x[0], -x[1]))
+                    out.append({"mid": row["mid"], "parent": parent, "n": n})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    kind = StructType.fromDDL("mid bigint, parent bigint, n int")
+    schema = to_arrow_schema(kind)
+    return parts.select("mid", "flat").join(found, "mid").mapInArrow(run, kind)

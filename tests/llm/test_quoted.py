@@ -76,3 +76,58 @@ def test_all_holders_of_a_fingerprint_are_ancestors(spark):
     assert out[("mail", 3)] == "New three." and out[("mail", 4)] == "Early answer." and out[("mail", 6)] == "Later answer now."
     assert out[("mail", 7)] == "Both of them. and" and out[("thread", 1)] == "In a thread."
     assert out[("mail", 1)].startswith("long0") and out[("mail", 5)] == a and out[("mail", 8)] == b
+
+
+def _brute(mail):
+    """New texts by comparing every pair of messages word by word."""
+    from lorespan.llm.quoted import BODY, NEW, sender_words, spans_of, without_spans, _kept_words
+
+    parts = []
+    for k, s, b in mail:
+        _, _, ranges, words, tail, tail_at = _kept_words(b.split("\n"), sender_words(s), 0)
+        new = [w for x, y in zip(ranges[::2], ranges[1::2]) for w in words[x:y]]
+        parts.append((k, s, words, ranges, new, None if tail is None else "\n".join(b.split("\n")[tail:]), tail_at))
+    out = {}
+    for k, s, words, ranges, new, tail, at in parts:
+        spans = []
+        for o, _, other, _, theirs, _, _ in parts:
+            if o != k:
+                texts = [(other, BODY | NEW)] if len(theirs) == len(other) else [(other, BODY), (theirs, NEW)]
+                for text, part in texts:
+                    if text != new and len(text) != len(new) and text != words:
+                        spans += spans_of(" ".join(words), " ".join(text), o > k, part)
+        out["mail", k] = without_spans(" ".join(words), ranges, tail, at, sender_words(s), spans)
+    return out
+
+
+def test_the_index_finds_every_ancestor_that_brute_force_finds(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    mail = []
+    for k in range(1, 121):
+        own = " ".join(rng.choice(vocabulary) for _ in range(rng.choice([4, 12, 24, 25, 31, 36, 60, 90])))
+        body = own
+        for old in rng.sample(mail, min(len(mail), rng.randint(0, 2))):
+            words = old[2].split()
+            a, z = (0, len(words)) if rng.random() < 0.5 else (len(words) // 12, len(words) - len(words) // 14)
+            body += "\n\n" + " ".join(words[a:z])
+        mail.append((k, f"p{k % 7}@x.example", body))
+    found, want = _run(spark, mail), _brute(mail)
+    marks = {("mail", k): " ".join(new_text(b, s).split()) for k, s, b in mail}
+    assert found == want and sum(found[k] != marks[k] for k in marks) > 40
+
+
+def test_a_template_that_a_third_of_the_messages_fill_in_makes_no_pairs(spark):
+    from lorespan.llm.quoted import ancestor_index, messages_of, possible_ancestors, posted, segment
+
+    form = _words("form", 70)
+    mail = [(k, f"p{k}@x.example", f"Dear{k} {form} name{k}") for k in range(90)] + [(100 + k, "q@x.example", _words(f"free{k}x", 40)) for k in range(60)]
+    mail.append((999, "r@x.example", f"Look at this.\n\nDear5 {form} name5"))
+    df = messages_of(spark.createDataFrame([(k, s, b, 0, "z") for k, s, b in mail], MAIL), spark.createDataFrame([], THREADS))
+    parts = segment(df)
+    found = possible_ancestors(parts, ancestor_index(posted(parts))).collect()
+    assert sum(len(r.found) for r in found) <= 2 * len(mail)
+    out = _run(spark, mail)
+    assert out["mail", 999] == "Look at this." and all(out["mail", k] == f"Dear{k} {form} name{k}" for k in range(90))
