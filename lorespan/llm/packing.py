@@ -22,6 +22,8 @@ from lorespan.session import stash
 MAX_KINDS, MAX_CAPACITY_SUM = 64, 1 << 21
 #: Containers of one kind in a step group.
 STEP_SIZE = 8
+#: Most rows of the plan that are broadcast; a larger plan is joined without a hint.
+MAX_BROADCAST = 500_000
 #: Hash slices in which the documents of one size are numbered.
 SLICES = 1024
 
@@ -104,8 +106,8 @@ def pack(sizes: DataFrame, kinds: list[tuple[str, int]], doc_id: str = "doc_id",
     A document goes to the smallest capacity that holds it; one larger than all
     capacities is split into full containers and a rest, no other is split.
     Documents without tokens take no room: one row with a null container.
-    Containers are dealt into step groups in turn, so each group has the same
-    mix.  A null size counts as 0; repeated documents are packed each.
+    Containers are dealt into step groups by the work they make, so each group
+    has about the same.  A null size counts as 0; repeated documents are packed each.
     """
     kinds = sorted(kinds, key=lambda k: (-k[1], k[0]))
     if not kinds or len(kinds) > MAX_KINDS or sum(c for _, c in kinds) > MAX_CAPACITY_SUM or min(c for _, c in kinds) < 1:
@@ -125,19 +127,60 @@ def pack(sizes: DataFrame, kinds: list[tuple[str, int]], doc_id: str = "doc_id",
         histograms[r.tier][r.n_tokens] = r["count"]
     blocks = plan(histograms, [c for _, c in kinds])
     names = [k for k, _ in kinds]
-    rows = [(names[t], p, s, a, a + n * m, n, c, o) for t, p, s, a, n, c, m, o in blocks]
-    schema = "kind string, b_tier int, b_size bigint, b_first bigint, b_end bigint, b_n int, b_container bigint, b_offset bigint"
-    table = spark.createDataFrame(rows, schema)
+    width = bucket_widths(blocks)
+    places = balanced_places(blocks)
+    rows = [(names[t], p, s, bucket, a, a + n * m, n, c, o, places[t, c]) for t, p, s, a, n, c, m, o in blocks for bucket in range(a // width[p, s], (a + n * m - 1) // width[p, s] + 1)]
+    schema = "kind string, b_tier int, b_size bigint, b_bucket bigint, b_first bigint, b_end bigint, b_n int, b_container bigint, b_offset bigint, b_place bigint"
+    table = sized_broadcast(spark.createDataFrame(rows, schema), len(rows))
+    widths = sized_broadcast(spark.createDataFrame([(*k, w) for k, w in width.items()], "w_tier int, w_size bigint, width bigint"), len(width))
 
     slice_by = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SLICES))
     ranked = number_within(pieces.where("n_tokens > 0"), ["tier", "n_tokens"], slice_by, [F.col("doc_id"), F.col("part")], "rank").withColumn("rank", F.col("rank") - 1)
-    on = (F.col("tier") == F.col("b_tier")) & (F.col("n_tokens") == F.col("b_size")) & (F.col("rank") >= F.col("b_first")) & (F.col("rank") < F.col("b_end"))
-    placed = ranked.join(F.broadcast(table), on)
+    ranked = ranked.join(widths, (F.col("tier") == F.col("w_tier")) & (F.col("n_tokens") == F.col("w_size")))
+    bucket = F.floor(F.col("rank") / F.col("width"))
+    on = (F.col("tier") == F.col("b_tier")) & (F.col("n_tokens") == F.col("b_size")) & (bucket == F.col("b_bucket")) & (F.col("rank") >= F.col("b_first")) & (F.col("rank") < F.col("b_end"))
+    placed = ranked.join(table, on)
     within = F.col("rank") - F.col("b_first")
-    container = F.col("b_container") + F.floor(within / F.col("b_n"))
-    placed = placed.select("kind", container.alias("container_no"), (F.col("b_offset") + within % F.col("b_n") * F.col("n_tokens")).alias("offset"), "doc_id", "part", "start_token", "n_tokens")
+    nth = F.floor(within / F.col("b_n"))
+    placed = placed.select("kind", (F.col("b_container") + nth).alias("container_no"), (F.col("b_offset") + within % F.col("b_n") * F.col("n_tokens")).alias("offset"), "doc_id", "part", "start_token", "n_tokens", (F.col("b_place") + nth).alias("place"))
     none = F.lit(None).cast("bigint")
-    empty = pieces.where("n_tokens = 0").select(F.lit(names[-1]).alias("kind"), none.alias("container_no"), none.alias("offset"), "doc_id", "part", "start_token", "n_tokens")
+    empty = pieces.where("n_tokens = 0").select(F.lit(names[-1]).alias("kind"), none.alias("container_no"), none.alias("offset"), "doc_id", "part", "start_token", "n_tokens", none.alias("place"))
     out = placed.union(empty)
     steps = spark.createDataFrame([(names[t], (max(c + m for tt, *_, c, m, _ in blocks if tt == t) + STEP_SIZE - 1) // STEP_SIZE) for t in {b[0] for b in blocks}], "kind string, steps bigint")
-    return out.join(F.broadcast(steps), "kind", "left").select(*out.columns, F.pmod("container_no", "steps").alias("step"))
+    turn, seat = F.floor(F.col("place") / F.col("steps")), F.col("place") % F.col("steps")
+    step = F.when(turn % 2 == 0, seat).otherwise(F.col("steps") - 1 - seat)
+    return out.join(F.broadcast(steps), "kind", "left").select(*[c for c in out.columns if c != "place"], step.alias("step"))
+
+
+def bucket_widths(blocks: list[tuple]) -> dict[tuple[int, int], int]:
+    """Width of the rank buckets of each (tier, size), so that a size has about as many buckets as blocks and a rank meets few blocks."""
+    last: dict[tuple[int, int], int] = {}
+    count: dict[tuple[int, int], int] = {}
+    for _, p, s, a, n, _, m, _ in blocks:
+        last[p, s] = max(last.get((p, s), 0), a + n * m)
+        count[p, s] = count.get((p, s), 0) + 1
+    return {k: -(-last[k] // count[k]) for k in last}
+
+
+def balanced_places(blocks: list[tuple]) -> dict[tuple[int, int], int]:
+    """Place of the first container of each pattern when the containers of a kind are sorted by the work they make.
+
+    Attention costs the square of a piece's length, so full containers differ in work.  Sorted by it and dealt to the
+    steps to and fro, every step group gets about the same work.
+    """
+    work: dict[tuple[int, int], int] = {}
+    times: dict[tuple[int, int], int] = {}
+    for t, _, s, _, n, c, m, _ in blocks:
+        work[t, c] = work.get((t, c), 0) + n * s * s
+        times[t, c] = m
+    at: dict[int, int] = {}
+    places: dict[tuple[int, int], int] = {}
+    for t, c in sorted(work, key=lambda k: (k[0], -work[k], k[1])):
+        places[t, c] = at.get(t, 0)
+        at[t] = places[t, c] + times[t, c]
+    return places
+
+
+def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most MAX_BROADCAST rows, else as it is."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df

@@ -85,3 +85,37 @@ def test_packing_hot_size_empty_and_nulls(spark):
     assert [(r.n_tokens, r.container_no) for r in null] == [(0, None)] * 2
     with pytest.raises(ValueError):
         pack(df, [])
+
+
+def test_a_long_word_without_spaces_is_merged_in_little_time():
+    import time
+
+    bpe, rng = load(PATH), random.Random(3)
+    word = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000))
+    began = time.time()
+    ids = bpe.merge(word.encode())
+    assert time.time() - began < 10 and ids == reference([word])[0]
+
+
+def test_step_groups_make_equal_work(spark):
+    rng = random.Random(6)
+    sizes = {k: rng.choice([10, 20, 40, 500, 1000, 2000]) for k in range(4000)}
+    rows = pack(spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long"), [("long", 2048)]).collect()
+    work, count, each = {}, {}, {}
+    for r in rows:
+        each[r.container_no] = each.get(r.container_no, 0) + r.n_tokens**2
+        work[r.step] = work.get(r.step, 0) + r.n_tokens**2
+        count.setdefault(r.step, set()).add(r.container_no)
+    assert max(work.values()) - min(work.values()) <= max(each.values()) and max(map(len, count.values())) - min(map(len, count.values())) <= 1
+
+
+def test_a_rank_meets_few_blocks():
+    from lorespan.llm.packing import bucket_widths, plan
+
+    blocks = plan([{100: 900, 200: 700, 300: 11, 412: 50}], [512])
+    widths = bucket_widths(blocks)
+    meets = {}
+    for _, p, s, a, n, _, m, _ in blocks:
+        for bucket in range(a // widths[p, s], (a + n * m - 1) // widths[p, s] + 1):
+            meets[p, s, bucket] = meets.get((p, s, bucket), 0) + 1
+    assert len(meets) <= 3 * len(blocks) and all(b[3] >= 0 for b in blocks)
