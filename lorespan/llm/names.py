@@ -45,8 +45,11 @@ ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii":
 
 _FULL_GIVEN = {n: full for full, short in GIVEN_NAMES.items() for n in [full, *short.split()]}
 _FULL_BUSINESS = {n: full for full, short in BUSINESS.items() for n in [full, *short.split()]}
-#: Least Jaro-Winkler similarity of two spellings of one token, and most edits (a swap of neighbours counts once).
-MIN_JARO_WINKLER, MAX_EDITS = 0.85, 1
+#: Least Jaro-Winkler similarity of two spellings of a token that differ by one edit (a swap of neighbours counts once), of two
+#: longer ones that differ by more, and of both tokens if both are misspelt; letters of a longer token.
+ONE_EDIT, MORE_EDITS, BOTH, LONG = 0.85, 0.93, 0.9, 7
+#: Most letters of a surname that is blocked less one letter, and largest edit distance (a swap counts twice) of keys that are compared.
+SHORT, MAX_DISTANCE = 6, 4
 
 
 def fold(text: str) -> str:
@@ -94,7 +97,14 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def _close(a: str, b: str) -> bool:
-    return one_edit(a, b) and jaro_winkler(a, b) >= MIN_JARO_WINKLER
+    """True if two tokens are spellings of one: by Jaro-Winkler similarity, whose bound is higher beyond one edit."""
+    bound = ONE_EDIT if one_edit(a, b) else MORE_EDITS if min(len(a), len(b)) >= LONG else 2.0
+    return bound <= 1 and jaro_winkler(a, b) >= bound
+
+
+def _both_close(a: str, b: str, c: str, d: str) -> bool:
+    """True if both tokens of two names are misspelt, each by one edit only."""
+    return min(map(len, (a, b, c, d))) > 4 and all(one_edit(x, y) and jaro_winkler(x, y) >= BOTH for x, y in ((a, b), (c, d)))
 
 
 def _near(token: str, words) -> str | None:
@@ -203,7 +213,7 @@ def parse_surfaces(entities: DataFrame) -> DataFrame:
 
 @F.pandas_udf(BooleanType())
 def same_name(kind: pd.Series, q1: pd.Series, s1: pd.Series, q2: pd.Series, s2: pd.Series) -> pd.Series:
-    """True if two keys are spellings of one: one token misspelt, the other equal."""
+    """True if two keys are spellings of one: one token misspelt and the other equal, or both misspelt slightly."""
 
     def same(kind: str, qa: str, sa: str, qb: str, sb: str) -> bool:
         if kind == "Project":
@@ -212,33 +222,43 @@ def same_name(kind: pd.Series, q1: pd.Series, s1: pd.Series, q2: pd.Series, s2:
             return False
         if sa + qa == sb + qb:
             return True
+        if qa != qb and sa != sb:
+            return _both_close(sa, sb, qa, qb)
         return (qa == qb and min(len(sa), len(sb)) > 3 and _close(sa, sb)) or (sa == sb and min(len(qa), len(qb)) > 2 and _close(qa, qb))
 
     return pd.Series([same(*x) for x in zip(kind, q1, s1, q2, s2)])
 
 
-def key_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): distinct strong keys accepted as spellings of one name; keys has key, entity_type, q, s.
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """Distinct strong keys that share a block and are near in letters; keys has key, entity_type, q, s.
 
-    Blocks are phonetic codes of the sorted tokens, and of one token with the
-    beginning or end of the other, so one misspelling leaves a block intact if
-    the surname has seven letters or more; shorter ones may share none.
+    Blocks are phonetic codes of the sorted tokens; one token with the
+    beginning or end of the other; and, for short surnames, the given name with
+    the surname less one letter.  So one misspelling leaves a block intact.  No
+    block is one token alone: all bearers of a surname never meet.
     """
     both = F.concat_ws(" ", F.array_sort(F.array(F.soundex("q"), F.soundex("s"))))
-    third = F.lit(3)
-    blocks = F.array_distinct(F.array(
+    third, none = F.lit(3), F.array().cast("array<string>")
+    less = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s"), F.lit(1))), lambda i: F.concat(F.lit("d"), F.col("q"), F.lit("|"), F.substring(F.col("s"), F.lit(1), i - 1), F.substring(F.col("s"), i + 1, F.length("s"))))
+    blocks = F.array_distinct(F.concat(F.array(
         F.concat(F.lit("c"), both),
-        F.concat(F.lit("s"), F.col("s")),
+        F.concat(F.lit("p"), F.col("s"), F.lit("|"), F.left("q", F.lit(2))),
+        F.concat(F.lit("e"), F.col("s"), F.lit("|"), F.right("q", F.lit(2))),
         F.concat(F.lit("a"), F.col("q"), F.lit("|"), F.left("s", third)),
         F.concat(F.lit("z"), F.col("q"), F.lit("|"), F.right("s", third)),
+        F.concat(F.lit("d"), F.col("q"), F.lit("|"), F.col("s")),
         F.concat(F.lit("w"), F.col("s"), F.col("q")),
-    ))
+    ), F.when(F.length("s") <= SHORT, less).otherwise(none)))
     left = keys.select("entity_type", F.explode(blocks).alias("block"), F.col("key").alias("a"), F.col("q").alias("qa"), F.col("s").alias("sa"))
     right = left.toDF("entity_type", "block", "b", "qb", "sb")
-    near = (F.abs(F.length("sa") + F.length("qa") - F.length("sb") - F.length("qb")) <= 1) & (F.levenshtein("sa", "sb") + F.levenshtein("qa", "qb") <= 2 * MAX_EDITS)
+    near = F.levenshtein("sa", "sb") + F.levenshtein("qa", "qb") <= MAX_DISTANCE
     near = near | (F.concat("sa", "qa") == F.concat("sb", "qb"))
-    cand = left.join(right, ["entity_type", "block"]).where("a < b").where(near).select("entity_type", "a", "qa", "sa", "b", "qb", "sb").distinct()
-    return cand.where(same_name("entity_type", "qa", "sa", "qb", "sb")).select("a", "b")
+    return left.join(right, ["entity_type", "block"]).where("a < b").where(near).select("entity_type", "a", "qa", "sa", "b", "qb", "sb").distinct()
+
+
+def key_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): distinct strong keys accepted as spellings of one name."""
+    return candidate_pairs(keys).where(same_name("entity_type", "qa", "sa", "qb", "sb")).select("a", "b")
 
 
 def link_names(entities: DataFrame) -> DataFrame:
@@ -279,3 +299,13 @@ def same_entity_pairs(entities: DataFrame) -> DataFrame:
     linked = stash(link_names(entities), "named")
     other = linked.toDF("ord_b", "cluster")
     return linked.join(other, "cluster").where("ord < ord_b").select(F.col("ord").alias("ord_a"), "ord_b")
+
+
+def entity_clusters(entities: DataFrame) -> DataFrame:
+    """(ord, cluster, representative): membership of every row of an entity that has several, and the smallest ``ord`` of it.
+
+    The scalable form of :func:`same_entity_pairs`: a row per member instead of all pairs.
+    """
+    linked = stash(link_names(entities), "named")
+    first = linked.groupBy("cluster").agg(F.min("ord").alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return linked.join(first, "cluster").select("ord", "cluster", "representative")

@@ -57,3 +57,18 @@ def test_ties_repeated_rows_and_empty(spark):
     assert pairs(spark, [(1, "Aiko Hanilurd", "User", None), (2, "Aiko Hanilurd", "User", None), (3, "AIKO HANILURD", "User", None)]) == {(1, 2), (1, 3), (2, 3)}
     assert pairs(spark, []) == set()
     assert link_names(spark.createDataFrame([], ENTITIES)).count() == 0
+
+
+def test_jaro_winkler_accepts_two_slips_and_short_surnames_meet(spark):
+    rows = [(1, "Daniel Laprihulster", "User", None), (2, "Daniel Lapirhulstr", "User", None), (3, "Mary Baker", "User", None), (4, "Mary Bader", "User", None), (5, "Danial Kromanter", "User", None), (6, "Daniel Kromantar", "User", None), (7, "Daniel Hanilurd", "User", None), (8, "Daniel Hanbolurd", "User", None)]
+    assert pairs(spark, rows) == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_bearers_of_one_surname_do_not_all_meet(spark):
+    from pyspark.sql import functions as F
+
+    from lorespan.llm.names import candidate_pairs
+
+    names = ["".join(chr(97 + (k * p) % 26) for p in (3, 5, 7, 11, 17)) + "io" for k in range(300)]
+    keys = spark.createDataFrame([(f"k{k}", "User", q, "hotsurname") for k, q in enumerate(dict.fromkeys(names))], "key string, entity_type string, q string, s string")
+    assert candidate_pairs(keys).count() < 30 * keys.count()
