@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import address_of, is_blank, norm_id, strip
+from lorespan.llm.quoted import quoted_messages
 from lorespan.operators.components import connected_components
 from lorespan.operators.ranking import number_within
 from lorespan.operators.redelivery import redelivered
@@ -58,9 +59,20 @@ def reply_links(messages: DataFrame) -> DataFrame:
     return by_id.union(by_subject)
 
 
-def conversations(mail: DataFrame, mailboxes: DataFrame) -> DataFrame:
+def quote_links(messages: DataFrame, mail: DataFrame, links: DataFrame) -> DataFrame:
+    """(ord, parent): what a marked message without ids quotes, if neither ids nor the subject say what it answers."""
+    silent = messages.where((F.size(named_ids(F.col("in_reply_to"))) == 0) & (F.size(named_ids(F.col("references"))) == 0) & has_mark(F.col("subject")))
+    lost = silent.select("ord").join(links.select("ord"), "ord", "left_anti")
+    bodies = mail.join(messages.select("ord"), "ord", "left_semi").where(~is_blank(F.col("body")))
+    texts = bodies.select(F.lit("mail").alias("src"), F.col("ord").cast("bigint").alias("ord"), F.lit(0).cast("bigint").alias("pos"), "sender", "body")
+    return quoted_messages(texts).select(F.shiftright("mid", 1).alias("ord"), F.shiftright("parent", 1).alias("parent")).join(lost, "ord", "left_semi").where("ord != parent")
+
+
+def conversations(mail: DataFrame, mailboxes: DataFrame, quotes: bool = False) -> DataFrame:
     """(conv_id, pos, message_id, role) of every kept conversation.
 
+    With ``quotes`` a message that ids and subject leave unplaced answers the message whose text it quotes.
+
     Only first copies count.  A message answers the message named by
     ``in_reply_to``, else the last of ``references`` that is present, else (no
     id named, marked subject) the only opener of the same bare subject.
@@ -80,6 +92,8 @@ def conversations(mail: DataFrame, mailboxes: DataFrame) -> DataFrame:
     messages = stash(timed.select("ord", "id", "in_reply_to", "references", "subject", "address", "blank", "epoch_us"), "messages")
 
     links = stash(reply_links(messages), "links")
+    if quotes:
+        links = stash(links.union(quote_links(messages, mail, links)), "quote_links")
     parts = connected_components(links, "ord", "parent")
     facts = messages.select("ord", "id", "address", "blank", "epoch_us").join(parts.withColumnRenamed("node", "ord"), "ord")
     facts = facts.join(links.select("ord", F.lit(True).alias("answers")), "ord", "left")
@@ -92,7 +106,7 @@ def conversations(mail: DataFrame, mailboxes: DataFrame) -> DataFrame:
     )
     kept = kept.where("openers = 1 and blanks = 0 and untimed = 0 and a != z").select("component", "conv_id", "opener_address")
     placed = facts.join(kept, "component")
-    hour = F.floor(F.col("epoch_us") / (3600 * US))
-    ranked = number_within(placed, ["component"], hour, [F.col("epoch_us"), F.col("ord")], "pos")
+    minute = F.floor(F.col("epoch_us") / (60 * US))
+    ranked = number_within(placed, ["component"], minute, [F.col("epoch_us"), F.col("ord")], "pos")
     role = F.when(F.col("address") == F.col("opener_address"), "opener").otherwise("replier")
     return ranked.select("conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("id").alias("message_id"), role.alias("role"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespan.llm.conversations import conversations
 from lorespan.llm.encode import count_tokens, encode_corpus
-from lorespan.llm.names import same_entity_pairs
+from lorespan.llm.names import entity_clusters, same_entity_pairs
 from lorespan.llm.packing import MAX_KINDS, pack
 from lorespan.llm.pii import personal_items, redact
 from lorespan.llm.quoted import newly_written
@@ -22,10 +22,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return same_entity_pairs(table(spark, d, "entities"))
 
 
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return entity_clusters(table(spark, d, "entities")).select("ord", "representative")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations(table(spark, d, "fetch_corpus"), table(spark, d, "mailboxes"))
 
 
+def p3_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, with quotations as links where ids and subjects give none."""
+    return conversations(table(spark, d, "fetch_corpus"), table(spark, d, "mailboxes"), quotes=True)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = personal_items(table(spark, d, "fetch_corpus"), table(spark, d, "claims"))
     return found.select("src", "ord", "pos", "kind", "found_text").distinct()
@@ -68,13 +77,28 @@ def p9_pack_each(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def p9_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Of each kind: containers that hold too much, pieces that do not stand right behind one another, documents that are missing."""
+    rows = stash(p9_pack(spark, d), "packed")
+    caps = table(spark, d, "containers")
+    order = Window.partitionBy("kind", "container_no").orderBy("offset", "doc_id", "part")
+    placed = rows.where("container_no is not null").withColumn("at", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    wrong = placed.groupBy("kind", "container_no").agg(F.sum("n_tokens").alias("used"), F.count_if(F.coalesce("at", F.lit(0)) != F.col("offset")).alias("misplaced"))
+    of_kind = wrong.join(F.broadcast(caps), "kind").groupBy("kind").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("over"), F.sum("misplaced").alias("misplaced"))
+    lost = table(spark, d, "documents").select("doc_id").join(rows.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return caps.select("kind").join(of_kind, "kind", "left").crossJoin(F.broadcast(lost)).select("kind", zero("over"), zero("misplaced"), "lost")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p3_found": p3_found,
+    "p3_quotes": p3_quotes,
     "p4_found": p4_found,
     "p4_redact": p4_redact,
     "p6_found": p6_found,
@@ -82,10 +106,12 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
+    "p9_properties": p9_properties,
     "p9_pack_each": p9_pack_each,
     "p10_found": p10_found,
 }
 ORACLES = {
+    "p9_properties": "SELECT kind, 0::BIGINT AS over, 0::BIGINT AS misplaced, 0::BIGINT AS lost FROM containers",
     "p6_found": r"""
 WITH c AS (
  SELECT ord, subject_id AS s, lower(trim(relation, E' \t\n\r')) AS r, object_id AS o,

@@ -50,3 +50,16 @@ def test_subjects_and_ids(spark):
     assert [tuple(r) for r in s.select(bare_subject(F.col("s")), has_mark(F.col("s"))).collect()] == [("a b", True), ("a b", True), ("new: a", False), ("regards", False), (None, False)]
     i = spark.createDataFrame([("<A@x> <b@x>",), ("a@x, b@x",), ("abc",), ("on Monday",), (None,)], "s string")
     assert [r[0] for r in i.select(named_ids(F.col("s"))).collect()] == [["a@x", "b@x"], ["a@x", "b@x"], ["abc"], [], []]
+
+
+def test_only_a_quotation_links_two_messages(spark):
+    t, text = "2002-01-01T10:00:00Z", " ".join(f"word{k}" for k in range(40))
+    rows = [
+        (1, "a@x", "jo@x", "Gas", t, f"Hello,\n\n{text}", None, None), (2, "b@x", "jo@x", "Gas", t, "Another message of this subject.", None, None),  # the subject alone fits two openers
+        (3, "c@x", "ed@x", "Re: Gas", t, "Agreed.\n\n" + "\n".join(f"> {x}" for x in f"Hello,\n\n{text}".split("\n")), None, None),
+        (4, "d@x", "al@x", "Re: Gas", t, "Nothing quoted.", None, None),
+    ]
+    full = [(o, i, None, s, sub, at, b, irt, refs, "m/inbox/1", "clash", "clash") for o, i, s, sub, at, b, irt, refs in rows]
+    mail, boxes = spark.createDataFrame(full, MAIL), spark.createDataFrame([("m", "m@x", "UTC", "mdy")], BOXES)
+    assert conversations(mail, boxes).count() == 0
+    assert [(r.conv_id, r.message_id) for r in conversations(mail, boxes, quotes=True).orderBy("pos", "message_id").collect()] == [("a@x", "a@x"), ("a@x", "c@x")]
