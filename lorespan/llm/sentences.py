@@ -21,9 +21,10 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lorespan.session import stash
 
-#: A word's counts go to all tasks if they are at least this share of their table, so at most the inverse of it entries; the others are joined to the texts that need them.
-MIN_SHARE = 5e-6
+#: Most counts that go to all tasks, the most frequent ones; the others are joined to the texts that need them.
+MOST_COUNTS = 200_000
 #: Smoothing of the ratios, and letters of context in scripts without marks.
 SMOOTH, LETTERS = 1.0, 4
 #: Documents whose joined paragraphs fit the weights, most paragraphs of one joint, most tags of one sequence, steps and pace of the fit.
@@ -84,7 +85,12 @@ def before_word(text: str, at: int) -> str:
         w = _AFTER_WIDE.search(w).group()
     if len(w) == 1 and w.isupper():
         return "@"
-    return "#" if w[0].isdigit() and not w[-1].isalpha() else w[-2:] if _CJK.match(w[-1]) else w
+    return "#" if w[0].isdigit() and not w[-1].isalpha() else w[-2:] if _CJK.match(w[-1]) else _composed(w)
+
+
+def _composed(word: str) -> str:
+    """The word with composed accents, so that its counts are one."""
+    return word if word.isascii() else unicodedata.normalize("NFC", word)
 
 
 def next_word(text: str, at: int, stop: int | None = None) -> str:
@@ -96,7 +102,7 @@ def next_word(text: str, at: int, stop: int | None = None) -> str:
     bare = w.lstrip(_OPENERS)
     if bare[:1].isdigit():
         return w[: len(w) - len(bare)] + "#"
-    return w[: len(w) - len(bare)] + bare[:2] if _CJK.match(bare[:1]) else w
+    return w[: len(w) - len(bare)] + bare[:2] if _CJK.match(bare[:1]) else _composed(w)
 
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:
@@ -304,6 +310,21 @@ class Model:
         all_, ends, _ = self.frequent.get(("stop", left), (0, 0, 0))
         return not ends and (1 - min(self.end_rate, 0.5)) ** all_ < SURE
 
+    def sentences(self, text: str, rare: dict[tuple[str, str], tuple]) -> list[tuple[int, int]]:
+        """Start and end of each sentence, without surrounding white space."""
+        out = []
+        for start, end, whole in blocks(text):
+            part = text[start:end]
+            first, last = end - len(part.lstrip()), start + len(part.rstrip())
+            if first >= last:
+                continue
+            if not whole and (found := candidates(text, start, end)):
+                for k in self.decode(first, last, found, rare):
+                    out.append((first, found[k][0]))
+                    first = found[k][1]
+            out.append((first, last))
+        return out
+
     def decode(self, start: int, end: int, found: list, rare: dict[tuple[str, str], tuple]) -> list[int]:
         """Which of the characters are boundaries: Viterbi over inside and boundary, from the block's start to its end."""
         w, steps = self.weights, self.weights[_EMISSIONS:].tolist()
@@ -435,31 +456,22 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("table", "key").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
 
 
-BLOCKS = "array<struct<start: int, end: int, found: array<struct<at: int, nxt: int, kind: string, case: int, left: string, right: string>>>>"
-
+def _unknown(text: str, frequent: dict[tuple[str, str], tuple]) -> list[tuple[str, str]]:
+    """The counts that a text needs and that are not frequent."""
+    found = (x for start, end, whole in blocks(text) if not whole for x in candidates(text, start, end))
+    return sorted({k for x in found for k in keys_of(x[2], x[4], x[5]) if k not in frequent})
 
-def tag_sequences(documents: DataFrame, doc_id: str, text: str, frequent: frozenset[tuple[str, str]]) -> DataFrame:
-    """(doc_id, text_id, blocks, missed): the possible boundaries of every document, and the counts they need that are not frequent."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, missed = [], []
-            for t in b["text"]:
-                need: set[tuple[str, str]] = set()
-                units = []
-                for start, end, whole in blocks(t):
-                    found = [] if whole else candidates(t, start, end)
-                    need.update(k for x in found for k in keys_of(x[2], x[4], x[5]) if k not in frequent)
-                    first, last = start + len(t[start:end]) - len(t[start:end].lstrip()), start + len(t[start:end].rstrip())
-                    if first < last:
-                        units.append({"start": first, "end": last, "found": [dict(zip(("at", "nxt", "kind", "case", "left", "right"), x)) for x in found]})
-                out.append(units)
-                missed.append([{"table": a, "key": k} for a, k in sorted(need)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_id": b["text_id"], "blocks": out, "missed": missed})
-
-    kind = documents.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("text_id")).where("text is not null")
-    return chosen.mapInPandas(run, f"doc_id {kind}, text_id string, blocks {BLOCKS}, missed array<struct<table: string, key: string>>")
+def frequent_counts(counts: DataFrame) -> tuple[dict[tuple[str, str], tuple], int]:
+    """The most frequent counts, at most MOST_COUNTS of them, and the sum that each of them reaches."""
+    sums = counts.groupBy((F.col("n0") + F.col("n1") + F.col("n2")).alias("n")).count().orderBy(F.desc("n"))
+    ahead, floor = 0, 1
+    for r in sums.toLocalIterator():
+        if ahead + r["count"] > MOST_COUNTS:
+            floor = r["n"] + 1
+            break
+        ahead += r["count"]
+    return {(r.table, r.key): (r.n0, r.n1, r.n2) for r in counts.where(F.col("n0") + F.col("n1") + F.col("n2") >= floor).collect()}, floor
 
 
 def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: bool = True) -> DataFrame:
@@ -474,36 +486,41 @@ def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     counts = stash(corpus_counts(documents, text), "sentence_counts")
     total = {r.table: [r.n0, r.n1, r.n2] for r in counts.groupBy("table").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)]).collect()}
-    floor = F.lit(2.0)
-    for table, n in total.items():
-        floor = F.when(F.col("table") == table, F.lit(max(2.0, sum(n) * MIN_SHARE))).otherwise(floor)
-    counts = counts.withColumn("often", F.col("n0") + F.col("n1") + F.col("n2") >= floor)
-    frequent = {(r.table, r.key): (r.n0, r.n1, r.n2) for r in counts.where("often").collect()}
-    tagged = stash(tag_sequences(documents, doc_id, text, frozenset(frequent)), "tags")
-    missed = tagged.select(F.explode("missed").alias("x")).select("x.*").distinct()
-    rare = stash(counts.where("not often").join(missed, ["table", "key"]).select("table", "key", "n0", "n1", "n2"), "rare_counts")
+    frequent, floor = frequent_counts(counts)
     weights = None
     if fitted:
         sample = documents.select(F.col(text).alias("text")).where(F.length(text).between(1, 20_000)).orderBy(F.xxhash64("text")).limit(SAMPLE)
-        model = Model(frequent, total)
-        weights = fit([x for r in sample.collect() for x in joined_paragraphs(r.text, model, {})])
+        first = Model(frequent, total)
+        weights = fit([x for r in sample.collect() for x in joined_paragraphs(r.text, first, {})])
     model = Model(frequent, total, weights)
+    kind = documents.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("text_id")).where("text is not null")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(b: pd.DataFrame, rare_of: Iterator) -> pd.DataFrame:
+        rows = []
+        for d, t, rare in zip(b["doc_id"], b["text"], rare_of):
+            known = {(x["table"], x["key"]): (x["n0"], x["n1"], x["n2"]) for x in rare} if rare is not None else {}
+            rows += [(d, s, e) for s, e in model.sentences(t, known)]
+        return pd.DataFrame(rows, columns=["doc_id", "start_at", "end_at"])
+
+    out = f"doc_id {kind}, start_at bigint, end_at bigint"
+    if floor <= 1:  # all counts go to all tasks
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield split(b, repeat(None))
+
+        return chosen.select("doc_id", "text").mapInPandas(run, out)
+
+    def missed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for d, units, rare in zip(b["doc_id"], b["blocks"], b["rare"]):
-                known = {(x["table"], x["key"]): (x["n0"], x["n1"], x["n2"]) for x in rare} if rare is not None else {}
-                for u in units:
-                    found = [tuple(x.values()) for x in u["found"]]
-                    at = u["start"]
-                    for k in model.decode(at, u["end"], found, known):
-                        rows.append((d, at, found[k][0]))
-                        at = found[k][1]
-                    rows.append((d, at, u["end"]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_at", "end_at"])
-
-    kind = tagged.schema["doc_id"].dataType.simpleString()
-    needs = tagged.select("text_id", F.explode("missed").alias("x")).select("text_id", "x.*").distinct()
+            yield pd.DataFrame([(i, *key) for i, t in zip(b["text_id"], b["text"]) for key in _unknown(t, frequent)], columns=["text_id", "table", "key"])
+
+    def run_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield split(b, b["rare"])
+
+    needs = chosen.select("text_id", "text").mapInPandas(missed, "text_id string, table string, key string").distinct()
+    rare = counts.where(F.col("n0") + F.col("n1") + F.col("n2") < floor)
     by_text = needs.join(rare, ["table", "key"]).groupBy("text_id").agg(F.collect_list(F.struct("table", "key", "n0", "n1", "n2")).alias("rare"))
-    return tagged.select("doc_id", "text_id", "blocks").join(by_text, "text_id", "left").mapInPandas(run, f"doc_id {kind}, start_at bigint, end_at bigint")
+    return chosen.join(by_text, "text_id", "left").select("doc_id", "text", "rare").mapInPandas(run_with, out)

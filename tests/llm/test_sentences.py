@@ -72,7 +72,7 @@ def test_rare_words_before_stops_count_in_full(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = lambda: sorted(tuple(r) for r in split_sentences(docs).collect())
     whole = found()
-    monkeypatch.setattr(module, "MIN_SHARE", 0.05)  # as if the corpus were far larger: hardly any word is frequent
+    monkeypatch.setattr(module, "MOST_COUNTS", 8)  # as if the corpus were far larger: hardly any word is frequent
     assert found() == whole and sum(1 for d, _, _ in whole if d < 60) == 180
 
 
@@ -82,7 +82,7 @@ def test_the_chain_decides_beside_the_characters():
     from lorespan.llm.sentences import BITS, Model, _EMISSIONS, prior_weights, transition
 
     weights = prior_weights()
-    weights[_EMISSIONS + transition("stop", 6) + BITS + 1] = -5.0  # no sentence of some letters behind another one
+    weights[_EMISSIONS + transition("stop", 6) + BITS + 1] = -20.0  # no sentence of some letters behind another one
     found = [(20, 21, "stop", 1, "a", "B"), (26, 27, "stop", 1, "b", "C"), (60, 61, "stop", 1, "c", "D")]
     counts = {("stop", w): (10, 5, 0) for w in "abc"} | {("word", w): (5, 10, 0) for w in "BCD"}
     total = {"stop": [30, 15, 1], "word": [15, 30, 0]}
@@ -103,8 +103,8 @@ def test_weights_are_learned_from_joints():
 
 
 def test_fitted_weights_change_sentences(spark):
-    rows = [(k, f"The desk number {k} is open.\n\nMr. Baker{k} called the desk.\n\nNobody met Mr. Baker{k} today. The plan is done.", "", "") for k in range(80)]
+    rows = [(k, f"The desk number {k} is open.\n\nMr. Baker{k} called the desk.\n\nNobody met Mr. Baker{k} today. The plan is done.\n\nIt ends {['today', 'soon'][k % 2]}.", "", "") for k in range(80)]
     docs = spark.createDataFrame(rows, DOCS)
     found = {(r.doc_id, r.start_at, r.end_at) for r in split_sentences(docs).collect()}
-    assert len(found) == 80 * 4
-    assert split_sentences(docs, fitted=False).count() >= 80 * 4
+    assert len(found) == 80 * 5
+    assert split_sentences(docs, fitted=False).count() >= 80 * 5
