@@ -55,6 +55,19 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_a_hot_node(spark, monkeypatch):
+    from lorespan.operators import components
+
+    monkeypatch.setattr(components, "HOT_EDGES", 50)
+    edges = [(7, k) for k in range(100, 300)] + [(k, k + 1000) for k in range(100, 160)] + [(k, k + 1) for k in range(2000, 2020)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in [7, *range(100, 300), *range(1100, 1160)]} == {7} and {got[k] for k in range(2000, 2021)} == {2000}
+    both = spark.createDataFrame([(1, k) for k in range(2, 500)], "u long, v long")
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    plan = components._linked(both, low, 498)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()
+
+
 def test_numbering_and_next_of_a_hot_group(spark):
     rows = [("hot", k // 3, k) for k in range(200)] + [("b", 1, 5), ("b", 0, 9), (None, 2, 1)]
     df = spark.createDataFrame(rows, "k string, t int, o int")
