@@ -2,7 +2,7 @@
 
 Candidate spans of each kind get votes from labelers that look at their form
 (regular expressions), at gazetteers (short forms of given names; given names
-that many senders and recipients of the corpus bear; the names in the headers of
+that many senders of the corpus bear; the names in the headers of
 the same message) and at their context.  Only counts of patterns of votes and
 shapes over the whole corpus come to the driver; their number is bounded by the
 bits they have.  Expectation-maximisation estimates how reliable each group of
@@ -21,6 +21,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,13 @@ GROUPS = {
 }
 #: Rounds of expectation-maximisation, weight of a group's overall rates in its estimates (in spans), steps of the classifier, least likelihood of an item.
 EM_ROUNDS, SMOOTH, FIT_STEPS, THRESHOLD = 60, 2.0, 300, 0.5
+#: Most that a span's shape adds to the votes, in logits.
+MOST_SHAPE = 1.5
 #: The start counts as so many spans of evidence; a corpus with more of them can overturn it.
 START_SPANS = 40.0
 #: Fields of a shape and their bits: kind of character on either side, words, kind of the first letter, capitals only, length.
 SHAPE = {"left": 2, "right": 2, "words": 2, "first": 2, "capitals": 1, "length": 3}
-#: A given name joins the gazetteer if this share of the different names in the headers has it, so there are at most the inverse of it; and so many at least.
+#: A given name joins the gazetteer if this share of the different senders and authors has it, so there are at most the inverse of it; and so many at least.
 MIN_NAME_SHARE, MIN_NAME_HOLDERS = 1e-4, 3
 
 _FORMS = {n: full for full, short in GIVEN_NAMES.items() for n in [full, *short.split()]}
@@ -239,7 +242,7 @@ def _scan(text: str, names: frozenset[str]) -> tuple[list[tuple[int, int]], bool
     for end, size in _gazetteer(names).iter(low):
         s, e = end - abs(size) + 1, end + 1
         if size < 0:
-            hint = True
+            hint = hint or size == -1 or not (end + 1 < n and low[end + 1].isalpha())
         elif not (s and low[s - 1].isalpha()) and not (e < n and low[e].isalpha()):
             hits.append((s, e))
     return hits, hint
@@ -249,7 +252,9 @@ def _scan(text: str, names: frozenset[str]) -> tuple[list[tuple[int, int]], bool
 def _gazetteer(names: frozenset[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for word in _STREET_WORDS:
-        automaton.add_word(word, -len(word))
+        automaton.add_word(word, -len(word) if word[0] == " " else -1)
+        if word[0] == " ":
+            automaton.add_word("\n" + word[1:], -len(word))
     for name in {*_FORMS, *names}:
         automaton.add_word(name, len(name))
     automaton.make_automaton()
@@ -259,8 +264,9 @@ def _gazetteer(names: frozenset[str]) -> ahocorasick.Automaton:
 #: Letters with one accent to the plain letter; the text keeps its length.
 _PLAIN = {chr(c): fold(chr(c)) for c in range(0xC0, 0x250) if len(fold(chr(c))) == 1 and fold(chr(c)) != chr(c)}
 _ACCENTED = re.compile("[\u00c0-\u024f]")
-_STREET_WORDS = ["street", " st", " ave", " road", " rd", " blvd", " boulevard", " lane", " ln", " drive", " dr", " court", " ct", " place", " way", " terrace", " square", " parkway", " highway", " circle", "box", " rue ", "calle", "avenida", "plaza", "strasse", "straße", "gasse", "platz", "allee", "weg "]
-_AT_WORD = re.compile(r"\w\.\w+ at [a-z]|\w\.\w+ at\n", re.I)
+#: Words of street addresses; those that begin with a blank as whole words.
+_STREET_WORDS = " street| st| avenue| ave| road| rd| boulevard| blvd| lane| ln| drive| dr| court| ct| place| pl| way| terrace| square| sq| parkway| pkwy| highway| hwy| circle| cir|box| rue| chemin| impasse| quai|calle|avenida|avda|plaza|paseo|via |viale|piazza|strasse|straße|str.|gasse|platz|allee|weg ".split("|")
+_AT_WORD = re.compile(r"\.\w+ at(?: [a-z]|\n)", re.I)
 
 
 def _names(work: str, header: str | None, found: list[tuple[int, int]], names: frozenset[str]) -> list[tuple[int, int, str, int]]:
@@ -288,8 +294,8 @@ def _names(work: str, header: str | None, found: list[tuple[int, int]], names: f
     spans = sorted(spans + extra)
     starts = [x[0] for x in spans]
     titled: list[tuple[int, int, int]] = []
-    for pattern in (_TITLE, _FRENCH_M):
-        for m in pattern.finditer(work):
+    for pattern, told in ((_TITLE, any(t in work for t in _TITLE_WORDS)), (_FRENCH_M, "M." in work)):
+        for m in pattern.finditer(work) if told else ():
             s, e = m.span(1)
             if work[s:e] in _TITLE_WORDS:
                 continue
@@ -432,8 +438,9 @@ def _fields(packed: np.ndarray) -> np.ndarray:
 def learn(patterns: list[tuple[str, int, int, int]]) -> dict[tuple[str, int, int], float]:
     """Probability of an item for each (kind, votes, shape), from the counts of these patterns.
 
-    The classifier is a logistic regression on votes, pairs of votes and the fields of the shape, fitted to the
-    likelihoods that expectation-maximisation gives the votes; it has the last word.
+    The span classifier is a logistic regression on the fields of the shape, trained on the likelihoods that
+    expectation-maximisation gives the votes, where these are sure.  It adds what the shape says to what the votes say,
+    by MOST_SHAPE at most in logits: it decides where the votes leave an item open.
     """
     out: dict[tuple[str, int, int], float] = {}
     for kind in KINDS:
@@ -445,21 +452,22 @@ def learn(patterns: list[tuple[str, int, int, int]]) -> dict[tuple[str, int, int
             counts[v] = counts.get(v, 0) + n
         known = likelihoods(kind, counts)
         votes, shapes, n = (np.array(c) for c in zip(*rows))
-        q, size = np.array([known[v] for v in votes.tolist()]), len(BIT[kind])
-        x = (votes[:, None] >> np.arange(size) & 1).astype(float)
-        pairs = [x[:, i] * x[:, j] for i in range(size) for j in range(i)]
-        z = np.column_stack([np.ones(len(rows)), x, *pairs, _fields(shapes)])
-        weight = np.sqrt(n) / np.sqrt(n).sum()
+        q = np.clip(np.array([known[v] for v in votes.tolist()]), 1e-6, 1 - 1e-6)
+        z = np.column_stack([np.ones(len(rows)), _fields(shapes)])
+        weight = n * (2 * q - 1) ** 2
+        weight = weight / max(weight.sum(), 1e-9)
         b = np.zeros(z.shape[1])
         for _ in range(FIT_STEPS):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            gradient = z.T @ (weight * (p - q)) + 1e-4 * b
+            gradient = z.T @ (weight * (p - q)) + 1e-3 * b
             curvature = (z * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ z + 1e-3 * np.eye(len(b))
             step = np.linalg.solve(curvature, gradient)
             b -= step
             if np.abs(step).max() < 1e-6:
                 break
-        fitted = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        base = np.clip((weight * q).sum() if weight.sum() else 0.5, 1e-3, 1 - 1e-3)
+        seen = np.clip(z @ b - np.log(base / (1 - base)), -MOST_SHAPE, MOST_SHAPE)
+        fitted = 1 / (1 + np.exp(-(np.log(q / (1 - q)) + seen)))
         out |= {(kind, v, s): float(p) for (v, s, _), p in zip(rows, fitted)}
     return out
 
@@ -474,9 +482,8 @@ def corpus_texts(mail: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def given_names(mail: DataFrame, claims: DataFrame) -> list[str]:
-    """Given names that a share of the different names in the corpus's headers has, in small letters without accents."""
-    people = F.concat(F.array("sender"), *[F.coalesce(c, F.array().cast("array<string>")) for c in ("to", "cc")])
-    rows = mail.select(F.explode(people).alias("name")).union(claims.select(F.explode("evidence.author").alias("name")))
+    """Given names that a share of the different senders and authors has, in small letters without accents."""
+    rows = mail.select(F.col("sender").alias("name")).union(claims.select(F.explode("evidence.author").alias("name"))).distinct()
     shown = F.trim(F.regexp_replace("name", r"<[^>]*>|\S+@\S+|\"", " "))
     given = F.regexp_extract("shown", r"^(?:[^,]+,\s*)?(?:" + _TITLES + r"\.?\s+)?(\p{Lu}\p{Ll}{2,})(?=\s+(?:\p{Lu}\.?\s+)*\p{Lu}\p{Ll}|$)", 1)
     plain = rows.select(shown.alias("shown")).distinct().where(F.regexp_like("shown", F.lit(r"\S[\s,]+\S"))).select(given.alias("given"))
@@ -493,12 +500,26 @@ def labelled_texts(mail: DataFrame, claims: DataFrame, keep_text: bool = False)
     """(src, ord, pos, text, spans) of all texts with their candidates; ``text`` only if asked for."""
     names = frozenset(given_names(mail, claims))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            spans = [[{"kind": k, "votes": v, "shape": shape(t, s, e), "start": s, "found": t[s:e]} for s, e, k, v in candidates(t, h, names)] for h, t in zip(b["header"], b["text"])]
-            yield pd.DataFrame({"src": b["src"], "ord": b["ord"], "pos": b["pos"], "text": b["text"] if keep_text else None, "spans": spans})
+    fields = [("kind", pa.string()), ("votes", pa.int32()), ("shape", pa.int32()), ("start", pa.int32()), ("found", pa.string())]
 
-    return corpus_texts(mail, claims).mapInPandas(run, f"src string, ord bigint, pos bigint, text string, spans array<{SPAN}>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: tuple[list, ...] = ([], [], [], [], [])
+            kinds, votes, shapes, starts, texts = found
+            ends = [0]
+            for h, t in zip(b["header"].to_pylist(), b["text"].to_pylist()):
+                for s, e, k, v in candidates(t, h, names):
+                    kinds.append(k)
+                    votes.append(v)
+                    shapes.append(shape(t, s, e))
+                    starts.append(s)
+                    texts.append(t[s:e])
+                ends.append(len(kinds))
+            spans = pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(found, fields)], [name for name, _ in fields])
+            text = b["text"] if keep_text else pa.nulls(len(b), pa.string())
+            yield pa.RecordBatch.from_arrays([b["src"], b["ord"], b["pos"], text, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], ["src", "ord", "pos", "text", "spans"])
+
+    return corpus_texts(mail, claims).mapInArrow(run, f"src string, ord bigint, pos bigint, text string, spans array<{SPAN}>")
 
 
 def accepted_patterns(labelled: DataFrame) -> list[tuple[str, int, int]]:
