@@ -54,6 +54,8 @@ PRIOR = {
 KINDS = list(PRIOR)
 _PLACE = {kind: sum(len(PRIOR[k]) for k in KINDS[:i]) for i, kind in enumerate(KINDS)}
 _EMISSIONS = sum(map(len, PRIOR.values()))
+#: Scores that a worker keeps; the results are the same without it.
+MOST_SCORES = 200_000
 #: Cost of a boundary right behind another at the start of the fit.
 AGAIN = -2.0
 
@@ -197,7 +199,7 @@ def count_block(text: str, start: int, end: int, counts: Counter) -> None:
         if text[m.start()] == ".":
             word = before_word(text, m.start())
             stops.add(("w", word))
-            last = m
+            last, last_word = m, word
             behind = m.end()
             while behind < end and text[behind].isspace():
                 behind += 1
@@ -209,7 +211,7 @@ def count_block(text: str, start: int, end: int, counts: Counter) -> None:
         if behind < end and not text[behind].isspace():
             counts["a", next_word(text, behind, end)] += 1
     if last is not None and not text[last.end() : end].strip(_AFTER_MARK):
-        stops.add(("e", before_word(text, last.start())))
+        stops.add(("e", last_word))
     counts.update(stops)
 
 
@@ -274,6 +276,8 @@ class Model:
 
     def __init__(self, frequent: dict[tuple[str, str], tuple], total: dict[str, list[int]], weights: np.ndarray | None = None) -> None:
         self.frequent, self.weights = frequent, prior_weights() if weights is None else weights
+        self.emitted, self.steps = self.weights[:_EMISSIONS].tolist(), self.weights[_EMISSIONS:].tolist()
+        self.scores: dict[tuple, float] = {}  # what was computed before
         w, e, l = total.get("stop", (0, 0, 0))
         s, a = total.get("word", (0, 0))[:2]
         self.end_rate, self.lower_rate, self.start_rate = max(e, 1) / max(w, 1), max(l, 1) / max(w, 1), max(s, 1) / max(a, 1)
@@ -327,12 +331,15 @@ class Model:
 
     def decode(self, start: int, end: int, found: list, rare: dict[tuple[str, str], tuple]) -> list[int]:
         """Which of the characters are boundaries: Viterbi over inside and boundary, from the block's start to its end."""
-        w, steps = self.weights, self.weights[_EMISSIONS:].tolist()
+        steps, scores = self.steps, self.scores if not rare else {}
+        if len(scores) > MOST_SCORES:
+            scores.clear()
         inside, boundary, back, previous = -math.inf, 0.0, [], start
-        for at, _, kind, case, left, right in found:
-            values, place = self.emission(kind, case, left, right, rare), _PLACE[kind]
-            score = sum(v * w[place + k] for k, v in enumerate(values))
-            base = transition(kind, at - previous)
+        for at, _, *what in found:
+            if (score := scores.get(key := tuple(what))) is None:
+                kind, values = what[0], self.emission(*what, rare)
+                score = scores[key] = sum(v * w for v, w in zip(values, self.emitted[_PLACE[kind] :]))
+            base = transition(what[0], at - previous)
             from_i, from_b = inside + steps[base], boundary + steps[base + BITS + 1]
             back.append((boundary > inside, from_b > from_i))
             inside, boundary = max(inside, boundary), max(from_i, from_b) + score
