@@ -482,14 +482,15 @@ def corpus_texts(mail: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def given_names(mail: DataFrame, claims: DataFrame) -> list[str]:
-    """Given names that a share of the different senders and authors has, in small letters without accents."""
+    """Given names that a share of the different senders and authors has (as written, or in first.last@), in small letters without accents."""
     rows = mail.select(F.col("sender").alias("name")).union(claims.select(F.explode("evidence.author").alias("name"))).distinct()
     shown = F.trim(F.regexp_replace("name", r"<[^>]*>|\S+@\S+|\"", " "))
-    given = F.regexp_extract("shown", r"^(?:[^,]+,\s*)?(?:" + _TITLES + r"\.?\s+)?(\p{Lu}\p{Ll}{2,})(?=\s+(?:\p{Lu}\.?\s+)*\p{Lu}\p{Ll}|$)", 1)
-    plain = rows.select(shown.alias("shown")).distinct().where(F.regexp_like("shown", F.lit(r"\S[\s,]+\S"))).select(given.alias("given"))
-    found = plain.groupBy("given").count()
+    written = F.regexp_extract(shown, r"^(?:[^,]+,\s*)?(?:" + _TITLES + r"\.?\s+)?(\p{Lu}\p{Ll}{2,})(?=\s+(?:\p{Lu}\.?\s+)*\p{Lu}\p{Ll}|$)", 1)
+    written = F.when(F.regexp_like(shown, F.lit(r"\S[\s,]+\S")), written)
+    address = F.initcap(F.regexp_extract(F.lower("name"), r"(?:^|[<\s])(\p{L}{3,})[._](?:\p{L}+[._])*\p{L}{3,}@", 1))
+    found = rows.select(F.explode(F.array_distinct(F.array(written, address))).alias("given")).where("given != ''").groupBy("given").count()
     total = found.agg(F.sum("count")).first()[0] or 0
-    kept = found.where((F.col("given") != "") & (F.col("count") >= max(MIN_NAME_HOLDERS, MIN_NAME_SHARE * total))).collect()
+    kept = found.where(F.col("count") >= max(MIN_NAME_HOLDERS, MIN_NAME_SHARE * total)).collect()
     return sorted({fold(r.given).lower() for r in kept if not _STOP.match(r.given) and not _POLITE.match(r.given)})
 
 
