@@ -1,5 +1,6 @@
 """Redelivery, components, numbering and the micro-fixtures of the reference's operators."""
 
+import io
 import random
 
 import pytest
@@ -239,7 +240,7 @@ def test_graph(spark):
     assert list(counters.first()) == [2, 2, 1, 1, 2]
     again, counters = graph.ingest(e, c, g)
     assert again.edges.count() == 2 and counters.first()[:2] == (0, 0)
-    assert list(again.counters.first()) == [2, 2, 4, 5, 4]
+    assert list(again.counters.first()) == [2, 2, 4, 4, 4]  # then 3 entities and 3 claims are known, 2 claims have no end
     a = g.vertices.where("id = 'a'")
     assert sorted(r.direction for r in graph.neighbors(g.edges.where("id = '5'"), a, current_only=False).collect()) == ["incoming", "outgoing"]
     assert {r.id: r.degree for r in graph.degrees(g).collect()} == {"a": 3, "b": 1}
@@ -296,7 +297,9 @@ def test_mail_sources(spark, tmp_path):
     assert [r.filepath for r in read_archive(spark, str(tmp_path / "m.tar"), ["doe-j/"]).collect()] == ["doe-j/inbox/1"]
     with tarfile.open(tmp_path / "n.tar.gz", "w:gz") as tar:
         for name in ("maildir/doe-j/inbox/2", "maildir/../doe-j/3", "/doe-j/4"):
-            tar.add(folder / "1", name)
+            info = tarfile.TarInfo(name)  # add() would make an absolute name relative
+            info.size = len(RAW)
+            tar.addfile(info, io.BytesIO(RAW))
     both = [str(tmp_path / "m.tar"), str(tmp_path / "n.tar.gz")]
     assert sorted(r.filepath for r in read_archive(spark, both, ["doe-j/"]).collect()) == ["doe-j/inbox/1", "doe-j/inbox/2"]
 
