@@ -3,7 +3,7 @@
 Marks of quoting, separators and headers, sign-offs and footers cut a message
 into what its sender wrote and the rest.  All bodies are winnowed into fingerprints
 and looked up in an inverted index of all bodies and all new texts; the spans of
-ancestors are verified word by word.  They cut what stands in a message without
+ancestors are verified by digests of all their words.  They cut what stands in a message without
 any mark or thread identifier, and tell where a forwarded text without marks
 ends; where no ancestor is in the corpus the marks decide.  Closings that recur
 below sign-offs are removed where a message has no sign-off.
@@ -20,7 +20,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame

@@ -65,8 +65,6 @@ def test_jaro_winkler_accepts_two_slips_and_short_surnames_meet(spark):
 
 
 def test_bearers_of_one_surname_do_not_all_meet(spark):
-    from pyspark.sql import functions as F
-
     from lorespan.llm.names import candidate_pairs
 
     names = ["".join(chr(97 + (k * p) % 26) for p in (3, 5, 7, 11, 17)) + "io" for k in range(300)]
