@@ -12,6 +12,7 @@ from lorespan.operators import dedup, extraction, graph, retrieval, threads
 from lorespan.operators.components import connected_components
 from lorespan.schema import CLAIMS, ENTITIES, Settings, Store, clean_claims, names_of
 from lorespan.session import scratch_path, stash, table
+from lorespan.sources import mail
 from lorespan.sources import store as stores
 from lorespan.streaming.ingest import current_claims, ingest_claims
 
@@ -93,6 +94,18 @@ def prompt_build(spark, d):
     return c.select("issue_id", "pos", F.md5(p).alias("prompt_md5"))
 
 
+@query(f"""SELECT ord, 'id' || ord || '@host' AS message_id, strftime(ingested_at, '%Y-%m-%dT%H:%M:%S+02:00') AS "timestamp", len(list_filter(coalesce("to", []), lambda x: contains(x, '@'))) AS n_to, '(no subject)' AS subject FROM fetch_corpus WHERE length({_strip('body')}) > 0""")
+def mail_parse(spark, d):
+    """Every mail written as a file of its own headers and read again; those without text are left out."""
+    m = table(spark, d, "fetch_corpus")
+    to = F.regexp_replace(F.array_join(F.transform(F.coalesce("to", F.array().cast("array<string>")), lambda x: F.regexp_replace(x, ",", " ")), ", "), r"[^\x20-\x7e]", "?")
+    date = F.date_format("ingested_at", "EEE, dd MMM yyyy HH:mm:ss")
+    head = F.concat(F.lit("Message-ID: <id"), F.col("ord").cast("string"), F.lit("@host>\nTo: "), to, F.lit("\nDate: "), date, F.lit(" +0200\n\n"))
+    files = m.select(F.col("ord").cast("string").alias("path"), F.encode(F.concat(head, F.coalesce("body", F.lit(""))), "utf-8").alias("content"))
+    n = F.size(F.filter("to", lambda x: F.contains(x, F.lit("@")))).cast("bigint")
+    return mail.parse_files(files).select(F.col("filepath").cast("bigint").alias("ord"), "message_id", "timestamp", n.alias("n_to"), "subject")
+
+
 # ---------------------------------------------------------------- threads
 _FIRST = rf"(SELECT * FROM (SELECT *, {_MID} AS mid, row_number() OVER (PARTITION BY {_MID} ORDER BY filepath, ord) AS rn FROM fetch_corpus WHERE length({_strip('body')}) > 0) WHERE rn = 1)"
 _THREADED = f"(SELECT *, lower({_strip(_NORM.replace('subject', 'coalesce(subject, ' + chr(39) + '(no subject)' + chr(39) + ')'))}) AS norm FROM {_FIRST})"

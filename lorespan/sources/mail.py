@@ -48,7 +48,11 @@ def _records(parsed: Iterator[dict | None]) -> pd.DataFrame:
 def read_maildir(spark: SparkSession, root: str, users: list[str] | None = None, folders: list[str] = FOLDERS) -> DataFrame:
     """Messages of ``root/user/folder/file``; only the given users and folders are listed."""
     paths = [f"{root}/{u}/{f}/*" for u in (users or ["*"]) for f in folders]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load([p for p in paths if users is None or p]) if paths else None
+    return parse_files(spark.read.format("binaryFile").load(paths))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Messages of files (path, content); files without text give no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
