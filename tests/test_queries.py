@@ -21,23 +21,25 @@ def rows(names, records):
     return sorted(([plain(r[k]) for k in at] for r in records), key=repr)
 
 
-@pytest.fixture(scope="session")
-def duck(data):
+def sql_rows(folder, sql):
     con = duckdb.connect()
-    for p in Path(data).glob("*.parquet"):
+    for p in Path(folder).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
-    return con
+    cursor = con.execute(sql)
+    return [c[0] for c in cursor.description], cursor.fetchall()
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
-def test_query_equals_sql(spark, data, duck, name):
-    ours = entry.queries()[name](spark, data)
-    cursor = duck.execute(CORE[name])
-    names = [c[0] for c in cursor.description]
-    assert sorted(ours.columns) == sorted(names)
-    got, want = rows(ours.columns, [tuple(r) for r in ours.collect()]), rows(names, cursor.fetchall())
-    assert repr(got) == repr(want)  # as text, so that NaN equals NaN only, not null
-    assert got or name == "first_matches", "a query without rows shows nothing"
+def test_query_equals_sql(spark, data, name):
+    folder = data
+    names, want = sql_rows(folder, CORE[name])
+    if not want:  # nothing to compare on the smallest tables
+        folder = data.replace("sf0.001", "sf0.01")
+        names, want = sql_rows(folder, CORE[name])
+    ours = entry.queries()[name](spark, folder)
+    assert sorted(ours.columns) == sorted(names) and want
+    got = rows(ours.columns, [tuple(r) for r in ours.collect()])
+    assert repr(got) == repr(rows(names, want))  # as text, so that NaN equals NaN only, not null
 
 
 def test_entry(spark):
