@@ -259,24 +259,32 @@ def new_text(body: str | None, sender: str | None) -> str:
     return " ".join(" ".join(strip_closing(rest, sender_words(sender))).split())
 
 
-#: Words of a shingle, shingles of a winnowing window, least shared share of an ancestor, least words of an unmarked quotation.
-SHINGLE, WINDOW, MIN_SHARE, MIN_WORDS = 5, 15, 0.8, 25
+#: Words of a shingle and shingles of a winnowing window, by level; a core is posted at the highest one of which a window fits in it, so
+#: a fingerprint holds a third of its words at least, and few texts share it without sharing the core (but for the highest one's, all longer).
+LEVELS = ((13, 7), (26, 13), (52, 25), (104, 49))
+#: Least shared share of an ancestor, least words of an unmarked quotation, least words cut beside a marked one.
+MIN_SHARE, MIN_WORDS, MIN_CUT = 0.8, 25, 5
 #: A closing recurs with this many senders and stands below sign-offs in this share of its places.
 MIN_SENDERS, MIN_CLOSED = 5, 0.9
 #: Least characters of a paragraph that is compared as a closing.
 MIN_CLOSING = 40
 #: Most first texts of a core that are looked up by a broadcast; more of them are joined without a hint.
 MAX_FIRSTS = 50_000
-#: Bits of a hash that a fingerprint leaves away: 40 are kept, as the words beside it and then all words are compared, too.
+#: Bits of a hash that a fingerprint leaves away: 40 are kept, as all words are compared, too.
 KEPT_BITS = np.uint64(24)
-#: Words of a window.
-SPAN = SHINGLE + WINDOW - 1
-#: Words on one side of a shingle that are compared before a text is: a window holds them on one side at least.
-BESIDE = (WINDOW - 1) // 2
+#: Words of a window of each level.
+SPANS = tuple(shingle + window - 1 for shingle, window in LEVELS)
+#: Most words of 64 bits, as a power of two, of the filter of posted fingerprints (32 MB); with more texts it lets more through, and nothing is lost.
+FILTER_POWER = 22
+#: Fingerprints on either side of one that are compared before a text is, as far as they are in its core.
+NEAR = 6
 #: What an ancestor's text is: its whole body, its new text, or both.
 BODY, NEW = 1, 2
 
 
+_ALL, _BASE = 2**64 - 1, 0x9E3779B97F4A7C15
+
+
 class _Codes(dict):
     """A hash of each word, regardless of case; each distinct word is hashed once."""
 
@@ -289,71 +297,117 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_Codes().__getitem__, words), np.uint64, len(words))
 
 
-def _runs(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the run of ``size`` words that begins at each word; the last ones run over the end."""
-    mixed = np.zeros(len(codes), np.uint64)
-    for k in range(min(size, len(codes))):
-        mixed[: len(codes) - k] += (codes[k:] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0x2545F4914F6CDD1D + 2 * k)
-    return mixed ^ (mixed >> np.uint64(29))
+def _run(codes: np.ndarray, size: int, known: dict[int, tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
+    """Polynomial hash of the run of ``size`` words that begins at each word, and the base's power; the last ones run over the end."""
+    if size not in known:
+        half = size // 2
+        hashes, power = _run(codes, half, known)
+        mixed, power = hashes * np.uint64(power), power * power & _ALL
+        mixed[: max(0, len(codes) - half)] += hashes[half:]
+        if size % 2:
+            mixed, power = mixed * np.uint64(_BASE), power * _BASE & _ALL
+            mixed[: max(0, len(codes) - size + 1)] += codes[size - 1 :]
+        known[size] = mixed, power
+    return known[size]
+
+
+def _runs(codes: np.ndarray) -> list[np.ndarray]:
+    """By level, the hash of the shingle that begins at each word."""
+    known, out = {1: (codes, _BASE)}, []
+    for shingle, _ in LEVELS:
+        mixed = _run(codes, shingle, known)[0]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x2545F4914F6CDD1D)
+        out.append((mixed ^ (mixed >> np.uint64(32))) >> KEPT_BITS)
+    return out
+
+
+def _level(n: int) -> int:
+    """The highest level of which a window fits in ``n`` words."""
+    return max(k for k, span in enumerate(SPANS) if span <= n)
+
+
+def _near(fp: np.ndarray, place: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Of each named fingerprint the set, as bits, of those beside it with their distances: at most ``back`` before and ``ahead`` behind it."""
+    bits = np.zeros(len(at), np.uint64)
+    for d in range(1, NEAR + 1):
+        for step, room in ((-d, back), (d, ahead)):
+            i = np.flatnonzero(room >= d)
+            there = at[i] + step
+            apart = (place[there].astype(np.int64) - place[at[i]]).view(np.uint64)
+            bits[i] |= np.uint64(1) << ((fp[there].view(np.uint64) + apart * np.uint64(_BASE)) * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(58))
+    return bits.view(np.int64)
 
 
 @dataclass
 class Prints:
-    """Fingerprints of texts that stand one behind another: of each word the least shingle hash of the window that begins there."""
+    """Fingerprints of texts that stand one behind another; by level, those selected with their places, and of the window that begins at each word the number of its one."""
 
     begins: np.ndarray
     ends: np.ndarray
-    least: np.ndarray
-    place: np.ndarray
-    selected: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, texts: list[list[str]]) -> Prints:
         codes = _codes([*chain.from_iterable(texts)])
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(n)
-        begins = ends - n
-        hashes, at = _runs(codes, SHINGLE) >> KEPT_BITS, np.arange(len(codes))
-        least, place = hashes.copy(), at.copy()
-        for k in range(1, min(WINDOW, len(codes))):
-            better = hashes[k:] < least[:-k]
-            least[:-k] = np.where(better, hashes[k:], least[:-k])
-            place[:-k] = np.where(better, at[k:], place[:-k])
-        whole = at + SPAN <= np.repeat(ends, n)
-        new = np.ones(len(codes), bool)
-        new[1:] = (place[1:] != place[:-1]) | ~whole[:-1]
-        beside = (_runs(codes, BESIDE) >> np.uint64(49)).astype(np.int16)
-        left, right = np.zeros(len(codes), np.int16), np.zeros(len(codes), np.int16)
-        left[BESIDE:] = beside[:-BESIDE] if len(codes) > BESIDE else 0
-        right[: -SHINGLE or None] = beside[SHINGLE:]
-        left[at - np.repeat(begins, n) < BESIDE] = 0
-        right[at + SHINGLE + BESIDE > np.repeat(ends, n)] = 0
-        return cls(begins, ends, least.view(np.int64), place, whole & new, left, right)
-
-    def rarest(self, texts: list[int], parts: list[int]) -> np.ndarray:
-        """Of each named text the window of its core whose fingerprint is selected least often among all texts."""
-        values, n = np.unique(self.least[self.selected], return_counts=True)
-        if not len(texts) or not len(values):
-            return np.zeros(0, np.int64)
-        often = n[np.minimum(np.searchsorted(values, self.least), len(values) - 1)] << 40 | np.arange(len(self.least))
-        cuts = []
-        for k, part in zip(texts, parts):
-            lo, hi = _extent(int(self.ends[k] - self.begins[k]), part)
-            cuts += [self.begins[k] + lo, self.begins[k] + hi - SPAN + 1]
-        return np.minimum.reduceat(np.append(often, np.iinfo(np.int64).max), cuts)[::2] & (1 << 40) - 1
+        at, low = np.arange(len(codes)), (1 << 24) - 1
+        left, inside, levels = np.repeat(ends, n) - at, (at - np.repeat(ends - n, n) & low).astype(np.uint64), []
+        for hashes, span, (_, window) in zip(_runs(codes), SPANS, LEVELS):
+            least, done = hashes << KEPT_BITS | inside, 1
+            while done < window:  # the window's first part and its last one, which may overlap
+                step = min(done, window - done)
+                least[: max(0, len(at) - step)] = np.minimum(least[: max(0, len(at) - step)], least[step:])
+                done += step
+            whole = left >= span
+            new = np.ones(len(at), bool)
+            new[1:] = (least[1:] != least[:-1]) | ~whole[:-1]
+            chosen = whole & new
+            shown = np.flatnonzero(chosen)
+            place = shown + ((least[shown] - inside[shown]).view(np.int64) & low)
+            levels.append(((least[shown] >> KEPT_BITS).view(np.int64), place, np.cumsum(chosen) - 1))
+        return cls(ends - n, ends, levels)
+
+    def rarest(self, texts: list[int], parts: list[int]) -> list[tuple[int, int, int]]:
+        """Fingerprint, place and neighbours of each named text: the window of its core that is selected least often among all texts."""
+        out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(texts)
+        extents = [_extent(int(self.ends[k] - self.begins[k]), part) for k, part in zip(texts, parts)]
+        levels = [_level(hi - lo) for lo, hi in extents]
+        for level, ((fp, place, number), span) in enumerate(zip(self.levels, SPANS)):
+            own = [i for i, x in enumerate(levels) if x == level]
+            if not own:
+                continue
+            _, which, n = np.unique(fp, return_inverse=True, return_counts=True)
+            often = n[which] << 40 | np.arange(len(fp))
+            begins = self.begins[[texts[i] for i in own]]
+            first, last = (number[begins + [extents[i][0] for i in own]], number[begins + [extents[i][1] - span for i in own]])
+            cuts = np.column_stack([first, last + 1]).ravel()
+            at = np.minimum.reduceat(np.append(often, np.iinfo(np.int64).max), cuts)[::2] & (1 << 40) - 1
+            for i, *x in zip(own, fp[at].tolist(), place[at].tolist(), _near(fp, place, at, at - first, last - at).tolist()):
+                out[i] = tuple(x)
+        return out
+
+    def selected(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, fingerprint and place in it of the selected fingerprints of the first ``size`` texts, by text, level and place."""
+        found = []
+        for fp, place, _ in self.levels:
+            shown = np.searchsorted(place, self.ends[size - 1] if size else 0)
+            owner = np.searchsorted(self.ends[:size], place[:shown], "right")
+            found.append((owner, fp[:shown], place[:shown] - self.begins[owner]))
+        owner, fp, place = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(owner, kind="stable")
+        return owner[order], fp[order], place[order]
 
 
 def winnow(texts: list[str]) -> list[np.ndarray]:
-    """Fingerprints of each text; a text shorter than a window has the least of its shingles."""
+    """Fingerprints of each text; a text shorter than a window has that of all its words."""
     words = [t.split() for t in texts]
-    prints = Prints.of(words)
+    owner, fp, _ = Prints.of(words).selected(len(words))
     out = []
-    for w, a, z in zip(words, prints.begins, prints.ends):
-        found = np.unique(prints.least[a:z][prints.selected[a:z]])
+    for k, w in enumerate(words):
+        found = np.unique(fp[owner == k])
         if w and not len(found):
-            found = (_runs(_codes(w), SHINGLE) >> KEPT_BITS)[: max(1, len(w) - SHINGLE + 1)].min(keepdims=True).view(np.int64)
+            found = (_runs(_codes(w))[0][:1]).view(np.int64)
         out.append(found)
     return out
 
@@ -447,8 +501,8 @@ def segment(messages: DataFrame) -> DataFrame:
 
     ``flat``: the whole body without marks; ``sender``: only where it is needed again, with a tail; ``ranges``: begin and end of the kept words in it; ``last_key``, ``last``: key
     and words of the last of several paragraphs; ``closings``: keys of the paragraphs that were cut; ``tail`` and
-    ``tail_at``: lines of a forwarded text without marks and its first word; ``prints``: fingerprints of the whole body and
-    their places; ``posts``: new text and whole body as possible ancestors.
+    ``tail_at``: lines of a forwarded text without marks and its first word; ``prints``, ``places``: fingerprints of the whole
+    body, five bytes each, and their places; ``posts``: new text and whole body as possible ancestors.
     """
     columns = ["sender", "sender_id", "last_key", "last", "closings", "flat", "ranges", "tail", "tail_at"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32()]
@@ -477,41 +531,33 @@ def segment(messages: DataFrame) -> DataFrame:
             texts = [*flats, *(w if len(w) < len(f) else [] for w, f in zip(news, flats))]
             prints = Prints.of(texts)
             chosen = [(k, BODY | NEW if len(news[k]) == len(w) else BODY) if k < size else (k, NEW) for k, w in enumerate(texts) if len(w) >= MIN_WORDS]
-            windows = prints.rarest([k for k, _ in chosen], [part for _, part in chosen])
-            posted_ = sorted((k % size, k, part, w) for (k, part), w in zip(chosen, windows.tolist()))
-            posts = [_post(texts[k], part, w, prints, prints.begins[k]) for _, k, part, w in posted_]
-            shown = np.flatnonzero(prints.selected[: prints.ends[size - 1]]) if size else np.zeros(0, np.int64)
-            owner = np.searchsorted(prints.ends[:size], shown, "right")
+            rarest = prints.rarest([k for k, _ in chosen], [part for _, part in chosen])
+            posted_ = sorted((k % size, k, part, *x) for (k, part), x in zip(chosen, rarest))
+            posts = [_post(texts[k], part, fp, place - int(prints.begins[k]), near) for _, k, part, fp, place, near in posted_]
+            owner, fps, places = prints.selected(size)
             long = (prints.ends - prints.begins)[owner] >= MIN_WORDS
-            shown, owner = shown[long], owner[long]
-            q = prints.place[shown]
-            sides = (prints.left[q].astype(np.int64) & 0xFFFF) << 16 | prints.right[q].astype(np.int64) & 0xFFFF
-            arrays = [prints.least[shown], (q - prints.begins[owner]) << 32 | sides]
+            owner, arrays = owner[long], [fps[long].view(np.uint8).reshape(-1, 8)[:, :5], places[long].astype(np.int32).view(np.uint8).reshape(-1, 4)]
             offsets = lambda owners: pa.array(np.searchsorted(owners, np.arange(size + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 b["mid"], *[pa.array(out[c], t) for c, t in zip(columns, kinds)], pa.array([len(w) for w in flats], pa.int32()),
-                pa.ListArray.from_arrays(offsets(owner), pa.StructArray.from_arrays([pa.array(x) for x in arrays], ["fp", "place"])),
+                *[pa.BinaryArray.from_buffers(pa.binary(), size, [None, pa.py_buffer(np.searchsorted(owner, np.arange(size + 1)).astype(np.int32) * x.shape[1]), pa.py_buffer(x.tobytes())]) for x in arrays],
                 pa.ListArray.from_arrays(offsets(np.array([x[0] for x in posted_], np.int64)), pa.array(posts, _POSTS)),
-            ], ["mid", *columns, "n_words", "prints", "posts"])
+            ], ["mid", *columns, "n_words", "prints", "places", "posts"])
         gc.enable()
 
-    kind = "mid bigint, sender string, sender_id string, last_key bigint, last int, closings array<bigint>, flat string, ranges array<int>, tail string, tail_at int, n_words int, prints array<struct<fp: bigint, place: bigint>>, posts array<struct<part: int, n: int, core: binary, text: binary, fp: bigint, p: int, behind: boolean, beside: int>>"
+    kind = "mid bigint, sender string, sender_id string, last_key bigint, last int, closings array<bigint>, flat string, ranges array<int>, tail string, tail_at int, n_words int, prints binary, places binary, posts array<struct<part: int, n: int, core: binary, text: binary, fp: bigint, p: int, near: bigint>>"
     return messages.select(_message_key(F.col("src"), F.col("ord"), F.col("pos")).alias("mid"), "sender", "body").mapInArrow(run, kind)
 
 
-CORE, POST = ["part", "n", "core"], ["fp", "p", "behind", "beside"]
-_POSTS = pa.struct([("part", pa.int32()), ("n", pa.int32()), ("core", pa.binary()), ("text", pa.binary()), ("fp", pa.int64()), ("p", pa.int32()), ("behind", pa.bool_()), ("beside", pa.int32())])
+CORE, POST = ["part", "n", "core"], ["fp", "p", "near"]
+_POSTS = pa.struct([("part", pa.int32()), ("n", pa.int32()), ("core", pa.binary()), ("text", pa.binary()), ("fp", pa.int64()), ("p", pa.int32()), ("near", pa.int64())])
 
 
-def _post(words: list[str], part: int, window: int, prints: Prints, begin: int) -> dict:
+def _post(words: list[str], part: int, fp: int, p: int, near: int) -> dict:
     """A text as a possible ancestor, posted under the fingerprint of one window of its core."""
-    n = len(words)
-    lo, hi = _extent(n, part)
-    core, place = _digest(words[lo:hi]), prints.place[window]
-    p = int(place - begin)
-    behind = p + SHINGLE + BESIDE <= hi
-    beside = prints.right[place] if behind else prints.left[place]
-    return {"part": part, "n": n, "core": core, "text": core if hi - lo == n else _digest(words), "fp": int(prints.least[window]), "p": p, "behind": behind, "beside": int(beside) & 0xFFFF}
+    lo, hi = _extent(len(words), part)
+    core = _digest(words[lo:hi])
+    return {"part": part, "n": len(words), "core": core, "text": core if hi - lo == len(words) else _digest(words), "fp": fp, "p": p, "near": near}
 
 
 def recurring_closings(parts: DataFrame) -> DataFrame:
@@ -539,19 +585,53 @@ def ancestor_index(posts: DataFrame) -> DataFrame:
     return cores.select(*[f"f.{k}" for k in (*POST, "text")], *CORE, F.col("f.mid").alias("first"), "several")
 
 
+def _posted_bits(parts: DataFrame) -> np.ndarray:
+    """One bit for each posted fingerprint, by its lower bits: what has none is in no entry of the index."""
+    n = parts.select(F.sum(F.size("posts"))).first()[0] or 0
+    bits = np.zeros(1 << min(FILTER_POWER, max(10, (n // 4).bit_length())), np.int64)
+    fp = F.col("fp")
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(fp, {FILTER_POWER}) & 63 AS INT))")
+    words = parts.select(F.explode("posts.fp").alias("fp")).groupBy(fp.bitwiseAND(F.lit(len(bits) - 1)).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits
+
+
+def _bytes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ``width`` bytes of all rows, and where each row's ones begin and end."""
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    out = np.zeros(((cuts[-1] - cuts[0]) // width, 8), np.uint8)
+    if len(out):
+        out[:, :width] = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].reshape(-1, width)
+    return out.view(np.int64).ravel(), (cuts - cuts[0]) // width
+
+
+def _posted_prints(parts: DataFrame) -> DataFrame:
+    """(mid, n_words, fp, place, beside): the fingerprints of messages that some text may be posted under."""
+    shared = parts.sparkSession.sparkContext.broadcast(_posted_bits(parts))
+
+    def run(batches):
+        bits = shared.value
+        for b in (b for b in batches if len(b)):
+            (fp, cuts), (place, _) = _bytes(b["prints"], 5), _bytes(b["places"], 4)
+            hit = np.flatnonzero(bits[fp & (len(bits) - 1)] >> (fp >> FILTER_POWER & 63) & 1)
+            owner = np.repeat(np.arange(len(b)), np.diff(cuts))[hit]
+            beside = _near(fp, place, hit, hit - cuts[owner], cuts[owner + 1] - 1 - hit)
+            yield pa.RecordBatch.from_arrays([b["mid"].take(pa.array(owner)), b["n_words"].take(pa.array(owner)), pa.array(fp[hit]), pa.array(place[hit].astype(np.int32)), pa.array(beside)], ["mid", "n_words", "fp", "place", "beside"])
+
+    return parts.select("mid", "n_words", "prints", "places").mapInArrow(run, "mid bigint, n_words int, fp bigint, place int, beside bigint")
+
+
 def possible_ancestors(parts: DataFrame, index: DataFrame, named: bool = False) -> DataFrame:
     """(mid, found): the entries of the index whose fingerprint each message holds, without its own texts' if it stands alone.
 
     ``first`` of an entry is given where only a part of it may stand in the message, or everywhere if ``named``.
     """
-    prints = parts.select("mid", "n_words", F.explode("prints").alias("x")).select("mid", "n_words", "x.*")
     itself = F.col("mid") == F.col("first")
-    low = F.lit(0xFFFF).cast("bigint")
-    beside = F.when(F.col("behind"), F.col("place").bitwiseAND(low)).otherwise(F.shiftright("place", 16).bitwiseAND(low)) == F.col("beside")
     copy = (F.col("part") != NEW) & (F.col("n") == F.col("n_words"))  # the whole message, so not a quotation in it
-    pairs = prints.join(index, "fp").where(beside & (F.col("n") * MIN_SHARE <= F.col("n_words")) & ~copy & ~(itself & ~F.col("several")))
+    pairs = _posted_prints(parts).join(index, "fp").where((F.col("beside").bitwiseAND(F.col("near")) == F.col("near")) & (F.col("n") * MIN_SHARE <= F.col("n_words")) & ~copy & ~(itself & ~F.col("several")))
     partly = F.col("part").bitwiseAND(F.lit(NEW)) > 0
-    one = F.struct((F.shiftright("place", 32).cast("int") - F.col("p")).alias("at"), *CORE, "text", F.when(partly | F.lit(named), F.col("first")).alias("first"), (partly & F.col("several")).alias("several"))
+    one = F.struct((F.col("place") - F.col("p")).alias("at"), *CORE, "text", F.when(partly | F.lit(named), F.col("first")).alias("first"), (partly & F.col("several")).alias("several"))
     return pairs.groupBy("mid").agg(F.collect_list(one).alias("found"))
 
 
@@ -641,7 +721,7 @@ def without_spans(flat: str, ranges: list[int], tail: str | None, tail_at: int,
         tail = None if tail_line is None else "\n".join(lines[tail_line:])
     words, out = flat.split(" "), []
     for x, y in zip(ranges[::2], ranges[1::2]):
-        gone = sorted((max(b, x), min(e, y)) for b, e in quoted if min(e, y) - max(b, x) >= min(SHINGLE, e - b))  # fewer words may agree by chance beside a marked quotation
+        gone = sorted((max(b, x), min(e, y)) for b, e in quoted if min(e, y) - max(b, x) >= min(MIN_CUT, e - b))  # fewer words may agree by chance beside a marked quotation
         for b, e in gone:
             out += words[x:b]
             x = max(x, e)
@@ -751,10 +831,7 @@ def newly_written(mail: DataFrame, threads: DataFrame) -> DataFrame:
     keyed = parts.where("last_key is not null").select("mid", "last_key").join(recurring_closings(parts).withColumnRenamed("key", "last_key"), "last_key")
     posts = posted(parts)
     found = possible_ancestors(parts, ancestor_index(posts))
-    none = F.lit(None).cast(found.schema["found"].dataType)
-    notes = found.select("mid", "found", F.lit(False).alias("closing")).union(keyed.select("mid", none, F.lit(True)))
-    notes = notes.groupBy("mid").agg(F.max("closing").alias("closing"), F.first("found", True).alias("found"))
-    rows = parts.select("mid", *_TEXT).join(notes, "mid", "left").withColumn("last", F.when(F.col("closing"), F.col("last")).otherwise(0))
+    rows = parts.select("mid", *_TEXT).join(found, "mid", "left").join(keyed.select("mid", F.lit(True).alias("closing")), "mid", "left").withColumn("last", F.when(F.col("closing"), F.col("last")).otherwise(0))
     cut = stash(cut_whole_ancestors(rows), "ancestors")
     return _named(cut.where("open is null").select("mid", "new_text").union(cut_partial_ancestors(parts, posts, cut)))
 

@@ -131,3 +131,22 @@ def test_a_template_that_a_third_of_the_messages_fill_in_makes_no_pairs(spark):
     assert sum(len(r.found) for r in found) <= 2 * len(mail)
     out = _run(spark, mail)
     assert out["mail", 999] == "Look at this." and all(out["mail", k] == f"Dear{k} {form} name{k}" for k in range(90))
+
+
+def test_texts_of_common_sentences_are_candidates_only_where_they_are_quoted(spark):
+    import random
+
+    from lorespan.llm.quoted import ancestor_index, messages_of, possible_ancestors, posted, segment
+
+    rng = random.Random(3)
+    pool = [" ".join(f"s{k}w{j}" for j in range(14)) for k in range(12)]
+    mail = [(k, f"p{k % 7}@x.example", " ".join(rng.choice(pool) for _ in range(rng.choice([3, 4, 6, 9, 14])))) for k in range(1, 181)]
+    for k in range(200, 230):  # of all lengths, so that each level of fingerprints has to find some
+        words = mail[k - 200][2].split()
+        mail.append((k, "q@x.example", f"New words {k}.\n\n{' '.join(words[len(words) // 14 :])}"))
+    df = messages_of(spark.createDataFrame([(k, s, b, 0, "z") for k, s, b in mail], MAIL), spark.createDataFrame([], THREADS))
+    parts = segment(df)
+    found = possible_ancestors(parts, ancestor_index(posted(parts))).collect()
+    out = _run(spark, mail)
+    assert out == _brute(mail) and sum(out["mail", k] == f"New words {k}." for k in range(200, 230)) > 20
+    assert sum(len(r.found) for r in found) <= 2 * len(mail)
