@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from lorespan.operators.graph import Graph, neighbors
 from lorespan.schema import Settings
+from lorespan.session import bounded_broadcast
 
 DIMENSIONS = 64
 #: Most questions of one call whose vectors are sent to all tasks; more of them are joined.
@@ -90,18 +91,47 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 QUERY_BLOCK = 512
 
 
-def keyword_match(vertices: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, entity_id): entities with a query word of three letters or more in their name or an alias.
+#: Most words, and most pairs of a query and one of its words, that are sent to all tasks; more of them are joined by sorting.
+MAX_WORDS = 50_000
 
-    A word stands in a name only if its first three letters do, so words and names meet by equal trigrams.
-    """
+
+def _joined_to_few(many: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """Inner join that never broadcasts ``many``: the optimiser takes exploded names for much smaller than they are."""
+    sent = bounded_broadcast(few, MAX_WORDS)
+    return many.join(sent, on) if sent is not few else many.hint("merge").join(few, on)
+
+
+def _asked_words(queries: DataFrame) -> DataFrame:
+    """(qid, words): the different words of three letters or more of each query."""
     words = F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) >= 3)
-    asked = queries.select("qid", F.explode(F.array_distinct(words)).alias("word")).withColumn("gram", F.substring("word", 1, 3))
+    return queries.select("qid", words.alias("words")).groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+
+
+def _found_words(vertices: DataFrame, asked: DataFrame) -> DataFrame:
+    """(entity_id, found): the words of all queries that an entity has in its name or an alias; no row without any.
+
+    A word stands in a name only if its first three letters do, so words and names meet by equal trigrams.  Each word is
+    looked for once, however many queries have it.
+    """
+    words = asked.select(F.explode("words").alias("word")).distinct().withColumn("gram", F.substring("word", 1, 3))
     surfaces = F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))
     s = vertices.select(F.col("id").alias("entity_id"), F.explode(surfaces).alias("surface")).where(F.length("surface") >= 3)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("surface") - 2), lambda i: F.substring(F.col("surface"), i, F.lit(3))))
     s = s.select("entity_id", "surface", F.explode(grams).alias("gram"))
-    return s.join(asked, "gram").where(F.contains("surface", "word")).select("qid", "entity_id").distinct()
+    return _joined_to_few(s, words, "gram").where(F.contains("surface", "word")).groupBy("entity_id").agg(F.collect_set("word").alias("found"))
+
+
+def keyword_match(vertices: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, entity_id): entities with a query word of three letters or more in their name or an alias.
+
+    A pair comes out at the first of the query's words that the entity has, so the pairs, which may be far more than the
+    entities, are neither compared nor shuffled.
+    """
+    asked = _asked_words(queries)
+    tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by size these few rows would be one task
+    found = _found_words(vertices, asked).repartition(tasks, "entity_id").withColumn("word", F.explode("found"))
+    pairs = _joined_to_few(found, asked.withColumn("word", F.explode("words")), "word")
+    return pairs.where(F.element_at(F.array_intersect("words", "found"), 1) == F.col("word")).select("qid", "entity_id")
 
 
 def match_entities(graph: Graph, index: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -400,3 +400,30 @@ def test_a_failed_batch_is_run_again(spark, tmp_path, monkeypatch):
         ingest.ingest_claims(spark, at["in"], at["store"], at["checkpoint"]).awaitTermination()
     ingest.ingest_claims(spark, at["in"], at["store"], at["checkpoint"]).awaitTermination()
     assert [r.id for r in ingest.current_claims(spark, at["store"]).collect()] == ["c1"]
+
+
+def _broadcast_rows(df, holding):
+    """Rows of the largest broadcast that holds a column, as it ran."""
+    df.collect()
+    at, most = [df._jdf.queryExecution().executedPlan()], 0
+    while at:
+        p = at.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            at.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            at.append(p.plan())
+        elif p.getClass().getSimpleName() == "BroadcastExchangeExec" and holding in p.output().mkString(" "):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        at += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_keywords_keep_names_out_of_broadcasts(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id as ord", "concat('e', id) as id", "concat('Gas ', md5(string(id))) as name", "'Topic' as entity_type", "cast(null as array<string>) as aliases", "'' as first_seen").write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    q = spark.createDataFrame([(k, f"what gas {k}gas what") for k in range(3)], "qid int, question string")
+    for most in (retrieval.MAX_WORDS, 2):  # words sent to all tasks, words joined by sorting
+        monkeypatch.setattr(retrieval, "MAX_WORDS", most)
+        df = retrieval.keyword_match(v, q)
+        assert df.count() == df.distinct().count() == 6000
+        assert _broadcast_rows(df, "surface") == 0 == _broadcast_rows(df, "found")
