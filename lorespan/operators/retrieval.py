@@ -135,13 +135,23 @@ def keyword_match(vertices: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def match_entities(graph: Graph, index: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(qid, entity_id, score, rank): blended vector and keyword score, best first."""
-    sims = vector_topk(index, queries, settings.index_rows).groupBy("qid", "entity_id").agg(F.max("sim").alias("sim"))
-    words = keyword_match(graph.vertices, queries).withColumn("hit", F.lit(1))
-    score = F.coalesce("sim", F.lit(settings.keyword_base)) + F.when(F.col("hit") == 1, settings.keyword_boost).otherwise(0.0)
-    blended = sims.join(words, ["qid", "entity_id"], "full_outer").select("qid", "entity_id", score.alias("score"))
+    """(qid, entity_id, score, rank): blended vector and keyword score, best first.
+
+    Entities found by words alone have equal scores, so those of lowest id rank first.  A query has at most
+    ``index_rows`` entities by vector, so among the first ``index_rows + top_entities`` of each word there are all that
+    can rank; the others are never paired with queries.
+    """
+    asked = _asked_words(queries)
+    found = _found_words(graph.vertices, asked)
+    near = vector_topk(index, queries, settings.index_rows).select("qid", "entity_id", "sim")
+    near = near.join(asked, "qid", "left").join(found.hint("merge"), "entity_id", "left").select("qid", "entity_id", "sim", F.coalesce(F.arrays_overlap("words", "found"), F.lit(False)).alias("hit"))
+    first = found.select("entity_id", F.explode("found").alias("word"))
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("word").orderBy("entity_id"))).where(F.col("_r") <= settings.index_rows + settings.top_entities)
+    named = _joined_to_few(first, asked.select("qid", F.explode("words").alias("word")), "word").select("qid", "entity_id", F.lit(None).cast("double").alias("sim"), F.lit(True).alias("hit"))
+    blended = near.unionByName(named).groupBy("qid", "entity_id").agg(F.max("sim").alias("sim"), F.max("hit").alias("hit"))
+    score = F.coalesce("sim", F.lit(settings.keyword_base)) + F.when(F.col("hit"), settings.keyword_boost).otherwise(0.0)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "entity_id"))
-    return blended.withColumn("rank", rank).where(F.col("rank") <= settings.top_entities)
+    return blended.select("qid", "entity_id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= settings.top_entities)
 
 
 def retrieve(graph: Graph, matched: DataFrame, settings: Settings = Settings(), include_historical: bool = True) -> DataFrame:

@@ -427,3 +427,25 @@ def test_keywords_keep_names_out_of_broadcasts(spark, tmp_path, monkeypatch):
         df = retrieval.keyword_match(v, q)
         assert df.count() == df.distinct().count() == 6000
         assert _broadcast_rows(df, "surface") == 0 == _broadcast_rows(df, "found")
+
+
+def test_blend_against_all_pairs(spark, monkeypatch):
+    from lorespan.schema import Settings
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(2, 4)))
+    v = spark.createDataFrame([(k, f"e{k:02d}", f"{word()} {word()}", "Topic", rng.choice([None, [word()]]), None) for k in range(60)], ENTITIES)
+    index = spark.createDataFrame([(f"e{k:02d}", s, [rng.random(), rng.random()]) for k in range(60) for s in (0, 1)], "entity_id string, spos int, vec array<double>")
+    q = spark.createDataFrame([(k, f"{word()} {word()}", [rng.random() - 0.5, rng.random() - 0.5] if k else None) for k in range(12)], "qid int, question string, qvec array<double>")
+    settings = Settings(index_rows=4, top_entities=3)
+    sims, want = {}, set()
+    for r in retrieval.vector_topk(index, q, 4).collect():
+        sims[r.qid, r.entity_id] = max(r.sim, sims.get((r.qid, r.entity_id), r.sim))
+    hits = {(r.qid, r.entity_id) for r in retrieval.keyword_match(v, q).collect()}
+    for k in range(12):
+        scores = {e: sims.get((k, e), 0.3) + 0.3 * ((k, e) in hits) for x, e in {*sims, *hits} if x == k}
+        want |= {(k, e, round(scores[e], 9), n + 1) for n, e in enumerate(sorted(scores, key=lambda e: (-scores[e], e))[:3])}
+    for most in (retrieval.MAX_WORDS, 2):
+        monkeypatch.setattr(retrieval, "MAX_WORDS", most)
+        m = retrieval.match_entities(graph.Graph(v, None), index, q, settings)
+        assert {(r.qid, r.entity_id, round(r.score, 9), r.rank) for r in m.collect()} == want
