@@ -449,3 +449,13 @@ def test_blend_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "MAX_WORDS", most)
         m = retrieval.match_entities(graph.Graph(v, None), index, q, settings)
         assert {(r.qid, r.entity_id, round(r.score, 9), r.rank) for r in m.collect()} == want
+
+
+def test_matching_keeps_names_out_of_broadcasts(spark, tmp_path):
+    spark.range(2000).selectExpr("id as ord", "concat('e', id) as id", "concat('Gas ', md5(string(id))) as name", "'Topic' as entity_type", "cast(null as array<string>) as aliases", "'' as first_seen").write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    index = spark.createDataFrame([("e7", 0, [0.8, 0.6])], "entity_id string, spos int, vec array<double>")
+    q = spark.createDataFrame([(0, "what gas", [1.0, 0.0])], "qid int, question string, qvec array<double>")
+    m = retrieval.match_entities(graph.Graph(v, None), index, q)
+    assert [r.entity_id for r in m.orderBy("rank").collect()] == ["e7", "e0", "e1", "e10", "e100"]
+    assert _broadcast_rows(m, "surface") == 0 == _broadcast_rows(m, "found")
